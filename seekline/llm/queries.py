@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seekline.llm import dfr, heavy, termfreq
+from seekline.llm import dfr, heavy, neardup, termfreq
 from seekline.sources.tables import table
 
 
+def p3_found(spark, base):
+    return neardup.duplicate_pairs(table(spark, base, "documents"), 3, 0.7)
+
+
+def p3_groups(spark, base):
+    return neardup.duplicate_groups(table(spark, base, "documents"))
+
+
 def p4_frequencies(spark, base):
     return termfreq.term_frequencies(table(spark, base, "inverted_index"))
 
