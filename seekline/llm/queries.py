@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seekline.llm import dfr, heavy, neardup, termfreq
+from seekline.llm import dfr, heavy, leakage, neardup, termfreq
 from seekline.sources.tables import table
 
 
@@ -40,4 +40,12 @@ def p7_counts(spark, base):
     return heavy.frequent_items(table(spark, base, "query_log"), "query_text", 0.002).select(F.col("item").alias("query_text"), "exact_count")
 
 
+def p9_leaks(spark, base):
+    return leakage.leaks(table(spark, base, "documents"), table(spark, base, "eval_items"))
+
+
+def p9_found(spark, base):
+    return p9_leaks(spark, base).select("doc_id", "item_id")
+
+
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
