@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seekline.llm import dfr, heavy, leakage, neardup, termfreq
+from seekline.llm import dfr, heavy, leakage, mojibake, neardup, termfreq
 from seekline.sources.tables import table
 
 
@@ -48,4 +48,12 @@ def p9_found(spark, base):
     return p9_leaks(spark, base).select("doc_id", "item_id")
 
 
+def p10_found(spark, base):
+    return mojibake.garbled_records(table(spark, base, "documents")).select("doc_id").distinct()
+
+
+def p10_restored(spark, base):
+    return mojibake.restored_texts(table(spark, base, "documents"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
