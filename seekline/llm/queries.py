@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seekline.llm import dfr, heavy, leakage, mojibake, neardup, termfreq
+from seekline.llm import dfr, heavy, leakage, mojibake, neardup, neighbours, termfreq
 from seekline.sources.tables import table
 
 
+def p1_found(spark, base):
+    return neighbours.neighbour_pairs(table(spark, base, "documents"))
+
+
 def p3_found(spark, base):
     return neardup.duplicate_pairs(table(spark, base, "documents"), 3, 0.7)
 
