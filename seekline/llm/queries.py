@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seekline.llm import dfr, heavy, leakage, mojibake, neardup, neighbours, termfreq
+from seekline.llm import dfr, heavy, leakage, mojibake, neardup, neighbours, packing, termfreq
 from seekline.sources.tables import table
 
 
@@ -44,6 +44,14 @@ def p7_counts(spark, base):
     return heavy.frequent_items(table(spark, base, "query_log"), "query_text", 0.002).select(F.col("item").alias("query_text"), "exact_count")
 
 
+def p8_containers(spark, base):
+    return packing.pack(packing.token_sizes(table(spark, base, "documents")), table(spark, base, "token_budgets"))
+
+
+def p8_fill(spark, base):
+    return packing.fill_report(p8_containers(spark, base))
+
+
 def p9_leaks(spark, base):
     return leakage.leaks(table(spark, base, "documents"), table(spark, base, "eval_items"))
 
