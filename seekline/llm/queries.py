@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seekline.llm import dfr, heavy, leakage, mojibake, neardup, neighbours, packing, termfreq
+from seekline.llm import boilerplate, dfr, heavy, leakage, mojibake, neardup, neighbours, packing, termfreq
 from seekline.sources.tables import table
 
 
@@ -12,6 +12,14 @@ def p1_found(spark, base):
     return neighbours.neighbour_pairs(table(spark, base, "documents"))
 
 
+def p2_found(spark, base):
+    return boilerplate.template_lines(table(spark, base, "documents"))
+
+
+def p2_main(spark, base):
+    return boilerplate.main_content(table(spark, base, "documents"))
+
+
 def p3_found(spark, base):
     return neardup.duplicate_pairs(table(spark, base, "documents"), 3, 0.7)
 
