@@ -77,3 +77,27 @@ def p10_restored(spark, base):
 
 
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
+
+_CLEAN = r"""
+with whole as (
+  select trim(lower(term)) as term, postings from inverted_index
+  where trim(term) <> '' and postings is not null and json_valid(postings)),
+entries as (select term, unnest(json_keys(postings)) as k, postings from whole),
+p as (select term, cast(k as bigint) as doc_id, max(cast(json_extract_string(postings, '$."' || k || '"') as bigint)) as tf from entries group by 1, 2),
+n as (select count(distinct doc_id) as docs from p),
+t as (select term, count(*) as df, sum(tf) as total from p group by 1)
+"""
+_QUERY = r"""
+with cleaned as (select trim(regexp_replace(lower(query_text), '\s+', ' ', 'g')) as query_text from query_log),
+counted as (select query_text, count(*) as exact_count from cleaned where query_text <> '' group by 1),
+kept as (select * from counted where exact_count >= 0.002 * (select sum(exact_count) from counted))
+"""
+SQL = {
+    "p4_frequencies": _CLEAN + "select term, cast(total as bigint) as total_count, df as doc_count, case when df <= 2 then 'rare' when df >= 0.2 * docs then 'common' end as mark from t, n",
+    "p4_found": _CLEAN + "select term, case when df <= 2 then 'rare' else 'common' end as mark from t, n where df <= 2 or df >= 0.2 * docs",
+    "p6_found": _CLEAN
+    + """, s as (select p.doc_id, p.term, (1 + ln(p.tf)) * ln(n.docs / t.df) as score from p join t on p.term = t.term cross join n),
+r as (select *, row_number() over (partition by doc_id order by score desc, term) as k from s) select doc_id, term from r where k <= 3""",
+    "p7_found": _QUERY + "select query_text from kept",
+    "p7_counts": _QUERY + "select query_text, exact_count from kept",
+}
