@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +39,10 @@ class Settings:
     probes: int = 4
     pieces: int = 96
     codes: int = 128
-    rerank: int = 64
-    block: int = 8192
-    query_block: int = 16384
+    rerank: int = 96
+    lists_per_group: int = 4
+    block: int = 16384
+    query_block: int = 32768
     sample: int = 32768
     seed: int = 7
 
@@ -78,7 +80,7 @@ class Index:
         self.s = s
         self.centroids = _kmeans(sample, lists, 8, rng, spherical=True)
         lists = len(self.centroids)
-        groups = max(1, lists // 8)
+        groups = max(1, lists // s.lists_per_group)
         self.group = _nearest(self.centroids, _kmeans(self.centroids, groups, 8, rng)).astype(np.int32)
         rest = sample - self.centroids[_nearest(sample, self.centroids)]
         width = -(-s.dim // s.pieces)
@@ -106,42 +108,70 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float32).reshape(-1, dim)
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """Unit vectors as 16-bit numbers, each scaled to its largest entry; only the direction is needed, to 1e-5."""
+    return np.rint(x * (32767 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int16)
+
+
 def _raw(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
+    return _unit(np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, dim).astype(np.float32))
+
 
+def _placed(ix: Index, batches):
+    """Identifiers, unit vectors, own lists, and for each row the cell groups it asks with the lists probed there."""
+    s = ix.s
+    p = min(s.probes, len(ix.centroids))
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for i in range(0, len(ids), 2048):
+            x = _unit(_matrix(batch.column(1).slice(i, 2048), s.dim))
+            own = _nearest(x, ix.centroids)
+            probe = np.argpartition(-(x @ ix.centroids.T), p - 1, axis=1)[:, :p]
+            yield ids[i : i + 2048], x, own, probe
 
-def _route(index):
-    """Rows (id, group, member list or null, probed lists of that group, code, vector): one for each group a vector belongs to or asks."""
+
+def _crowd(index):
+    """Members and askers of the cell groups, pre-aggregated."""
 
     def run(batches):
         ix: Index = index.value
-        s = ix.s
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(ids), 2048):
-                x = _unit(_matrix(batch.column(1).slice(i, 2048), s.dim))
-                here = ids[i : i + 2048]
-                close = x @ ix.centroids.T
-                own = _nearest(x, ix.centroids)
-                p = min(s.probes, len(ix.centroids))
-                probe = np.argpartition(-close, p - 1, axis=1)[:, :p]
-                code = ix.encode(x, own)
-                out = {k: [] for k in ("id", "group", "list", "probes", "code", "vector")}
-                for r in range(len(here)):
-                    asked: dict[int, list[int]] = {}
-                    for c in probe[r].tolist():
-                        asked.setdefault(int(ix.group[c]), []).append(c)
-                    home = int(ix.group[own[r]])
-                    asked.setdefault(home, [])
-                    raw = x[r].tobytes()
-                    for g, lists in asked.items():
-                        out["id"].append(here[r])
-                        out["group"].append(g)
-                        out["list"].append(int(own[r]) if g == home else None)
-                        out["probes"].append(np.array(lists, np.int32).tobytes())
-                        out["code"].append(code[r].tobytes() if g == home else None)
-                        out["vector"].append(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=list(out))
+        member, asking = np.zeros(ix.group.max() + 1, np.int64), np.zeros(ix.group.max() + 1, np.int64)
+        for _, _, own, probe in _placed(ix, batches):
+            member += np.bincount(ix.group[own], minlength=len(member))
+            groups = np.sort(ix.group[probe], axis=1)
+            first = np.concatenate([np.ones((len(groups), 1), bool), groups[:, 1:] != groups[:, :-1]], axis=1)
+            asking += np.bincount(groups[first], minlength=len(asking))
+        yield pa.RecordBatch.from_pydict({"group": pa.array(np.arange(len(member), dtype=np.int32)), "members": pa.array(member), "asking": pa.array(asking)})
+
+    return run
+
+
+def _route(index, blocks, turns):
+    """Rows (group, block, turn, member, id, list, probed lists of that group, code, vector): one for each place where a vector is held or asks."""
+
+    def run(batches):
+        ix: Index = index.value
+        for ids, x, own, probe in _placed(ix, batches):
+            code, short = ix.encode(x, own), _short(x)
+            out = {k: [] for k in ("group", "block", "turn", "member", "id", "list", "probes", "code", "vector")}
+
+            def row(*values, out=out):
+                for k, v in zip(out, values):
+                    out[k].append(v)
+
+            for r, key in enumerate(ids.tolist()):
+                raw, h = short[r].tobytes(), xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True))
+                home = int(ix.group[own[r]])
+                for t in range(turns[home]):
+                    row(home, h % blocks[home], t, True, key, int(own[r]), None, code[r].tobytes(), raw)
+                asked: dict[int, list[int]] = {}
+                for c in probe[r].tolist():
+                    asked.setdefault(int(ix.group[c]), []).append(c)
+                for g, lists in asked.items():
+                    for b in range(blocks[g]):
+                        row(g, b, (h >> 32) % turns[g], False, key, None, np.array(lists, np.int32).tobytes(), None, raw)
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
     return run
 
@@ -217,20 +247,13 @@ def nearest_classes(vectors: DataFrame, s: Settings) -> DataFrame:
     if not len(picked):
         return vectors.select("id", F.col("id").alias("other"), F.lit(0.0).cast("float").alias("similarity"), F.lit(1).alias("rank")).limit(0)
     index = spark.sparkContext.broadcast(Index(_unit(_matrix(picked.column("vector"), s.dim)), total, s))
-    schema = "id long, group int, list int, probes binary, code binary, vector binary"
-    routed = materialize(vectors.mapInArrow(_route(index), schema), "routed")
-    # One row a group: at most max_lists / 8 rows.
-    sizes = F.broadcast(
-        routed.groupBy("group").agg(
-            F.ceil(F.count("list") / s.block).cast("int").alias("blocks"),
-            F.ceil(F.count(F.lit(1)) / s.query_block).cast("int").alias("query_blocks"),
-        )
-    )
-    placed = routed.join(sizes, "group").withColumn("turn", F.xxhash64("id"))
-    blocks, turns = F.greatest("blocks", F.lit(1)), F.col("query_blocks")
-    member = placed.where("list is not null").select("group", F.pmod("turn", blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("query_block"), F.lit(True).alias("member"), "id", "list", F.lit(None).cast("binary").alias("probes"), "code", "vector")
-    asking = placed.where("octet_length(probes) > 0").select("group", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.shiftright("turn", 8), turns).cast("int").alias("query_block"), F.lit(False).alias("member"), "id", "list", "probes", F.lit(None).cast("binary").alias("code"), "vector")
-    found = member.unionByName(asking).groupBy("group", "block", "query_block").applyInArrow(_scan(index), "id long, other long, similarity float")
+    # One row a group, and at most max_lists / lists_per_group groups.
+    crowd = vectors.mapInArrow(_crowd(index), "group int, members long, asking long").groupBy("group").agg(F.sum("members").alias("members"), F.sum("asking").alias("asking")).collect()
+    blocks = {r["group"]: max(1, -(-r["members"] // s.block)) for r in crowd}
+    turns = {r["group"]: max(1, -(-r["asking"] // s.query_block)) for r in crowd}
+    schema = "group int, block int, turn int, member boolean, id long, list int, probes binary, code binary, vector binary"
+    placed = vectors.mapInArrow(_route(index, blocks, turns), schema)
+    found = placed.groupBy("group", "block", "turn").applyInArrow(_scan(index), "id long, other long, similarity float")
     # A row's best are found in several places; a list of one place is at most k long.
     packed = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("far"), F.col("other").alias("other")))).alias("near"))
     return packed.select("id", F.posexplode(F.slice("near", 1, s.k)).alias("rank", "n")).select("id", F.col("n.other").alias("other"), (-F.col("n.far")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
