@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seekline.plans import orphan_queries
+from seekline.plans import core_queries, orphan_queries
 
-MODULES = [orphan_queries]
+MODULES = [core_queries, orphan_queries]
 
 
 def queries() -> dict:
