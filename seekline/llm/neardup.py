@@ -12,6 +12,9 @@ first ``... + d``), so the tree of shared sequences is walked from its root:
 * a node of up to ``NODE`` records proposes its pairs; a larger one is split by
   the next shared sequence, and after ``max_depth`` levels into blocks that
   are joined two by two, so no task ever holds a whole hot node;
+* a pair stays only if, of the sequences in both prefixes, it shares enough
+  that the rest can still reach the overlap (sequences of large nodes, which
+  aren't counted, are taken as shared);
 * proposed pairs are checked exactly: the partners of a record are laid out as
   a prefix tree, partial overlaps are shared along common prefixes, and a
   subtree is left when its remaining length can't reach the overlap.
@@ -30,9 +33,13 @@ from seekline.llm.words import WordHashes, grams, words
 from seekline.plans.lineage import materialize
 from seekline.sources.tables import partitions
 
-#: Buckets of the document-frequency sketch that fixes the global order: 4 MB whatever the input.
-SKETCH = 1 << 20
-SKETCH_CHUNK = 1 << 15
+#: Buckets of the document-frequency sketch that fixes the global order: 16 MB whatever the input.
+SKETCH = 1 << 22
+SKETCH_CHUNK = 1 << 17
+#: Bytes of a stored sequence hash; equal hashes of different sequences within a pair are as likely as 1 in 10 million.
+WIDE = 5
+#: Most record identifiers that are sent to every task to pick their sets (8 bytes each); beyond it they are joined.
+MAX_SENT = 4_000_000
 #: Records of a node that are compared in one place.
 NODE = 256
 #: Members of a class of equal sets whose pairs are written out; beyond it they are linked to the class's first record.
@@ -44,11 +51,25 @@ def _needed(t: float, n):
     return np.ceil(np.asarray(n) * t - 1e-9).astype(np.int64)
 
 
+_SHIFT = np.uint64(8 * WIDE - 22)
+
+
+def _pack(g: np.ndarray) -> bytes:
+    return g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDE].tobytes()
+
+
+def _unpack(raw) -> np.ndarray:
+    b = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, WIDE)
+    out = np.zeros((len(b), 8), np.uint8)
+    out[:, :WIDE] = b
+    return out.view("<u8").ravel()
+
+
 def _sets(batch: pa.RecordBatch, n: int, hasher: WordHashes) -> Iterator[tuple[int, np.ndarray]]:
     for doc, title, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
         if content is None or doc is None:
             continue
-        g = np.unique(grams(hasher(words(f"{title or ''} {content}")), n))
+        g = np.unique(grams(hasher(words(f"{title or ''} {content}")), n) >> np.uint64(64 - 8 * WIDE))
         if len(g):
             yield doc, g
 
@@ -59,9 +80,9 @@ def _sketcher(n: int):
         for batch in batches:
             for _, g in _sets(batch, n, hasher):
                 some = True
-                np.add.at(counts, (g >> np.uint64(44)).astype(np.int64), 1)
+                np.add.at(counts, (g >> _SHIFT).astype(np.int64), 1)
         if some:
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(SKETCH // SKETCH_CHUNK), pa.int32()), "counts": pa.array([c.tobytes() for c in counts.reshape(-1, SKETCH_CHUNK)], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(SKETCH // SKETCH_CHUNK), pa.int32()), "counts": pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for c in counts.reshape(-1, SKETCH_CHUNK)], pa.binary())})
 
     return run
 
@@ -69,7 +90,7 @@ def _sketcher(n: int):
 def _sum_chunk(key, table):
     total = np.zeros(SKETCH_CHUNK, np.int64)
     for raw in table.column("counts"):
-        total += np.frombuffer(raw.as_buffer(), np.int32)
+        total += np.frombuffer(raw.as_buffer(), np.uint16)
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
 
@@ -88,13 +109,13 @@ def _set_builder(n: int, sketch):
         for batch in batches:
             ids, sizes, prints, seqs = [], [], [], []
             for doc, g in _sets(batch, n, hasher):
-                g = g[np.lexsort((g, df[(g >> np.uint64(44)).astype(np.int64)]))]
+                g = g[np.lexsort((g, df[(g >> _SHIFT).astype(np.int64)]))]
                 with np.errstate(over="ignore"):
                     mixed = (g ^ (g >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
                     prints.append(int((mixed ^ (mixed >> np.uint64(27))).sum(dtype=np.uint64).view(np.int64)))
                 ids.append(doc)
                 sizes.append(len(g))
-                seqs.append(g.tobytes())
+                seqs.append(_pack(g))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "print": pa.array(prints, pa.int64()), "size": pa.array(sizes, pa.int32()), "seqs": pa.array(seqs, pa.binary())})
 
     return run
@@ -108,7 +129,7 @@ def _roots(t: float):
             node, doc, size, place = [], [], [], []
             for d, s, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 p = s - int(_needed(t, s)) + 1
-                node.append(np.frombuffer(raw.as_buffer(), np.int64)[:p])
+                node.append(_unpack(raw)[:p].astype(np.int64))
                 doc.append(np.full(p, d, np.int64))
                 size.append(np.full(p, s, np.int32))
                 place.append(np.arange(p, dtype=np.int32))
@@ -119,38 +140,57 @@ def _roots(t: float):
 
 
 def _propose(t: float, depth: int, doc, size, place, other=None):
-    """Pairs of a node that size and remaining length allow; ``other`` marks where a second block begins."""
+    """Pairs of a node that sizes and, below the first level, remaining lengths allow.
+
+    Also gives how far what may follow here exceeds the needed overlap, and how
+    many sequences the prefixes must share at least.  ``other`` marks where a
+    second block begins.
+    """
     n = len(doc)
     if other is None:
         a, b = np.triu_indices(n, 1)
     else:
         a, b = (x.ravel() for x in np.meshgrid(np.arange(other), np.arange(other, n), indexing="ij"))
     sa, sb = size[a].astype(np.int64), size[b].astype(np.int64)
-    # Overlap a pair of these sizes needs, against what is shared so far and may still follow.
-    need = np.ceil(t / (1 + t) * (sa + sb) - 1e-9)
-    ok = (np.minimum(sa, sb) >= np.ceil(t * np.maximum(sa, sb) - 1e-9)) & (depth + np.minimum(sa - place[a], sb - place[b]) - 1 >= need) & (doc[a] != doc[b])
+    need = np.ceil(t / (1 + t) * (sa + sb) - 1e-9).astype(np.int64)
+    reach = depth - 1 + np.minimum(sa - place[a], sb - place[b]) - need
+    ok = (np.minimum(sa, sb) >= _needed(t, np.maximum(sa, sb))) & (doc[a] != doc[b])
+    if depth > 1:
+        ok &= reach >= 0
+    least = need - np.maximum(_needed(t, sa), _needed(t, sb)) + 1
     a, b = a[ok], b[ok]
-    return np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])
+    return np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b]), reach[ok], least[ok]
 
 
-_NODES = "a long, b long, node long, doc long, size int, place int, block int"
+_NODES = "a long, b long, reach int, least int, node long, doc long, size int, place int, block int"
 
 
-def _nodes_out(a, b, node, doc, size, place, block):
-    k, m = len(a), len(doc)
-    null = lambda n, kind: pa.nulls(n, kind)
-    return pa.RecordBatch.from_arrays(
-        [pa.concat_arrays([pa.array(a, pa.int64()), null(m, pa.int64())]), pa.concat_arrays([pa.array(b, pa.int64()), null(m, pa.int64())])]
-        + [pa.concat_arrays([null(k, kind), pa.array(x, kind)]) for x, kind in ((node, pa.int64()), (doc, pa.int64()), (size, pa.int32()), (place, pa.int32()), (block, pa.int32()))],
-        names=["a", "b", "node", "doc", "size", "place", "block"],
-    )
+def _nodes_out(pairs, rows, block):
+    """Pairs, then rows of large nodes, in one batch with nulls in the others' columns."""
+    k, m = len(pairs[0]), len(block)
+    left = [(x, kind) for x, kind in zip(pairs, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+    right = [(x, kind) for x, kind in zip((*rows.T, block), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+    columns = [pa.concat_arrays([pa.array(x, kind), pa.nulls(m, kind)]) for x, kind in left] + [pa.concat_arrays([pa.nulls(k, kind), pa.array(x, kind)]) for x, kind in right]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "reach", "least", "node", "doc", "size", "place", "block"])
 
 
 def _walk(t: float, depth: int):
     """Over rows sorted by node: pairs of small nodes; the rows of larger ones as they are, with the block they fall in."""
 
+    def close(kept, held, given, pairs, big, blocks):
+        if given and held:
+            big.append(np.concatenate(kept))
+            blocks.append(np.full(held, given, np.int64))
+        elif held > 1:
+            g = np.concatenate(kept)
+            pairs.append(_propose(t, depth, g[:, 1], g[:, 2], g[:, 3]))
+
+    def emit(pairs, big, blocks):
+        cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+        return _nodes_out([cat([p[i] for p in pairs]) for i in range(4)], np.concatenate(big) if big else np.zeros((0, 4), np.int64), cat(blocks))
+
     def run(batches):
-        kept: list[np.ndarray] = []  # the node at hand, [node, doc, size, place] by row
+        kept: list[np.ndarray] = []  # the node at hand: [node, doc, size, place] by row
         held, current, given = 0, None, 0
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
@@ -158,41 +198,28 @@ def _walk(t: float, depth: int):
                 continue
             rows = np.stack(cols, axis=1)
             cuts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
-            pa_, pb_, big, blocks = [], [], [], []
-            for i, start in enumerate(cuts):
-                part = rows[start : cuts[i + 1] if i + 1 < len(cuts) else len(rows)]
-                if current is not None and part[0, 0] != current:
-                    self_close(kept, held, given, pa_, pb_, big, blocks)
+            ends = np.r_[cuts[1:], len(rows)]
+            pairs, big, blocks = [], [], []
+            for i in range(len(cuts)):
+                start, end = cuts[i], ends[i]
+                if current is not None and rows[start, 0] != current:
+                    close(kept, held, given, pairs, big, blocks)
                     kept, held, given = [], 0, 0
-                current = part[0, 0]
-                kept.append(part)
-                held += len(part)
+                current = rows[start, 0]
+                if end - start == 1 and not held and 0 < i < len(cuts) - 1:
+                    continue  # a node of its own
+                kept.append(rows[start:end])
+                held += end - start
                 while held > NODE:
                     whole = np.concatenate(kept)
                     big.append(whole[:NODE])
                     blocks.append(np.full(NODE, given, np.int64))
                     given += 1
                     kept, held = [whole[NODE:]], held - NODE
-            yield emit(pa_, pb_, big, blocks)
-        pa_, pb_, big, blocks = [], [], [], []
-        self_close(kept, held, given, pa_, pb_, big, blocks)
-        yield emit(pa_, pb_, big, blocks)
-
-    def self_close(kept, held, given, pa_, pb_, big, blocks):
-        if given:
-            if held:
-                big.append(np.concatenate(kept))
-                blocks.append(np.full(held, given, np.int64))
-        elif held > 1:
-            g = np.concatenate(kept)
-            a, b = _propose(t, depth, g[:, 1], g[:, 2], g[:, 3])
-            pa_.append(a)
-            pb_.append(b)
-
-    def emit(pa_, pb_, big, blocks):
-        cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
-        rows = np.concatenate(big) if big else np.zeros((0, 4), np.int64)
-        return _nodes_out(cat(pa_), cat(pb_), rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], cat(blocks))
+            yield emit(pairs, big, blocks)
+        pairs, big, blocks = [], [], []
+        close(kept, held, given, pairs, big, blocks)
+        yield emit(pairs, big, blocks)
 
     return run
 
@@ -205,7 +232,7 @@ def _descend(t: float, depth: int):
             node, doc, size, place = [], [], [], []
             for nd, d, s, p, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
                 end = s - int(_needed(t, s)) + depth
-                seqs = np.frombuffer(raw.as_buffer(), np.uint64)[p + 1 : end]
+                seqs = _unpack(raw)[p + 1 : end]
                 with np.errstate(over="ignore"):
                     child = (seqs ^ np.uint64(nd & (2**64 - 1))) * np.uint64(0x9E3779B97F4A7C15)
                     child ^= child >> np.uint64(32)
@@ -227,9 +254,9 @@ def _block_pairs(t: float, depth: int):
         order = np.argsort(block, kind="stable")
         doc, size, place, block = doc[order], size[order], place[order], block[order]
         if first == second:
-            a, b = _propose(t, depth, doc, size, place)
+            a, b, _, _ = _propose(t, depth, doc, size, place)
         else:
-            a, b = _propose(t, depth, doc, size, place, int((block == first).sum()))
+            a, b, _, _ = _propose(t, depth, doc, size, place, int((block == first).sum()))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -247,8 +274,8 @@ def _check(t: float):
             cuts = [*np.flatnonzero(np.r_[True, a[1:] != a[:-1]]), len(a)]
             oa, ob, oj = [], [], []
             for lo, hi in zip(cuts, cuts[1:]):
-                probe = np.sort(np.frombuffer(sa[lo].as_buffer(), np.uint64))
-                sets = sorted(((np.frombuffer(sb[i].as_buffer(), np.uint64), int(b[i])) for i in range(lo, hi)), key=lambda x: x[0].tobytes()) if hi - lo > 1 else [(np.frombuffer(sb[lo].as_buffer(), np.uint64), int(b[lo]))]
+                probe = np.sort(_unpack(sa[lo]))
+                sets = sorted(((_unpack(sb[i]), int(b[i])) for i in range(lo, hi)), key=lambda x: x[0].tobytes())
                 path, partial, dead = np.zeros(0, np.uint64), np.zeros(1, np.int64), -1
                 for seq, other in sets:
                     m = min(len(path), len(seq))
@@ -277,6 +304,24 @@ def _check(t: float):
     return run
 
 
+def _picked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the records in some pair, picked while reading where their identifiers are few enough to be sent."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    some = ids.limit(MAX_SENT + 1).toArrow().column(0).to_numpy()
+    if len(some) > MAX_SENT:
+        return sets.join(ids, "doc_id", "left_semi")
+    sent = sets.sparkSession.sparkContext.broadcast(np.sort(some))
+
+    def run(batches):
+        wanted = sent.value
+        for batch in batches:
+            got = batch.column(0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(wanted, got), max(0, len(wanted) - 1))
+            yield batch.filter(pa.array(wanted[at] == got if len(wanted) else np.zeros(len(got), bool)))
+
+    return sets.mapInArrow(run, "doc_id long, seqs binary")
+
+
 def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, max_depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets, and the pairs of classes of similarity ``t`` or more.
 
@@ -302,23 +347,32 @@ def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, max_depth: int = 3
     for depth in range(1, max_depth + 1):
         walked = rows.repartition(width, "node").sortWithinPartitions("node").mapInArrow(_walk(t, depth), _NODES)
         walked = materialize(walked, "nodes")
-        found = walked.where("a is not null").select("a", "b")
-        pairs = found if pairs is None else pairs.unionByName(found)
         large = walked.where("node is not null")
-        if large.isEmpty():
-            large = None
+        crowded = not large.isEmpty()
+        if depth == 1:
+            shared = walked.where("a is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("reach"), F.first("least").alias("least")).where("reach >= 0")
+            if crowded:
+                hot = large.groupBy("doc").agg(F.count(F.lit(1)).alias("hot"))
+                shared = shared.join(hot.select(F.col("doc").alias("a"), F.col("hot").alias("ha")), "a", "left").join(hot.select(F.col("doc").alias("b"), F.col("hot").alias("hb")), "b", "left")
+                shared = shared.where(F.col("n") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0))) >= F.col("least"))
+            else:
+                shared = shared.where("n >= least")
+            pairs = shared.select("a", "b")
+        else:
+            pairs = pairs.unionByName(walked.where("a is not null").select("a", "b"))
+        if not crowded or depth == max_depth:
             break
-        if depth < max_depth:
-            step = large.join(sets.select(F.col("doc_id").alias("doc"), "seqs"), "doc").select("node", "doc", "size", "place", "seqs")
-            rows = step.mapInArrow(_descend(t, depth + 1), "node long, doc long, size int, place int")
-    if large is not None:
+        step = large.join(sets.select(F.col("doc_id").alias("doc"), "seqs"), "doc").select("node", "doc", "size", "place", "seqs")
+        rows = step.mapInArrow(_descend(t, depth + 1), "node long, doc long, size int, place int")
+    if crowded:
         blocks = large.groupBy("node").agg(F.max("block").alias("last"))
         sent = large.join(blocks, "node").select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
         sent = sent.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "size", "place", "block")
         pairs = pairs.unionByName(sent.groupBy("node", "i", "j").applyInArrow(_block_pairs(t, max_depth), "a long, b long"))
-    pairs = pairs.distinct()
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("seqs").alias("sa")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("seqs").alias("sb")), "b")
+    pairs = materialize(pairs.distinct(), "proposed")
+    asked = _picked(sets.select("doc_id", "seqs"), pairs)
+    left = pairs.join(asked.select(F.col("doc_id").alias("a"), F.col("seqs").alias("sa")), "a")
+    both = left.join(asked.select(F.col("doc_id").alias("b"), F.col("seqs").alias("sb")), "b")
     laid = both.select("a", "b", "sa", "sb").repartition(width, "a", F.pmod("b", F.lit(16))).sortWithinPartitions("a")
     return member, materialize(laid.mapInArrow(_check(t), "a long, b long, similarity double"), "pairs")
 
