@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 
 def osa(a: str, b: str, limit: int = 2) -> int:
@@ -24,7 +26,16 @@ def osa(a: str, b: str, limit: int = 2) -> int:
     return one[-1]
 
 
-@pandas_udf("int")
-def osa_distance(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _distances(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([None if x is None or y is None else osa(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
+@functools.cache
+def osa_udf():
+    """The Arrow function behind ``osa_distance``, made on first use on the driver."""
+    return pandas_udf(_distances, IntegerType())
+
+
+def osa_distance(a, b):
+    return osa_udf()(a, b)

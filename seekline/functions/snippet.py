@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 WINDOW = 200
 
@@ -39,6 +41,15 @@ def make_snippet(content: str | None, terms, window: int = WINDOW) -> str:
     return ("..." if start > 0 else "") + marked + ("..." if end < len(content) else "")
 
 
-@pandas_udf("string")
-def snippet(content: pd.Series, terms: pd.Series) -> pd.Series:
+def _snippets(content: pd.Series, terms: pd.Series) -> pd.Series:
     return pd.Series([make_snippet(c, t) for c, t in zip(content, terms)], dtype="object")
+
+
+@functools.cache
+def snippet_udf():
+    """The Arrow function behind ``snippet``, made on first use on the driver."""
+    return pandas_udf(_snippets, StringType())
+
+
+def snippet(content, terms):
+    return snippet_udf()(content, terms)

@@ -330,10 +330,10 @@ def embed_pending(spark, base):
 
 
 def ann_lsh(spark, base):
-    """Approximate join of unit vectors: pairs at Euclidean distance below 0.9 found by shared buckets."""
+    """Approximate join of unit vectors: pairs at Euclidean distance below 1.2 found by shared buckets."""
     model, rows = vectors.lsh_index(_embeddings(spark, base))
     asked = rows.where("doc_id % 50 = 0")
-    near = model.approxSimilarityJoin(asked, rows, 0.9, "distance")
+    near = model.approxSimilarityJoin(asked, rows, 1.2, "distance")
     return near.select(F.col("datasetA.doc_id").alias("query_id"), F.col("datasetB.doc_id").alias("vec_id"), (1 - F.col("distance") ** 2 / 2).alias("similarity")).where("query_id <> vec_id")
 
 

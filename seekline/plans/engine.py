@@ -8,8 +8,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekline.config import DEFAULTS, Settings
-from seekline.functions.snippet import snippet
+from seekline.config import DEFAULTS, INDEX_STOP_WORDS, Settings
+from seekline.functions.edit import osa_udf
+from seekline.functions.snippet import snippet, snippet_udf
 from seekline.functions.text import classify_intent, expand_terms, query_tokens
 from seekline.operators import analytics, answer, bm25, graph, hybrid, index, spell, suggest, vectors
 from seekline.plans.lineage import materialize
@@ -18,11 +19,9 @@ from seekline.sources.adapters import Geocoder, Model, no_model, synonyms_of, wi
 
 def register_functions(spark: SparkSession) -> None:
     """SQL functions: tokenize, query_tokens, classify_intent, cosine_sim, osa_distance, snippet, bm25_term."""
-    from seekline.functions.edit import osa_distance
-
-    spark.udf.register("osa_distance", osa_distance)
-    spark.udf.register("snippet", snippet)
-    quoted = ", ".join(f"'{w}'" for w in _stop_words())
+    spark.udf.register("osa_distance", osa_udf())
+    spark.udf.register("snippet", snippet_udf())
+    quoted = ", ".join(f"'{w}'" for w in INDEX_STOP_WORDS)
     define = "CREATE OR REPLACE TEMPORARY FUNCTION"
     spark.sql(f"{define} tokenize(t STRING) RETURNS ARRAY<STRING> RETURN filter(transform(filter(split(t, '[^A-Za-z0-9]+'), x -> length(x) >= 2), x -> lower(x)), x -> x NOT IN ({quoted}))")
     spark.sql(f"{define} query_tokens(q STRING) RETURNS ARRAY<STRING> RETURN regexp_extract_all(lower(q), '[a-z0-9]+', 0)")
@@ -30,12 +29,6 @@ def register_functions(spark: SparkSession) -> None:
     spark.sql(f"{define} bm25_term(tf DOUBLE, df DOUBLE, n DOUBLE, dl DOUBLE, avgdl DOUBLE) RETURNS DOUBLE RETURN ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))")
 
 
-def _stop_words():
-    from seekline.config import INDEX_STOP_WORDS
-
-    return INDEX_STOP_WORDS
-
-
 class Engine:
     """All operators over one set of tables.
 
