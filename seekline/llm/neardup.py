@@ -140,17 +140,34 @@ def _roots(t: float):
 
 
 def _propose(t: float, depth: int, doc, size, place, other=None):
-    """Pairs of a node that sizes and, below the first level, remaining lengths allow.
-
-    Also gives how far what may follow here exceeds the needed overlap, and how
-    many sequences the prefixes must share at least.  ``other`` marks where a
-    second block begins.
-    """
+    """Pairs of one node; ``other`` marks where a second block begins."""
     n = len(doc)
     if other is None:
         a, b = np.triu_indices(n, 1)
     else:
         a, b = (x.ravel() for x in np.meshgrid(np.arange(other), np.arange(other, n), indexing="ij"))
+    return _allowed(t, depth, doc, size, place, a, b)
+
+
+def _propose_many(t: float, depth: int, rows, starts, sizes):
+    """Pairs of many small nodes of ``rows``, those of one size at a time."""
+    out = []
+    for k in np.unique(sizes).tolist():
+        i, j = np.triu_indices(k, 1)
+        at = starts[sizes == k]
+        step = max(1, 1_000_000 // len(i))
+        for lo in range(0, len(at), step):
+            part = at[lo : lo + step, None]
+            out.append(_allowed(t, depth, rows[:, 1], rows[:, 2], rows[:, 3], (part + i).ravel(), (part + j).ravel()))
+    return out
+
+
+def _allowed(t: float, depth: int, doc, size, place, a, b):
+    """The pairs (a, b) of rows that sizes and, below the first level, remaining lengths allow.
+
+    Also gives how far what may follow here exceeds the needed overlap, and how
+    many sequences the prefixes must share at least.
+    """
     sa, sb = size[a].astype(np.int64), size[b].astype(np.int64)
     need = np.ceil(t / (1 + t) * (sa + sb) - 1e-9).astype(np.int64)
     reach = depth - 1 + np.minimum(sa - place[a], sb - place[b]) - need
@@ -199,15 +216,18 @@ def _walk(t: float, depth: int):
             rows = np.stack(cols, axis=1)
             cuts = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0]])
             ends = np.r_[cuts[1:], len(rows)]
-            pairs, big, blocks = [], [], []
-            for i in range(len(cuts)):
+            big, blocks = [], []
+            # Nodes that lie whole within the batch and are small are paired together; the others one by one.
+            inner = np.zeros(len(cuts), bool)
+            inner[1:-1] = ends[1:-1] - cuts[1:-1] <= NODE
+            some = inner & (ends - cuts > 1)
+            pairs = _propose_many(t, depth, rows, cuts[some], (ends - cuts)[some])
+            for i in np.flatnonzero(~inner):
                 start, end = cuts[i], ends[i]
                 if current is not None and rows[start, 0] != current:
                     close(kept, held, given, pairs, big, blocks)
                     kept, held, given = [], 0, 0
                 current = rows[start, 0]
-                if end - start == 1 and not held and 0 < i < len(cuts) - 1:
-                    continue  # a node of its own
                 kept.append(rows[start:end])
                 held += end - start
                 while held > NODE:
