@@ -73,7 +73,7 @@ def merge(old: DataFrame, new: DataFrame, replace_docs: bool = False) -> DataFra
     which otherwise keep terms that vanished from them.
     """
     keys = ["doc_id"] if replace_docs else ["term", "doc_id"]
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(new)
 
 
 def merge_json(old: DataFrame, new: DataFrame) -> DataFrame:
