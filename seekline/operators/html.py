@@ -83,9 +83,14 @@ def page_links(parsed: DataFrame, base: str, prefix: str = "/wiki/", namespaces:
     """
     href = lambda a: a["href"]
     fits = lambda a: (a["lang"].isNull() | (a["lang"] == "") | (a["lang"] == "en")) & F.startswith(href(a), F.lit(prefix)) & ~F.contains(href(a), F.lit("disambiguation"))
-    kept = F.filter("anchors", fits)
-    for n in namespaces:
-        kept = F.filter(kept, lambda a, n=n: ~F.startswith(href(a), F.lit(n)))
+
+    def article(a):
+        out = fits(a)
+        for n in namespaces:
+            out = out & ~F.startswith(href(a), F.lit(n))
+        return out
+
+    kept = F.filter("anchors", article)
     urls = F.array_distinct(F.transform(kept, lambda a: F.concat(F.lit(base), href(a))))
     return parsed.select(F.col("url").alias("source_url"), F.explode(urls).alias("target_url"))
 
