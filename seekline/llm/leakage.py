@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekline.llm.words import words
+from seekline.sources.tables import spread
 
 #: Largest test set that is sent to every task: characters of all items together.
 MAX_TEST_CHARS = 64_000_000
@@ -204,7 +205,7 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 15, share: float = 0.1)
     for p in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p)
         tests = spark.sparkContext.broadcast(TestSet([(r["item_id"], r["text"]) for r in part.toLocalIterator()], run, share))
-        found = docs.select("doc_id", "text").mapInArrow(_search(tests), "doc_id long, item_id long, longest int, item_words int, changed int, word_at int")
+        found = spread(docs.select("doc_id", "text")).mapInArrow(_search(tests), "doc_id long, item_id long, longest int, item_words int, changed int, word_at int")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekline.plans.lineage import materialize
+from seekline.sources.tables import spread
 
 #: Chains as (written as, read as), applied again for each further pair. Fixed values.
 CHAINS: list[tuple[str, tuple[tuple[str, str], ...]]] = [
@@ -310,6 +311,7 @@ def garbled_records(docs: DataFrame, fields: tuple[str, ...] = ("text",), rounds
     for f in fields:
         one = docs.select("doc_id", F.lit(f).alias("field"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(f).alias("text"))
         long = one if long is None else long.unionByName(one)
+    long = spread(long)
     table = materialize(long.select("text").mapInArrow(_word_tables, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     model = shares = None
     prior = np.full(len(CHAINS) + 1, 0.01 / len(CHAINS))
@@ -336,8 +338,8 @@ def garbled_records(docs: DataFrame, fields: tuple[str, ...] = ("text",), rounds
     per = hit.join(sizes, ["source", "field"])
     per = per.select("source", "field", F.concat("own", F.array(F.greatest(F.col("seen") - F.aggregate("own", F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))).alias("own"), "seen")
     salts = 8
-    spread = per.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    joined = evidence.withColumn("salt", F.pmod("doc_id", F.lit(salts)).cast("int")).join(spread, ["source", "field", "salt"], "left").select("doc_id", "field", "source", "lost", "ratios", "own", "seen")
+    salted = per.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    joined = evidence.withColumn("salt", F.pmod("doc_id", F.lit(salts)).cast("int")).join(salted, ["source", "field", "salt"], "left").select("doc_id", "field", "source", "lost", "ratios", "own", "seen")
     last = joined.mapInArrow(_posterior(shares), kinds)
     best = F.expr("array_position(slice(posterior, 1, %d), array_max(slice(posterior, 1, %d)))" % (width - 1, width - 1))
     names = F.array(*[F.lit(n) for n in NAMES])

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from seekline.llm.words import WordHashes, grams, words
 from seekline.plans.lineage import materialize
-from seekline.sources.tables import partitions
+from seekline.sources.tables import partitions, spread
 
 #: Buckets of the document-frequency sketch that fixes the global order: 16 MB whatever the input.
 SKETCH = 1 << 22
@@ -352,7 +352,7 @@ def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, max_depth: int = 3
     """
     spark = docs.sparkSession
     width = partitions(spark)
-    docs = docs.select("doc_id", "title", "content")
+    docs = spread(docs.select("doc_id", "title", "content"))
     sketch = spark.sparkContext.broadcast(_frequency_sketch(docs, n))
     every = materialize(docs.mapInArrow(_set_builder(n, sketch), "doc_id long, print long, size int, seqs binary"), "sets")
     classes = every.groupBy("print", "size").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekline.plans.lineage import materialize
+from seekline.sources.tables import spread
 
 #: Texts of one block: what one task packs at a time.
 BLOCK = 50_000
@@ -109,7 +110,7 @@ def _sizer(vocabulary: str):
 
 def token_sizes(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, text: str = "text") -> DataFrame:
     """``doc_id, tokens``: length of each text in tokens of the public tokenizer at ``vocabulary``; null and empty texts have 0."""
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(_sizer(vocabulary), "doc_id long, tokens int")
+    return spread(docs.select("doc_id", F.col(text).alias("text"))).mapInArrow(_sizer(vocabulary), "doc_id long, tokens int")
 
 
 def _pack(key, table):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seekline.sources.tables import spread
+
 
 def term_rows(index: DataFrame) -> DataFrame:
     """Rows (term, postings map) with the term trimmed and in lower case.
@@ -14,7 +16,7 @@ def term_rows(index: DataFrame) -> DataFrame:
     stands in another row.
     """
     whole = F.when(F.col("postings").rlike(r"^\s*\{[\s\S]*\}\s*$"), F.from_json("postings", "map<string,bigint>"))
-    return index.select(F.trim(F.lower("term")).alias("term"), whole.alias("entries")).where("term <> '' and entries is not null and size(entries) > 0")
+    return spread(index.select("term", "postings")).select(F.trim(F.lower("term")).alias("term"), whole.alias("entries")).where("term <> '' and entries is not null and size(entries) > 0")
 
 
 def postings(rows: DataFrame, key: str = "term") -> DataFrame:
