@@ -52,17 +52,26 @@ def pagerank(links: DataFrame, docs: DataFrame | None = None, s: Settings = DEFA
     graph = materialize(numbered.join(degree, "src"), "edges")
     base = materialize(named.select("id").join(degree.withColumnRenamed("src", "id"), "id", "left"), "degrees")
     ranks = base.withColumn("rank", F.lit(1.0 / n))
-    rounds = fixed_rounds if fixed_rounds is not None else s.max_iterations
-    done = 0
-    for i in range(rounds):
-        loose = ranks.where("out_degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose")).first()["loose"]
+    start = ranks.agg(F.coalesce(F.sum(F.when(F.col("out_degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")).first()
+    loose, held, done = start["loose"], [], 0
+    for i in range(fixed_rounds if fixed_rounds is not None else s.max_iterations):
         given = graph.join(ranks.select(F.col("id").alias("src"), F.col("rank")), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out_degree")).alias("given"))
-        fresh = ranks.join(given.withColumnRenamed("dst", "id"), "id", "left").select("id", "out_degree", (F.lit((1 - s.damping) / n + s.damping * loose / n) + s.damping * F.coalesce("given", F.lit(0.0))).alias("new"), F.col("rank").alias("old"))
-        fresh = materialize(fresh, "ranks")
-        ranks = fresh.select("id", "out_degree", F.col("new").alias("rank"))
-        done = i + 1
-        if fixed_rounds is None and fresh.agg(F.sum(F.abs(F.col("new") - F.col("old"))).alias("moved")).first()["moved"] < s.epsilon:
+        fresh = ranks.join(given.withColumnRenamed("dst", "id"), "id", "left").select("id", "out_degree", (F.lit((1 - s.damping) / n + s.damping * loose / n) + s.damping * F.coalesce("given", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
+        # Kept for the next round; every few rounds the lineage is cut, and what was kept before is let go.
+        cut = (i + 1) % 5 == 0
+        fresh = materialize(fresh, "ranks") if cut else fresh.persist()
+        seen = fresh.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("moved"), F.coalesce(F.sum(F.when(F.col("out_degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")).first()
+        if cut:
+            while held:
+                held.pop().unpersist()
+        else:
+            held.append(fresh)
+        ranks, loose, done = fresh.select("id", "out_degree", "rank"), seen["loose"], i + 1
+        if fixed_rounds is None and seen["moved"] < s.epsilon:
             break
+    ranks = materialize(ranks, "ranks")
+    while held:
+        held.pop().unpersist()
     return named.join(ranks, "id").select("url", F.col("rank").alias("score")), done
 
 
@@ -88,8 +97,8 @@ def bfs(links: DataFrame, roots: DataFrame, limit: int | None = None, max_levels
     are taken in the order of their urls.
     """
     e = materialize(edges(links), "edges")
-    seen = materialize(roots.select("url").distinct().withColumn("level", F.lit(0)), "seen")
-    front, total = seen, seen.count()
+    seen = front = materialize(roots.select("url").distinct().withColumn("level", F.lit(0)), "front")
+    total = seen.count()
     for level in range(1, max_levels + 1):
         if limit is not None and total >= limit:
             break
@@ -102,5 +111,5 @@ def bfs(links: DataFrame, roots: DataFrame, limit: int | None = None, max_levels
         if not n:
             break
         total += n
-        seen = materialize(seen.unionByName(front), "seen")
+        seen = seen.unionByName(front)  # each level's pages stay where they were written
     return seen

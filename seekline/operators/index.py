@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seekline.config import DEFAULTS, Settings
 from seekline.functions.text import text_or_empty, tokenize
+from seekline.sources.tables import spread
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -24,6 +25,7 @@ def postings(docs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """
     weighed = lambda c, w: F.transform(tokenize(text_or_empty(c), s.min_token), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
     both = F.concat(weighed("title", s.title_weight), weighed("content", s.body_weight))
+    docs = spread(docs.select("doc_id", "title", "content"))
     return docs.select("doc_id", F.explode(both).alias("t")).groupBy("t.term", "doc_id").agg(F.sum("t.w").alias("tf")).select("term", "doc_id", "tf")
 
 
@@ -62,7 +64,7 @@ def to_json(posts: DataFrame) -> DataFrame:
 def from_json(index: DataFrame) -> DataFrame:
     """``term, doc_id, tf`` of stored JSON rows, terms trimmed and in lower case, the largest count of repeats; broken JSON is skipped."""
     whole = F.when(F.col("postings").rlike(r"^\s*\{[\s\S]*\}\s*$"), F.from_json("postings", "map<string,bigint>"))
-    rows = index.select(F.trim(F.lower("term")).alias("term"), F.explode(whole).alias("doc", "tf"))
+    rows = spread(index.select("term", "postings")).select(F.trim(F.lower("term")).alias("term"), F.explode(whole).alias("doc", "tf"))
     return rows.select("term", F.expr("try_cast(doc as bigint)").alias("doc_id"), "tf").where("term <> '' and doc_id is not null").groupBy("term", "doc_id").agg(F.max("tf").alias("tf"))
 
 

@@ -7,8 +7,6 @@ filters down into it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,7 +42,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def batches_to_columns(batches: Iterator) -> Iterator[dict]:
-    """Arrow batches as dictionaries of Python lists."""
-    for b in batches:
-        yield b.to_pydict()
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer tasks than there are cores, for work that costs far more than moving the rows.
+
+    A large input has more tasks than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
