@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -79,11 +80,11 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "doc_id",
     Vectors of another dimension, null or all zero, take no part.
     """
     spark = vectors.sparkSession
-    asked = [(r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").where("vector is not null").toLocalIterator()]
+    asked = queries.select("query_id", "vector").where("vector is not null").toLocalIterator()
     kind = dict(vectors.dtypes)[id_col]
     out = None
-    for i in range(0, len(asked), block):
-        part = asked[i : i + block]
+    # One block of queries is held at a time.
+    while part := [(r["query_id"], r["vector"]) for r in itertools.islice(asked, block)]:
         dim = len(part[0][1])
         part = [(a, v) for a, v in part if len(v) == dim and any(v)]
         if not part:
