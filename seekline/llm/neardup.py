@@ -38,8 +38,6 @@ SKETCH = 1 << 22
 SKETCH_CHUNK = 1 << 17
 #: Bytes of a stored sequence hash; equal hashes of different sequences within a pair are as likely as 1 in 10 million.
 WIDE = 5
-#: Most record identifiers that are sent to every task to pick their sets (8 bytes each); beyond it they are joined.
-MAX_SENT = 4_000_000
 #: Records of a node that are compared in one place.
 NODE = 256
 #: Members of a class of equal sets whose pairs are written out; beyond it they are linked to the class's first record.
@@ -324,24 +322,6 @@ def _check(t: float):
     return run
 
 
-def _picked(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets of the records in some pair, picked while reading where their identifiers are few enough to be sent."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    some = ids.limit(MAX_SENT + 1).toArrow().column(0).to_numpy()
-    if len(some) > MAX_SENT:
-        return sets.join(ids, "doc_id", "left_semi")
-    sent = sets.sparkSession.sparkContext.broadcast(np.sort(some))
-
-    def run(batches):
-        wanted = sent.value
-        for batch in batches:
-            got = batch.column(0).to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(wanted, got), max(0, len(wanted) - 1))
-            yield batch.filter(pa.array(wanted[at] == got if len(wanted) else np.zeros(len(got), bool)))
-
-    return sets.mapInArrow(run, "doc_id long, seqs binary")
-
-
 def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, max_depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets, and the pairs of classes of similarity ``t`` or more.
 
@@ -390,7 +370,8 @@ def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, max_depth: int = 3
         sent = sent.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "size", "place", "block")
         pairs = pairs.unionByName(sent.groupBy("node", "i", "j").applyInArrow(_block_pairs(t, max_depth), "a long, b long"))
     pairs = materialize(pairs.distinct(), "proposed")
-    asked = _picked(sets.select("doc_id", "seqs"), pairs)
+    # Only sets of records in some pair are sent on; Spark itself broadcasts the identifiers where they are few.
+    asked = sets.select("doc_id", "seqs").join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
     left = pairs.join(asked.select(F.col("doc_id").alias("a"), F.col("seqs").alias("sa")), "a")
     both = left.join(asked.select(F.col("doc_id").alias("b"), F.col("seqs").alias("sb")), "b")
     laid = both.select("a", "b", "sa", "sb").repartition(width, "a", F.pmod("b", F.lit(16))).sortWithinPartitions("a")
