@@ -72,6 +72,21 @@ LOST = "�"
 _TOKEN = re.compile(r"[^ \t\r\n\f\v]*[^\x00-\x7f][^ \t\r\n\f\v]*")
 
 
+#: Longer stretches without a blank are looked at in pieces of this length, so none costs more than its length.
+PIECE = 200
+
+
+def _words(text: str) -> Iterator[str]:
+    """The words of the whole text with characters beyond ASCII, very long ones in pieces."""
+    for w in _TOKEN.findall(text):
+        if len(w) <= PIECE:
+            yield w
+        else:
+            for i in range(0, len(w), PIECE):
+                if not w[i : i + PIECE].isascii():
+                    yield w[i : i + PIECE]
+
+
 def _high_half(encoding: str) -> dict[int, str]:
     """Characters of the bytes 80 to FF; a byte the code page lacks passes through as a control character."""
     out = {}
@@ -195,8 +210,8 @@ def _word_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
         for text in batch.column(0).to_pylist():
             if text and not text.isascii():
-                for w in _TOKEN.findall(text):
-                    if LOST not in w and len(w) <= 200:
+                for w in _words(text):
+                    if LOST not in w:
                         counts[w] = counts.get(w, 0) + 1
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
@@ -249,12 +264,10 @@ def _evidence(model):
                     continue
                 total = np.zeros(len(CHAINS))
                 gone = 0
-                for w in _TOKEN.findall(text):
+                for w in _words(text):
                     if LOST in w:
                         gone += 1
                         continue
-                    if len(w) > 200:
-                        continue
                     gain = remembered.get(w)
                     if gain is None:
                         if len(remembered) > 200_000:
@@ -303,8 +316,7 @@ def garbled_records(docs: DataFrame, fields: tuple[str, ...] = ("text",), rounds
 
     ``chain`` is the most probable one, null where only U+FFFD tells; ``lost``
     counts words with U+FFFD.  A null source is a source of its own; null,
-    empty and plain ASCII texts are never garbled.  Words longer than 200
-    characters are no evidence.
+    empty and plain ASCII texts are never garbled.
     """
     spark = docs.sparkSession
     long = None
