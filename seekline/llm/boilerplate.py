@@ -164,6 +164,35 @@ def _nesting(template, known):
     return run
 
 
+def _elsewhere(template, known):
+    """Of each page's sentences outside the template, the tokens, the whole line and the longest other line outside the template, null where there is none."""
+
+    def run(batches):
+        t = template.value if template is not None else None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _Lines(batch, t)
+            order = np.lexsort((x.full, x.page))
+            again = np.zeros(len(order), bool)
+            again[order[1:]] = (x.full[order[1:]] == x.full[order[:-1]]) & (x.page[order[1:]] == x.page[order[:-1]])
+            size = np.where(x.hit | again, 0, x.words)
+            order = np.lexsort((x.full, -size, x.page))
+            start = (np.cumsum(x.lengths) - x.lengths)[x.page]
+            one, two = order[start], order[np.minimum(start + 1, len(order) - 1)]
+            other = np.where(x.full[one] != x.full, one, two)
+            none = (size[other] == 0) | (x.page[other] != x.page)
+            asked = x.ends & ~x.hit
+            token, line = np.concatenate([x.full[asked], x.first[asked, 2]]), np.tile(np.flatnonzero(asked), 2)
+            keep = token != 0
+            if known is not None:
+                keep &= _isin(token, known.value)
+            token, line = token[keep], line[keep]
+            yield pa.RecordBatch.from_pydict({"token": pa.array(token, pa.int64()), "form": pa.array(x.full[line], pa.int64()), "other": pa.array(x.full[other[line]], pa.int64(), mask=none[line])})
+
+    return run
+
+
 def _mark(template, labels, judged):
     """Lines of the template: by its tokens, as rows of known link labels, or as a short rest, too rare to be judged, that is shut in between template lines."""
 
@@ -229,17 +258,21 @@ def deduce_template(pages: DataFrame, rounds: int = 3, support: int = 4, share:
     slots = heads.where(f"n >= {2 * support} and ended < 0.2 * n and least <> most").select("token")
     template = materialize(menus.unionByName(common).unionByName(slots).distinct(), "template")
     judged = materialize(on_host.groupBy("token").agg(F.sum("n").alias("n")).where(f"n >= {support}").select("token"), "judged")
-    known, total = _sent(spark, judged), pages.count()
+    known = _sent(spark, judged)
     for _ in range(rounds):
         sent = _sent(spark, template)
         laid = pages if sent is not None else _with_hits(pages, template)
         stats = laid.mapInArrow(_nesting(sent, known), "token long, kind int, n long, before long, after long, ended long, words int").groupBy("token", "kind").agg(*[F.sum(c).alias(c) for c in ("n", "before", "after", "ended")], F.min("words").alias("words"))
         n, both = F.col("n"), F.col("before") + F.col("after")
         # A heading follows template lines now and then but is itself followed by the article; a notice within the article has
-        # them on either side; sentences of copied articles don't recur over so many pages.
+        # them on either side; a sentence of a copied article comes with the same other lines, one of the template with ever others.
         sentence = F.col("ended") > 0.5 * n
         short = F.col("words") < 4
-        beside = F.when(sentence, (both >= 0.7 * n) & (n >= 0.001 * total)).when(short, (F.col("after") >= 0.3 * n) | (F.col("before") >= 0.6 * n)).otherwise(both >= 0.5 * n)
+        found = laid.mapInArrow(_elsewhere(sent, known), "token long, form long, other long").groupBy("token").agg(F.count(F.lit(1)).alias("places"), F.count_distinct("form").alias("forms"), F.count_distinct("other").alias("others"))
+        # The first words of articles' sentences go on in ever new forms, those of a notice in a few; many places tell as much.
+        stats = stats.join(found, "token", "left")
+        notice = (F.col("others") >= 0.7 * F.col("places")) & ((F.col("forms") <= 0.75 * F.col("places")) | (n >= 2.5 * support))
+        beside = F.when(sentence, (both >= 0.7 * n) & notice).when(short, (F.col("after") >= 0.3 * n) | (F.col("before") >= 0.6 * n)).otherwise(both >= 0.5 * n)
         nested = stats.where((n >= support) & beside & F.col("kind").isin(0, 3)).select("token")
         grown = materialize(template.unionByName(nested).distinct(), "template")
         done = grown.count() == template.count()

@@ -141,3 +141,22 @@ def test_large_template_is_joined(pages, monkeypatch):
     monkeypatch.setattr(boilerplate, "MAX_SENT", 3)
     got = {tuple(r) for r in boilerplate.template_lines(pages).collect()}
     assert len(want ^ got) <= 0.05 * len(want)
+
+
+def words_of(rng, n):
+    return " ".join("w" + chr(97 + k % 20) + chr(97 + k // 20) for k in rng.integers(0, 400, n))
+
+
+def test_notice_of_a_small_host_in_a_large_table(spark):
+    rng = np.random.default_rng(5)
+    menu, foot = ["Start", "Topics", "People", "Places"], "Smallfacts keeps cookies to know you again."
+    # Eight pages with a notice, four copies of one article whose first line follows the menu, and many pages of others.
+    rows = [(i, "https://www.smallfacts.org/p", "\n".join([*menu, *[words_of(rng, 12) + "." for _ in range(3)], foot])) for i in range(8)]
+    copied = [words_of(rng, 14) + "." for _ in range(3)]
+    rows += [(10 + i, f"https://www.smallfacts.org/c{i}", "\n".join([*menu, *copied, foot])) for i in range(4)]
+    rows += [(20, "https://www.smallfacts.org/n", "\n".join([*menu, *[words_of(rng, 12) + "." for _ in range(3)]]))]
+    rows += [(100 + i, f"https://big.org/{i}", "\n".join(words_of(rng, 12) + "." for _ in range(3))) for i in range(14_000)]
+    got: dict = {}
+    for r in boilerplate.template_lines(spark.createDataFrame(rows, "doc_id long, url string, content string")).collect():
+        got.setdefault(r["doc_id"], set()).add(r["line_no"])
+    assert all(got[i] == {1, 2, 3, 4, 8} for i in [*range(8), *range(10, 14)]), got
