@@ -102,6 +102,13 @@ def _isin(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
+def _marks(places, lengths: np.ndarray) -> np.ndarray:
+    """A flag for each entry of lists of these lengths, set at the places of each list."""
+    out = np.zeros(int(lengths.sum()), bool)
+    out[_flat(places).astype(np.int64) + np.repeat(np.cumsum(lengths) - lengths, np.diff(places.offsets.to_numpy()))] = True
+    return out
+
+
 class _Lines:
     """The lines of a batch of pages laid end to end, and which of them belong to the template so far."""
 
@@ -119,10 +126,7 @@ class _Lines:
         if template is not None:
             self.hit = _isin(self.full, template) | _isin(self.first.ravel(), template).reshape(-1, 3).any(axis=1)
         else:
-            self.hit = np.zeros(len(self.full), bool)
-            places = column("hits")
-            n = np.diff(places.offsets.to_numpy())
-            self.hit[_flat(places).astype(np.int64) + np.repeat(start, n)] = True
+            self.hit = _marks(column("hits"), self.lengths)
         n = len(self.full)
         self.opens = np.zeros(n, bool)
         self.closes = np.zeros(n, bool)
@@ -202,12 +206,15 @@ def _mark(template, labels, judged):
             if not batch.num_rows:
                 continue
             x = _Lines(batch, t)
+            column = lambda n: batch.column(batch.schema.get_field_index(n))
             if len(x.label):
-                unknown = np.bincount(x.label_line, weights=~_isin(x.label, labels.value), minlength=len(x.full))
+                known = _isin(x.label, labels.value) if labels is not None else _marks(column("known_labels"), np.diff(column("label").offsets.to_numpy()))
+                unknown = np.bincount(x.label_line, weights=~known, minlength=len(x.full))
                 some = np.bincount(x.label_line, minlength=len(x.full))
                 x.hit = x.hit | ((some > 0) & (unknown == 0))
             before, after = x.beside()
-            hit = x.hit | (before & after & ~x.ends & (x.words <= 6) & ~(x.opens & x.closes) & ~_isin(x.full, judged.value))
+            common = _isin(x.full, judged.value) if judged is not None else _marks(column("judged_lines"), x.lengths)
+            hit = x.hit | (before & after & ~x.ends & (x.words <= 6) & ~(x.opens & x.closes) & ~common)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(x.doc[x.page[hit]], pa.int64()), "line_no": pa.array(x.no[hit], pa.int32())})
 
     return run
@@ -228,10 +235,14 @@ def _sent(spark, tokens: DataFrame):
     return spark.sparkContext.broadcast(np.sort(got)) if len(got) <= MAX_SENT else None
 
 
+def _with_places(pages: DataFrame, name: str, at: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The pages with the places (doc_id, at, token) of the given tokens, for tokens too many to be sent."""
+    found = at.select("doc_id", "at", "token").join(tokens.select("token"), "token", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias(name))
+    return pages.join(found, "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
+
+
 def _with_hits(pages: DataFrame, template: DataFrame) -> DataFrame:
-    """The pages with the places of their template lines, for a template too large to be sent."""
-    hits = _tokens(pages).select("doc_id", "at", "token").join(template, "token", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("hits"))
-    return pages.join(hits, "doc_id", "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<int>")))
+    return _with_places(pages, "hits", _tokens(pages), template)
 
 
 def deduce_template(pages: DataFrame, rounds: int = 3, support: int = 4, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
@@ -263,6 +274,8 @@ def deduce_template(pages: DataFrame, rounds: int = 3, support: int = 4, share:
         sent = _sent(spark, template)
         laid = pages if sent is not None else _with_hits(pages, template)
         stats = laid.mapInArrow(_nesting(sent, known), "token long, kind int, n long, before long, after long, ended long, words int").groupBy("token", "kind").agg(*[F.sum(c).alias(c) for c in ("n", "before", "after", "ended")], F.min("words").alias("words"))
+        if known is None:
+            stats = stats.join(judged, "token", "left_semi")
         n, both = F.col("n"), F.col("before") + F.col("after")
         # A heading follows template lines now and then but is itself followed by the article; a notice within the article has
         # them on either side; a sentence of a copied article comes with the same other lines, one of the template with ever others.
@@ -292,11 +305,14 @@ def template_lines(docs: DataFrame, rounds: int = 3) -> DataFrame:
     pages = materialize(spread(docs.select("doc_id", "url", "content")).mapInArrow(_read_lines, PAGES), "pages")
     template, recurring = deduce_template(pages, rounds)
     seen = pages.select("host", F.explode("label").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("host").alias("a"), F.max("host").alias("b"))
-    labels = _sent(spark, seen.where("n >= 5 and a <> b"))
-    sent = _sent(spark, template)
+    linked = seen.where("n >= 5 and a <> b")
+    sent, labels, judged = _sent(spark, template), _sent(spark, linked), _sent(spark, recurring)
     laid = pages if sent is not None else _with_hits(pages, template)
-    none = spark.sparkContext.broadcast(np.zeros(0, np.int64))
-    return laid.mapInArrow(_mark(sent, labels or none, _sent(spark, recurring) or none), "doc_id long, line_no int")
+    if labels is None:
+        laid = _with_places(laid, "known_labels", pages.select("doc_id", F.posexplode("label").alias("at", "token")), linked)
+    if judged is None:
+        laid = _with_places(laid, "judged_lines", pages.select("doc_id", F.posexplode("full").alias("at", "token")), recurring)
+    return laid.mapInArrow(_mark(sent, labels, judged), "doc_id long, line_no int")
 
 
 def main_content(docs: DataFrame, rounds: int = 3) -> DataFrame:

@@ -160,3 +160,18 @@ def test_notice_of_a_small_host_in_a_large_table(spark):
     for r in boilerplate.template_lines(spark.createDataFrame(rows, "doc_id long, url string, content string")).collect():
         got.setdefault(r["doc_id"], set()).add(r["line_no"])
     assert all(got[i] == {1, 2, 3, 4, 8} for i in [*range(8), *range(10, 14)]), got
+
+
+def test_bound_of_sent_tokens_changes_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    links = ["Maps", "Tools", "Help", "Shop", "Jobs", "Press"]
+    rows = []
+    for i in range(60):
+        lines = page(rng, i).split("\n")
+        row = " | ".join(links[k] for k in rng.permutation(6)[: 3 + i % 3])
+        rows.append((i, f"https://{'en' if i % 2 else 'de'}.examplewiki.org/p{i}", "\n".join([*lines[:4], f"Part{'abc'[i % 3]}", *lines[4:7], row, *lines[7:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, url string, content string")
+    want = {tuple(r) for r in boilerplate.template_lines(docs).collect()}
+    assert {(i, 9) for i in range(60)} <= want
+    monkeypatch.setattr(boilerplate, "MAX_SENT", 0)
+    assert {tuple(r) for r in boilerplate.template_lines(docs).collect()} == want
