@@ -268,23 +268,25 @@ def deduce_template(pages: DataFrame, rounds: int = 3, support: int = 4, share:
     heads = on_host.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"), F.min("least").alias("least"), F.max("most").alias("most"))
     slots = heads.where(f"n >= {2 * support} and ended < 0.2 * n and least <> most").select("token")
     template = materialize(menus.unionByName(common).unionByName(slots).distinct(), "template")
-    judged = materialize(on_host.groupBy("token").agg(F.sum("n").alias("n")).where(f"n >= {support}").select("token"), "judged")
+    # Over all hosts: a line that stands once on each of many is judged, too.
+    counts = _tokens(pages).groupBy("host", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("on_one"))
+    judged = materialize(counts.where(f"n >= {support}").select("token", "on_one"), "judged")
     known = _sent(spark, judged)
     for _ in range(rounds):
         sent = _sent(spark, template)
         laid = pages if sent is not None else _with_hits(pages, template)
         stats = laid.mapInArrow(_nesting(sent, known), "token long, kind int, n long, before long, after long, ended long, words int").groupBy("token", "kind").agg(*[F.sum(c).alias(c) for c in ("n", "before", "after", "ended")], F.min("words").alias("words"))
-        if known is None:
-            stats = stats.join(judged, "token", "left_semi")
+        stats = stats.join(judged, "token")
         n, both = F.col("n"), F.col("before") + F.col("after")
         # A heading follows template lines now and then but is itself followed by the article; a notice within the article has
         # them on either side; a sentence of a copied article comes with the same other lines, one of the template with ever others.
         sentence = F.col("ended") > 0.5 * n
         short = F.col("words") < 4
         found = laid.mapInArrow(_elsewhere(sent, known), "token long, form long, other long").groupBy("token").agg(F.count(F.lit(1)).alias("places"), F.count_distinct("form").alias("forms"), F.count_distinct("other").alias("others"))
-        # The first words of articles' sentences go on in ever new forms, those of a notice in a few; many places tell as much.
+        # The first words of articles' sentences go on in ever new forms, those of a notice in a few, and a notice recurs on a host; many places tell as much.
         stats = stats.join(found, "token", "left")
-        notice = (F.col("others") >= 0.7 * F.col("places")) & ((F.col("forms") <= 0.75 * F.col("places")) | (n >= 2.5 * support))
+        told = F.when(F.col("kind") == 0, F.col("on_one") > 1).otherwise(F.col("forms") <= 0.75 * F.col("places"))
+        notice = (F.col("others") >= 0.7 * F.col("places")) & (told | (n >= 2.5 * support))
         beside = F.when(sentence, (both >= 0.7 * n) & notice).when(short, (F.col("after") >= 0.3 * n) | (F.col("before") >= 0.6 * n)).otherwise(both >= 0.5 * n)
         nested = stats.where((n >= support) & beside & F.col("kind").isin(0, 3)).select("token")
         grown = materialize(template.unionByName(nested).distinct(), "template")
@@ -292,7 +294,7 @@ def deduce_template(pages: DataFrame, rounds: int = 3, support: int = 4, share:
         template = grown
         if done:
             break
-    return template, judged
+    return template, judged.select("token")
 
 
 def template_lines(docs: DataFrame, rounds: int = 3) -> DataFrame:

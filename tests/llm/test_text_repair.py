@@ -175,3 +175,12 @@ def test_bound_of_sent_tokens_changes_nothing(spark, monkeypatch):
     assert {(i, 9) for i in range(60)} <= want
     monkeypatch.setattr(boilerplate, "MAX_SENT", 0)
     assert {tuple(r) for r in boilerplate.template_lines(docs).collect()} == want
+
+
+def test_line_once_on_each_of_many_hosts(spark):
+    rng = np.random.default_rng(4)
+    menu, foot = ["Start", "Topics", "People", "Places"], "Sitemap"
+    rows = [(i, "https://www.large.org/p", "\n".join([*menu, *[words_of(rng, 12) + "." for _ in range(3)]])) for i in range(6)]
+    rows += [(100 + i, f"https://h{i}x.org/", "\n".join([*menu, *[words_of(rng, 12) + "." for _ in range(3)], foot, "Imprint"])) for i in range(30)]
+    got = {tuple(r) for r in boilerplate.template_lines(spark.createDataFrame(rows, "doc_id long, url string, content string")).collect()}
+    assert {(100 + i, 9) for i in range(30)} <= got and not any(line in (5, 6, 7) for _, line in got)
