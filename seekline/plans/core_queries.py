@@ -380,10 +380,10 @@ def spell_correct(spark, base):
 
 
 def search(spark, base):
-    """The whole pipeline for the test items' words: correction, intent, ranking, snippets."""
+    """The whole pipeline for the test items' whole texts: correction, intent, ranking, snippets."""
     docs = _docs(spark, base)
     engine = Engine(docs, table(spark, base, "links"), _document_vectors(spark, base), scores=graph.latest_scores(table(spark, base, "pagerank")))
-    asked = _items(spark, base).select("query_id", F.array_join("terms", " ").alias("query_text"))
+    asked = table(spark, base, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     return engine.search(asked).select("query_id", "corrected", "intent", "rank", "doc_id", "snippet", F.col("scores.final").alias("final"))
 
 

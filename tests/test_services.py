@@ -139,3 +139,10 @@ def test_readers(spark, tmp_path):
     assert tables.text_lines(spark, str(tmp_path / "l.txt")).count() == 2
     tables.write_json_lines(spark.range(1), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_search_takes_whole_items(spark, sf):
+    from seekline.plans import core_queries
+
+    row = core_queries.search(spark, sf).selectExpr("max(size(split(corrected, ' '))) as words").first()
+    assert row["words"] > 20
