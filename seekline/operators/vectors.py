@@ -83,10 +83,9 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "doc_id",
     asked = queries.select("query_id", "vector").where("vector is not null").toLocalIterator()
     kind = dict(vectors.dtypes)[id_col]
     out = None
-    # One block of queries is held at a time.
-    while part := [(r["query_id"], r["vector"]) for r in itertools.islice(asked, block)]:
-        dim = len(part[0][1])
-        part = [(a, v) for a, v in part if len(v) == dim and any(v)]
+    # One block of queries is held at a time, the queries of each dimension apart.
+    blocks = iter(lambda: list(itertools.islice(asked, block)), [])
+    for dim, part in ((d, [(r["query_id"], r["vector"]) for r in rows if len(r["vector"]) == d and any(r["vector"])]) for rows in blocks for d in sorted({len(r["vector"]) for r in rows})):
         if not part:
             continue
         q = np.array([v for _, v in part], np.float64)

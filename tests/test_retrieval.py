@@ -134,3 +134,9 @@ def test_embedding(spark, docs):
     got = vectors.embed(docs, functools.partial(vectors.hash_embedder, 16)).collect()
     assert len(got) == 3 and all(math.isclose(sum(x * x for x in r["vector"]), 1, abs_tol=1e-5) for r in got)
     assert vectors.pending(docs, spark.createDataFrame([(1,)], "doc_id long")).select(F.count("*")).first()[0] == 2
+
+
+def test_knn_of_mixed_dimensions(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id long, vector array<float>")
+    q = spark.createDataFrame([(7, [1.0, 0.0, 0.0]), (8, [1.0, 0.1]), (9, [0.1, 1.0])], "query_id long, vector array<float>").coalesce(1)
+    assert {(r["query_id"], r["doc_id"]) for r in vectors.knn(q, v, 1).collect()} == {(8, 1), (9, 2)}
