@@ -99,7 +99,7 @@ def highlight(text: Column, terms: list[str], min_length: int = 1) -> Column:
     kept = list(dict.fromkeys(t.lower() for t in terms if len(t) >= min_length and t))
     if not kept:
         return text
-    return F.regexp_replace(text, "(?i)(" + "|".join(re.escape(t) for t in kept) + ")", "<mark>$1</mark>")
+    return F.regexp_replace(text, "(?iu)(" + "|".join(re.escape(t) for t in kept) + ")", "<mark>$1</mark>")
 
 
 def breadcrumb(url: Column) -> Column:
@@ -122,14 +122,6 @@ def bold_prefix(title: Column, prefix: Column) -> Column:
 
 
 def reason_message(reason: Column) -> Column:
-    """What is shown when there is no summary; null where nothing is to be shown."""
-    told = {
-        "rate_limited": "The summary is unavailable: the provider's quota is used up. Results below are unaffected.",
-        "no_key": "The summary is off: no provider key is set.",
-        "parse_failed": "The summary could not be read. Try again.",
-        "error": "The summary failed. Try again later.",
-    }
-    out = F.when(reason.isin("skipped_navigational", "no_results"), F.lit(None).cast("string"))
-    for k, v in told.items():
-        out = out.when(reason == k, v)
-    return out.otherwise("The summary is unavailable.")
+    """A short note why there is no summary; null where none was to be expected (navigational queries, no results)."""
+    quiet = reason.isin("skipped_navigational", "no_results")
+    return F.when(reason.isNotNull() & ~quiet, F.concat(F.lit("no summary: "), F.translate(reason, "_", " ")))

@@ -1,10 +1,10 @@
-"""Summaries from the best results."""
+"""Summaries from the best results: requests, replies and their reading are three steps over DataFrames."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 
-import re
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,39 +19,47 @@ def excerpts(results: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return top.select("query_id", F.array_join(F.transform("x", lambda e: e["line"]), "\n").alias("excerpts"))
 
 
-def prompt(query: str, lines: str) -> str:
-    return f"Answer '{query}' in one paragraph of three to five sentences, from these excerpts only.\nThen write SOURCES: and the sentences you used.\n\nExcerpts:\n{lines}"
-
-
-def summarize(queries: DataFrame, results: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """``query_id, reason, answer, sentences`` with an extractive stand-in for a language model: the first excerpt's text.
-
-    ``queries`` has (query_id, intent).  A navigational query is skipped, one
-    without results has none.
-    """
-    joined = queries.select("query_id", "intent").join(excerpts(results, s), "query_id", "left")
+def requests(queries: DataFrame, results: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """``query_id, reason, prompt, first``: what a model is asked, or why it isn't; ``first`` is the best excerpt's text."""
+    text = F.col("query_text") if "query_text" in queries.columns else F.lit("")
+    joined = queries.select("query_id", "intent", text.alias("query_text")).join(excerpts(results, s), "query_id", "left")
     reason = F.when(F.col("intent") == "navigational", "skipped_navigational").when(F.col("excerpts").isNull(), "no_results")
-    first = F.regexp_extract("excerpts", r"^\[1\] [^\n]*?: ([^\n]*)", 1)
-    got = parse_answer(F.concat(first, F.lit("\nSOURCES: "), first))
-    return joined.select("query_id", reason.alias("reason"), F.when(reason.isNull(), got["answer"]).alias("answer"), F.when(reason.isNull(), got["sentences"]).alias("sentences"))
-
-
-def summarize_one(query: str, intent: str, lines: str | None, model) -> dict:
-    """The same for one query with a language model ``model(prompt) -> (text, reason)``."""
-    if intent == "navigational":
-        return {"answer": None, "reason": "skipped_navigational"}
-    if not lines:
-        return {"answer": None, "reason": "no_results"}
-    text, reason = model(prompt(query, lines))
-    if not text:
-        return {"answer": None, "reason": reason or "error"}
-    head, tail = text, ""
-    at = text.upper().find("SOURCES:")
-    if at >= 0:
-        head, tail = text[:at], text[at + 8 :]
-
-
-    sentences = [x.strip() for x in re.split(r"(?<=[.!?])\s+", tail) if x.strip()]
-    return {"answer": {"text": head.strip(), "sourceSentences": sentences}, "reason": None}
-
-
+    ask = F.concat(F.lit("Question: "), F.coalesce("query_text", F.lit("")), F.lit("\n\n"), F.col("excerpts"), F.lit("\n\nWrite a short answer that rests on the numbered texts alone. Close with a line SOURCES: and quote what you relied on."))
+    return joined.select("query_id", reason.alias("reason"), F.when(reason.isNull(), ask).alias("prompt"), F.regexp_extract("excerpts", r"^\[1\] [^\n]*?: ([^\n]*)", 1).alias("first"))
+
+
+def _asked(model: Callable[[str], tuple[str | None, str | None]]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told = []
+            for reason, prompt in zip(batch["reason"], batch["prompt"]):
+                if prompt is None:
+                    told.append((None, reason))
+                    continue
+                try:
+                    reply, why = model(prompt)
+                except Exception:
+                    reply, why = None, "error"
+                told.append((reply, None) if reply else (None, why or "error"))
+            yield pd.DataFrame({"query_id": batch["query_id"], "reply": pd.Series([a for a, _ in told], dtype="object"), "reason": pd.Series([b for _, b in told], dtype="object")})
+
+    return run
+
+
+def summarize(queries: DataFrame, results: DataFrame, s: Settings = DEFAULTS, model: Callable[[str], tuple[str | None, str | None]] | None = None) -> DataFrame:
+    """``query_id, reason, answer, sentences`` by ``model(prompt) -> (text, reason)``, which is sent to the executors.
+
+    Without a model the first excerpt stands in for a reply.  ``queries`` has
+    (query_id, intent) and may have ``query_text``.  A navigational query is
+    skipped, one without results has none; a model that fails or has nothing to
+    say gives its reason, a reply without an answer ``parse_failed``.
+    """
+    wanted = requests(queries, results, s)
+    if model is None:
+        told = wanted.select("query_id", F.when(F.col("reason").isNull(), F.concat("first", F.lit("\nSOURCES: "), "first")).alias("reply"), "reason")
+    else:
+        told = wanted.select("query_id", "reason", "prompt").mapInPandas(_asked(model), f"query_id {dict(queries.dtypes)['query_id']}, reply string, reason string")
+    got = parse_answer(F.col("reply"))
+    empty = F.col("reply").isNotNull() & (got["answer"] == "") if model is not None else F.lit(False)
+    reason = F.when(empty, "parse_failed").otherwise(F.col("reason"))
+    return told.select("query_id", reason.alias("reason"), F.when(reason.isNull(), got["answer"]).alias("answer"), F.when(reason.isNull(), got["sentences"]).alias("sentences"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekline.config import DEFAULTS, Settings
-from seekline.plans.lineage import materialize
+from seekline.plans.lineage import laid_out, materialize, release
+from seekline.sources.tables import partitions
 
 
 def edges(links: DataFrame) -> DataFrame:
@@ -31,31 +34,40 @@ def dangling(all_nodes: DataFrame, links: DataFrame) -> DataFrame:
     return all_nodes.join(links.select(F.col("source_url").alias("url")), "url", "left_anti")
 
 
+#: Edges of one source that are kept together; a page with more is split.
+HUB = 1 << 16
+
+
 def pagerank(links: DataFrame, docs: DataFrame | None = None, s: Settings = DEFAULTS, fixed_rounds: int | None = None) -> tuple[DataFrame, int]:
     """``url, score`` and the number of rounds.
 
     Synchronous updates from 1/N; the rank of dangling nodes is spread evenly;
     it stops once the ranks move by less than ``epsilon`` in sum, or after
-    ``max_iterations``.  Urls are numbered once, so a round shuffles pairs of
-    numbers.  Nodes stay laid out by their number with the edges beside them
-    by source, and contributions are added up before the shuffle, so a page
-    that a third of all links name is one row per task.
+    ``max_iterations``.  Urls are numbered once.  The edges are laid out once,
+    in buckets by (source, salt), a source of more than ``HUB`` edges having
+    several salts; a round moves only the ranks to them and the contributions,
+    added up before, back, so neither a page with a third of all links nor one
+    that a third of all links name is a single task's.
     """
     spark = links.sparkSession
+    parts = partitions(spark)
     e = edges(links)
     named = materialize(nodes(e, docs).withColumn("id", F.monotonically_increasing_id()), "nodes")
     n = named.count()
     if n == 0:
         return spark.createDataFrame([], "url string, score double"), 0
+    degree = materialize(out_degrees(e).join(named.select(F.col("url").alias("source_url"), F.col("id").alias("src")), "source_url").select("src", "out_degree"), "degrees")
     numbered = e.join(named.select(F.col("url").alias("source_url"), F.col("id").alias("src")), "source_url").join(named.select(F.col("url").alias("target_url"), F.col("id").alias("dst")), "target_url").select("src", "dst")
-    degree = numbered.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
-    graph = materialize(numbered.join(degree, "src"), "edges")
-    base = materialize(named.select("id").join(degree.withColumnRenamed("src", "id"), "id", "left"), "degrees")
-    ranks = base.withColumn("rank", F.lit(1.0 / n))
+    salts = F.ceil(F.col("out_degree") / F.lit(HUB)).cast("int")
+    hubs = degree.where(F.col("out_degree") > HUB).select("src", salts.alias("salts"))
+    salted = numbered.join(hubs, "src", "left").select("src", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("salts"))).cast("int").alias("salt"), "dst")
+    graph = laid_out(salted, ["src", "salt"], parts, "edges")
+    ranks = named.select("id").join(degree.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.lit(1.0 / n))
     start = ranks.agg(F.coalesce(F.sum(F.when(F.col("out_degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")).first()
-    loose, held, done = start["loose"], [], 0
+    loose, held, written, done = start["loose"], [], [], 0
     for i in range(fixed_rounds if fixed_rounds is not None else s.max_iterations):
-        given = graph.join(ranks.select(F.col("id").alias("src"), F.col("rank")), "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("out_degree")).alias("given"))
+        share = ranks.where("out_degree is not null").select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), (F.col("rank") / F.col("out_degree")).alias("share"))
+        given = graph.join(share, ["src", "salt"]).groupBy("dst").agg(F.sum("share").alias("given"))
         fresh = ranks.join(given.withColumnRenamed("dst", "id"), "id", "left").select("id", "out_degree", (F.lit((1 - s.damping) / n + s.damping * loose / n) + s.damping * F.coalesce("given", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
         # Kept for the next round; every few rounds the lineage is cut, and what was kept before is let go.
         cut = (i + 1) % 5 == 0
@@ -64,6 +76,8 @@ def pagerank(links: DataFrame, docs: DataFrame | None = None, s: Settings = DEFA
         if cut:
             while held:
                 held.pop().unpersist()
+            release(*written)
+            written = [fresh]
         else:
             held.append(fresh)
         ranks, loose, done = fresh.select("id", "out_degree", "rank"), seen["loose"], i + 1
@@ -72,6 +86,7 @@ def pagerank(links: DataFrame, docs: DataFrame | None = None, s: Settings = DEFA
     ranks = materialize(ranks, "ranks")
     while held:
         held.pop().unpersist()
+    release(graph, *written)
     return named.join(ranks, "id").select("url", F.col("rank").alias("score")), done
 
 
@@ -80,6 +95,11 @@ def persist_scores(scores: DataFrame) -> DataFrame:
     return scores.select("url", "score", F.current_timestamp().alias("updated_at"))
 
 
+def upsert_scores(stored: DataFrame, scores: DataFrame) -> DataFrame:
+    """The pagerank table after a run: a scored url's row is replaced, other rows stay as they were."""
+    return stored.select("url", "score", "updated_at").join(scores.select("url").distinct(), "url", "left_anti").unionByName(persist_scores(scores))
+
+
 def latest_scores(stored: DataFrame) -> DataFrame:
     """One score a url of a table with older and newer rows: the newest, on equal times the largest."""
     return stored.where("url is not null and score is not null").groupBy("url").agg(F.max_by("score", F.struct(F.coalesce("updated_at", F.timestamp_seconds(F.lit(0))), "score")).alias("score"))
@@ -90,8 +110,8 @@ def unvisited(found: DataFrame, visited: DataFrame) -> DataFrame:
     return found.select(F.col("target_url").alias("url")).where("url is not null").distinct().join(visited.select("url"), "url", "left_anti")
 
 
-def bfs(links: DataFrame, roots: DataFrame, limit: int | None = None, max_levels: int = 1000) -> DataFrame:
-    """``url, level``: pages reachable from the roots, level by level.
+def bfs(links: DataFrame, roots: DataFrame, limit: int | None = None) -> DataFrame:
+    """``url, level``: pages reachable from the roots, level by level until a level is empty, however deep.
 
     ``limit`` caps the number of pages as a crawl does; within a level pages
     are taken in the order of their urls.
@@ -99,7 +119,7 @@ def bfs(links: DataFrame, roots: DataFrame, limit: int | None = None, max_levels
     e = materialize(edges(links), "edges")
     seen = front = materialize(roots.select("url").distinct().withColumn("level", F.lit(0)), "front")
     total = seen.count()
-    for level in range(1, max_levels + 1):
+    for level in itertools.count(1):
         if limit is not None and total >= limit:
             break
         step = e.join(front.select(F.col("url").alias("source_url")), "source_url", "left_semi")
@@ -112,4 +132,6 @@ def bfs(links: DataFrame, roots: DataFrame, limit: int | None = None, max_levels
             break
         total += n
         seen = seen.unionByName(front)  # each level's pages stay where they were written
+        if level % 16 == 0:
+            seen = materialize(seen, "seen")  # a deep graph doesn't grow the plan
     return seen

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -95,17 +97,36 @@ def page_links(parsed: DataFrame, base: str, prefix: str = "/wiki/", namespaces:
     return parsed.select(F.col("url").alias("source_url"), F.explode(urls).alias("target_url"))
 
 
-def fetch(frontier: DataFrame, fetcher) -> DataFrame:
-    """``url, html`` by a function from url to page text; a failure gives a null page and stops nothing."""
+def http_fetcher(agent: str = "seekline", seconds: float = 10.0) -> Callable[[str], str | None]:
+    """A fetcher over HTTP with a user agent and a time limit."""
+
+    def get(url: str) -> str | None:
+        import urllib.request
+
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=seconds) as r:
+            return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
+
+    return get
+
+
+def fetch(frontier: DataFrame, fetcher: Callable[[str], str | None], seconds: float = 10.0, together: int = 3) -> DataFrame:
+    """``url, html`` by a function from url to page text, ``together`` pages at a time in each task.
+
+    A page that fails or takes longer than ``seconds`` is null and stops nothing.
+    """
 
     def run(batches):
         for batch in batches:
+            pool = ThreadPoolExecutor(together)
+            asked = [pool.submit(fetcher, url) for url in batch["url"]]
             out = []
-            for url in batch["url"]:
+            for one in asked:
                 try:
-                    out.append(fetcher(url))
+                    out.append(one.result(timeout=seconds))
                 except Exception:
+                    one.cancel()
                     out.append(None)
+            pool.shutdown(wait=False, cancel_futures=True)
             yield pd.DataFrame({"url": batch["url"], "html": pd.Series(out, dtype="object")})
 
     return frontier.select("url").mapInPandas(run, "url string, html string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seekline.config import DEFAULTS, Settings
 from seekline.functions.text import text_or_empty, tokenize
-from seekline.sources.tables import spread
+from seekline.sources.tables import Files, spread
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -94,22 +94,21 @@ def insert_if_absent(old: DataFrame, new: DataFrame, key: str = "url") -> DataFr
 
 
 class VersionedTable:
-    """A table kept as numbered versions with a pointer file, so that readers always see one whole version.
+    """A table kept as numbered whole versions; the greatest one whose write was completed counts.
 
+    A version is a folder that Spark marks as its last step, so there is no
+    pointer that could be lost: a crash at any moment leaves the version before
+    as it was, and a reader sees one whole version.  One writer at a time.
     ``path`` is a folder on the file system all executors share.
     """
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 2):
         self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files = Files(spark)
 
     def version(self) -> int:
-        pointer = f"{self.path}/CURRENT"
-        if not self._fs.exists(self._path(pointer)):
-            return 0
-        return int(self.spark.read.text(pointer).first()[0])
+        found = [int(n[1:]) for n in self.files.names(self.path) if n[:1] == "v" and n[1:].isdigit()]
+        return next((v for v in sorted(found, reverse=True) if self.files.exists(f"{self.path}/v{v}/_SUCCESS")), 0)
 
     def read(self, schema=None) -> DataFrame:
         v = self.version()
@@ -120,19 +119,11 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.path}/v{v}")
 
     def write(self, df: DataFrame, buckets: int | None = None, key: str = "term") -> int:
-        """Write a new version, range-partitioned by ``key`` so that a term filter prunes files, then move the pointer."""
+        """Write the next version, range-partitioned by ``key`` so that a filter on it prunes files."""
         v = self.version() + 1
         laid = df.repartitionByRange(buckets, key) if buckets else df.repartitionByRange(key)
         laid.sortWithinPartitions(key).write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        fresh = self._path(f"{self.path}/CURRENT.tmp")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(str(v).encode()))
-        out.close()
-        pointer = self._path(f"{self.path}/CURRENT")
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(fresh, pointer)
-        old = self._path(f"{self.path}/v{v - self.keep}")
-        if v > self.keep and self._fs.exists(old):
-            self._fs.delete(old, True)
+        for n in self.files.names(self.path):
+            if n[:1] == "v" and n[1:].isdigit() and int(n[1:]) <= v - self.keep:
+                self.files.delete(f"{self.path}/{n}")
         return v

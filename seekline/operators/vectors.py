@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from seekline.config import DEFAULTS, Settings
 from seekline.functions.text import text_or_empty
+from seekline.sources.tables import page, upsert
 
 
 def hash_embedder(dimension: int) -> Callable[[list[str]], np.ndarray]:
@@ -44,6 +45,16 @@ def pending(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
     return docs.join(embeddings.select("doc_id"), "doc_id", "left_anti")
 
 
+def pending_page(docs: DataFrame, embeddings: DataFrame, size: int = DEFAULTS.embed_batch, after: int | None = None) -> DataFrame:
+    """The next ``size`` documents without a vector, by identifier; stored ones drop out, so a run that was stopped goes on where it was."""
+    return page(pending(docs, embeddings), "doc_id", size, after)
+
+
+def store(embeddings: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The table of vectors after an update: a document's new vector replaces the one it had."""
+    return upsert(embeddings, fresh, "doc_id")
+
+
 def embed(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]], s: Settings = DEFAULTS) -> DataFrame:
     """``doc_id, vector``; ``make`` builds the model once per Python worker, texts go in batches of ``embed_batch``."""
 

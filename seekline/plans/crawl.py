@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from seekline.config import DEFAULTS
 from seekline.operators import graph, html
 from seekline.plans.lineage import materialize
+from seekline.sources.tables import partitions
 
 
 class Crawl(NamedTuple):
@@ -26,7 +28,6 @@ def crawl(
     stored: DataFrame | None = None,
     container: tuple[str, str] | None = ("id", "bodyContent"),
     limit: int = DEFAULTS.crawl_limit,
-    max_levels: int = 1000,
 ) -> Crawl:
     """Fetch ``roots`` (url) and what they lead to, until no page is new or ``limit`` pages were visited.
 
@@ -37,10 +38,11 @@ def crawl(
     in every run; ``stored`` documents are not saved again.
     """
     front = materialize(roots.select("url").where("url is not null").distinct().orderBy("url").limit(limit).withColumn("level", F.lit(0)), "front")
-    visited, total = front, front.count()
+    visited, total, width = front, front.count(), max(partitions(front.sparkSession), front.sparkSession.sparkContext.defaultParallelism)
     documents = links = None
-    for level in range(1, max_levels + 1):
-        parsed = materialize(html.pages(html.fetch(front, fetcher), container), "pages")
+    for level in itertools.count(1):
+        # A level that was cut to the cap lies in one partition; its pages are fetched by all tasks.
+        parsed = materialize(html.pages(html.fetch(front.repartition(width), fetcher), container), "pages")
         saved = parsed.select("url", "title", "text")
         fresh = html.new_documents(saved, stored if stored is not None else saved.limit(0))
         edges = html.page_links(parsed, base)
@@ -54,4 +56,6 @@ def crawl(
             break
         total += n
         visited = visited.unionByName(front)
+        if level % 16 == 0:  # a deep crawl doesn't grow the plan
+            visited, documents, links = (materialize(x, "crawled") for x in (visited, documents, links))
     return Crawl(documents.dropDuplicates(["url"]), links.distinct(), visited)

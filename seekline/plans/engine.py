@@ -125,7 +125,7 @@ class Engine:
         except Exception:
             corrected, changed = query, False
         yield "spellcheck", {"original": query, "corrected": corrected, "wasChanged": changed}
-        phrases = within(self.s.expansion_timeout, lambda: synonyms_of(self.model(f"Give four phrases that mean the same as '{corrected}', as a JSON array and nothing else.")[0]), [])
+        phrases = within(self.s.expansion_timeout, lambda: synonyms_of(self.model(f"Other wordings of: {corrected}\nReply as JSON: a list of at most four strings.")[0]), [])
         given = self.spark.createDataFrame([(0, corrected, phrases)], "query_id long, q string, phrases array<string>")
         e = given.select(classify_intent(F.col("q")).alias("intent"), expand_terms(F.col("q"), F.col("phrases")).alias("terms")).first()
         yield "expansion", {"intent": e["intent"], "expandedTerms": e["terms"], "synonyms": phrases}
@@ -133,9 +133,11 @@ class Engine:
         found = self.search(asked if vector else asked.drop("vector"), given, correct=False).orderBy("rank").collect()
         results = [{"id": r["doc_id"], "url": r["url"], "title": r["title"], "snippet": r["snippet"], "scores": r["scores"].asDict()} for r in found]
         yield "results", {"results": results, "latencyMs": int(1000 * (time.time() - began))}
-        lines = "\n".join(f"[{i}] {r['title']}: {r['snippet']}" for i, r in enumerate(results[: self.s.summary_inputs], 1))
         try:
-            summary = answer.summarize_one(corrected, e["intent"], lines, self.model)
+            shown = self.spark.createDataFrame([(0, i, r["title"], r["snippet"]) for i, r in enumerate(results, 1)], "query_id long, rank int, title string, snippet string")
+            asked = self.spark.createDataFrame([(0, corrected, e["intent"])], "query_id long, query_text string, intent string")
+            got = answer.summarize(asked, shown, self.s, self.model).first()
+            summary = {"answer": {"text": got["answer"], "sourceSentences": got["sentences"]} if got["reason"] is None else None, "reason": got["reason"]}
         except Exception:
             summary = {"answer": None, "reason": "error"}
         yield "summary", summary

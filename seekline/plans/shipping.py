@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _sent:
         return
     root = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="seekline-")) / "seekline.zip"
+    own = tempfile.mkdtemp(prefix="seekline-")  # read by the driver's file server alone
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    path = Path(own) / "seekline.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))

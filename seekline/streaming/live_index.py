@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekline.operators import index
-from seekline.schemas import PAGE_EVENT, POSTINGS
+from seekline.schemas import PAGE_EVENT
+from seekline.streaming.store import IndexStore
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -16,10 +17,14 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(parsed.alias("e")).select("e.*")
 
 
+def complete_events(events: DataFrame) -> DataFrame:
+    """Readable events with url, title and text."""
+    return events.where("_corrupt is null and length(url) > 0 and length(title) > 0 and length(text) > 0").drop("_corrupt")
+
+
 def valid_events(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Readable events with url, title and text, each url once within the watermark."""
-    good = events.where("_corrupt is null and length(url) > 0 and length(title) > 0 and length(text) > 0").drop("_corrupt")
-    return good.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["url"])
+    """Complete events, each url once within the watermark."""
+    return complete_events(events).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["url"])
 
 
 def corrupt_events(events: DataFrame) -> DataFrame:
@@ -28,32 +33,30 @@ def corrupt_events(events: DataFrame) -> DataFrame:
 
 
 class LiveIndex:
-    """Postings, documents and link table as versioned tables that a stream extends.
+    """Postings and documents that a stream extends.
 
-    Each micro-batch is one atomic commit; a repeated batch changes nothing,
-    so replays after a failure are harmless.
+    Each micro-batch is one commit of both (see ``IndexStore``); a repeated
+    batch changes nothing that is read, so replays after a failure are harmless.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.postings = index.VersionedTable(spark, f"{root}/postings")
-        self.documents = index.VersionedTable(spark, f"{root}/documents")
-
-    DOCS = "doc_id long, url string, title string, content string"
+    def __init__(self, spark: SparkSession, root: str, **store):
+        self.spark, self.store = spark, IndexStore(spark, root, **store)
 
     def apply(self, batch: DataFrame, batch_id: int = 0) -> None:
         """Documents are keyed by a hash of their url; a page that comes again replaces its text and all its postings."""
-        docs = batch.select(F.xxhash64("url").alias("doc_id"), "url", "title", F.col("text").alias("content")).dropDuplicates(["url"]).cache()
+        docs = batch.select(F.xxhash64("url").alias("doc_id"), "url", "title", F.col("text").alias("content")).dropDuplicates(["url"]).persist()
         try:
-            if docs.isEmpty():
-                return
-            posts = index.postings(docs).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
-            self.postings.write(index.merge(self.postings.read(POSTINGS), posts, replace_docs=True))
-            old = self.documents.read(self.DOCS)
-            self.documents.write(old.join(docs.select("doc_id"), "doc_id", "left_anti").unionByName(docs), key="doc_id")
+            if not docs.isEmpty():
+                self.store.append(index.postings(docs), docs)
         finally:
             docs.unpersist()
 
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        return self.store.postings(terms)
+
+    def documents(self) -> DataFrame:
+        return self.store.documents()
+
     def start(self, events: DataFrame, checkpoint: str, once: bool = True):
         writer = events.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer).start()

@@ -108,6 +108,10 @@ def test_versioned_table(spark, tmp_path):
     assert t.read(rows.schema).count() == 0
     assert t.write(rows) == 1 and t.write(t.read().unionByName(rows)) == 2 and t.read().count() == 2
     assert not (tmp_path / "t" / "v1").exists()
+    # A version whose write was cut off doesn't count, and the next write takes its place.
+    (tmp_path / "t" / "v3").mkdir()
+    (tmp_path / "t" / "v3" / "part-0").write_text("half")
+    assert t.version() == 2 and t.read().count() == 2 and t.write(t.read().limit(1)) == 3 and t.read().count() == 1
 
 
 def test_titles(spark):

@@ -77,9 +77,11 @@ def test_summaries(spark):
     got = {x["query_id"]: x for x in answer.summarize(q, r).collect()}
     assert got[1]["answer"] == "A b. C." and got[1]["sentences"] == ["A b.", "C."]
     assert got[2]["reason"] == "skipped_navigational" and got[3]["reason"] == "no_results"
-    told = answer.summarize_one("q", "informational", "[1] T: x", lambda p: ("Yes.\nSOURCES: One. Two.", None))
-    assert told["answer"] == {"text": "Yes.", "sourceSentences": ["One.", "Two."]}
-    assert answer.summarize_one("q", "informational", "[1] T: x", adapters.no_model)["reason"] == "no_key"
+    by_model = lambda m: {x["query_id"]: x for x in answer.summarize(q, r, model=m).collect()}
+    told = by_model(lambda p: ("Yes.\nSOURCES: One. Two.", None))
+    assert (told[1]["answer"], told[1]["sentences"]) == ("Yes.", ["One.", "Two."]) and told[2]["reason"] == "skipped_navigational" and told[3]["reason"] == "no_results"
+    assert by_model(adapters.no_model)[1]["reason"] == "no_key" and by_model(lambda p: ("\nSOURCES: x", None))[1]["reason"] == "parse_failed"
+    assert by_model(lambda p: 1 / 0)[1]["reason"] == "error"
 
 
 def test_engine(spark):
@@ -112,16 +114,50 @@ def test_live_index(spark, tmp_path):
         live.start(live_index.valid_events(live_index.read_events(spark, str(tmp_path / "in"))), str(tmp_path / "ck")).awaitTermination(120)
 
     run()
-    assert sorted(r["term"] for r in live.postings.read().collect()) == ["graph", "search"] and live.documents.read().count() == 1
+    assert sorted(r["term"] for r in live.postings().collect()) == ["graph", "search"] and live.documents().count() == 1
     (tmp_path / "in" / "2.json").write_text('{"url":"c","title":"New page","text":"graph","event_time":"2024-01-01T01:00:00"}\n')
     run()
-    assert live.documents.read().count() == 2 and live.postings.read().where("term = 'graph'").count() == 2
-    before = sorted(map(tuple, live.postings.read().collect()))
+    assert live.documents().count() == 2 and live.postings().where("term = 'graph'").count() == 2
+    before = sorted(map(tuple, live.postings().collect()))
     live.apply(spark.createDataFrame([("c", "New page", "graph")], "url string, title string, text string"))
-    assert sorted(map(tuple, live.postings.read().collect())) == before
+    assert sorted(map(tuple, live.postings().collect())) == before
     assert live_index.corrupt_events(spark.createDataFrame([("x", None), (None, "u")], "_corrupt string, url string")).count() == 1
 
 
+def read_all(live):
+    return {r["url"]: r["content"] for r in live.documents().collect()}, sorted((r["term"], r["doc_id"], r["tf"]) for r in live.postings().collect())
+
+
+def test_crash_between_steps_loses_nothing(spark, tmp_path, monkeypatch):
+    from seekline.streaming.store import IndexStore
+
+    live = live_index.LiveIndex(spark, f"file://{tmp_path}/index", fan=3)
+    batch = lambda *rows: spark.createDataFrame(list(rows), "url string, title string, text string")
+    live.apply(batch(("a", "Ta", "graph"), ("b", "Tb", "search")))
+    live.apply(batch(("c", "Tc", "graph")))
+    before = read_all(live)
+    for step in ("_commit", "_write", "compact", "vacuum"):
+        with monkeypatch.context() as m:
+            m.setattr(IndexStore, step, lambda *a, **k: 1 / 0)
+            try:
+                live.apply(batch(("a", "Ta", "tree")))
+                raise AssertionError
+            except ZeroDivisionError:
+                pass
+        if step in ("_commit", "_write"):
+            assert read_all(live) == before
+    live.apply(batch(("a", "Ta", "tree")))
+    docs, posts = read_all(live)
+    assert docs == {"a": "tree", "b": "search", "c": "graph"} and [t for t, _, _ in posts] == ["graph", "search", "ta", "tb", "tc", "tree"]
+    for i in range(10):
+        live.apply(batch(("a", "Ta", f"word{i}"), (f"n{i}", "New", "graph")))
+    docs, posts = read_all(live)
+    assert len(docs) == 13 and docs["a"] == "word9" and sum(t.startswith("word") for t, _, _ in posts) == 1 and sum(t == "graph" for t, _, _ in posts) == 11
+    # Parts are merged, and what no entry lists is gone.
+    assert len(live.store.parts()) <= 6 and len(list((tmp_path / "index" / "postings").glob("part=*"))) <= 12
+    assert sorted(r["term"] for r in live.postings(spark.createDataFrame([("word9",), ("none",)], "term string")).collect()) == ["word9"]
+
+
 def test_log_stream(spark, tmp_path):
     spark.createDataFrame([(1, "q", dt.datetime(2024, 1, 1))], "id long, query_text string, searched_at timestamp").write.parquet(str(tmp_path / "log"))
     source = lambda: spark.readStream.schema("id long, query_text string, searched_at timestamp").parquet(str(tmp_path / "log"))
