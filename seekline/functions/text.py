@@ -57,10 +57,9 @@ def strip_tags(text: Column) -> Column:
 
 def parse_answer(text: Column) -> Column:
     """struct(answer, sentences): split at the first ``SOURCES:`` in any case; without one the whole text and no sentences."""
-    at = F.locate("SOURCES:", F.upper(text))
+    parts = F.split(text, "(?i)SOURCES:", 2)
     trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    head = F.when(at > 0, text.substr(F.lit(1), at - 1)).otherwise(text)
-    tail = F.when(at > 0, text.substr(at + 8, F.length(text))).otherwise(F.lit(""))
+    head, tail = parts[0], F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
     sentences = F.filter(F.transform(F.split(tail, r"(?<=[.!?])\s+"), trim), lambda x: x != "")
     return F.struct(trim(head).alias("answer"), sentences.alias("sentences"))
 

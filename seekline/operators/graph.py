@@ -51,7 +51,7 @@ def pagerank(links: DataFrame, docs: DataFrame | None = None, s: Settings = DEFA
     """
     spark = links.sparkSession
     parts = partitions(spark)
-    e = edges(links)
+    e = materialize(edges(links), "edges")
     named = materialize(nodes(e, docs).withColumn("id", F.monotonically_increasing_id()), "nodes")
     n = named.count()
     if n == 0:
@@ -86,7 +86,7 @@ def pagerank(links: DataFrame, docs: DataFrame | None = None, s: Settings = DEFA
     ranks = materialize(ranks, "ranks")
     while held:
         held.pop().unpersist()
-    release(graph, *written)
+    release(e, graph, *written)
     return named.join(ranks, "id").select("url", F.col("rank").alias("score")), done
 
 

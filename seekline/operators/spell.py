@@ -36,6 +36,8 @@ def best_corrections(words: DataFrame, dictionary: DataFrame, s: Settings = DEFA
     terms = dictionary.select("term", "freq", F.length("term").alias("len")).join(lengths, "len", "left_semi")
     right = terms.select("term", "freq", F.explode(_deletions(F.col("term"), s.spell_distance)).alias("form"))
     pairs = left.join(right, "form").where((F.col("word") != F.col("term")) & (F.abs(F.length("word") - F.length("term")) <= s.spell_distance)).select("word", "term", "freq").distinct()
+    # An alignment of at most 2 edits is one of at most 4 without transpositions, which the JVM counts; few pairs are left for Python.
+    pairs = pairs.where(F.levenshtein("word", "term", 2 * s.spell_distance) >= 0)
     near = pairs.withColumn("distance", osa_distance("word", "term")).where(F.col("distance") <= s.spell_distance)
     order = Window.partitionBy("word").orderBy("distance", F.desc("freq"), F.length("term"), "term")
     best = near.withColumn("at", F.row_number().over(order)).where("at = 1")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,20 +19,26 @@ from seekline.sources.tables import page, upsert
 
 def hash_embedder(dimension: int) -> Callable[[list[str]], np.ndarray]:
     """A deterministic stand-in for a sentence model: tokens are hashed to signed places, the sum has length 1."""
-    import re
-
-    import xxhash
-
     word = re.compile(r"[a-z0-9]+")
+    known: dict[str, tuple[int, float]] = {}
+
+    def place(w: str) -> tuple[int, float]:
+        got = known.get(w)
+        if got is None:
+            if len(known) > 200_000:
+                known.clear()
+            h = hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()
+            got = known[w] = int(h[:8], 16) % dimension, 1.0 if h[8] >= "8" else -1.0
+        return got
 
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimension), np.float32)
+        out = np.zeros((len(texts), dimension))
         for row, text in zip(out, texts):
             for w in word.findall((text or "").lower()):
-                h = xxhash.xxh3_64_intdigest(w)
-                row[h % dimension] += 1.0 if h >> 63 else -1.0
+                at, sign = place(w)
+                row[at] += sign
         n = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(n > 0, n, 1)
+        return (out / np.where(n > 0, n, 1)).astype(np.float32)
 
     return embed
 

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seekline.config import DEFAULTS, INDEX_STOP_WORDS, NAVIGATIONAL_WORDS, TECHNICAL_WORDS
+from seekline.config import DEFAULTS, INDEX_STOP_WORDS, NAMESPACES, NAVIGATIONAL_WORDS, TECHNICAL_WORDS
 from seekline.functions import text as tx
 from seekline.functions.edit import osa_distance
 from seekline.functions.snippet import snippet as make_snippet
 from seekline.operators import analytics, answer, bm25, graph, html, hybrid, index, spell, suggest, vectors
 from seekline.plans.engine import Engine
+from seekline.plans.lineage import folder, materialize
+from seekline.sources import tables
 from seekline.sources.tables import table
+from seekline.streaming import live_index
 
 TERMS = ["harbour", "glacier", "treaty"]
 PREFIX = "ka"
@@ -29,8 +34,8 @@ def _one_query(spark, terms=TERMS):
 
 
 def _items(spark, base):
-    """The test items as a workload: the first five tokens of each."""
-    return table(spark, base, "eval_items").select(F.col("item_id").alias("query_id"), F.slice(tx.query_tokens(F.col("text")), 1, 5).alias("terms"))
+    """The test items as a workload: all tokens of each."""
+    return table(spark, base, "eval_items").select(F.col("item_id").alias("query_id"), tx.query_tokens(F.col("text")).alias("terms"))
 
 
 def _bm25(spark, base, queries):
@@ -39,8 +44,6 @@ def _bm25(spark, base, queries):
 
 
 def _top(df, score, k=10):
-    from pyspark.sql import Window
-
     at = Window.partitionBy("query_id").orderBy(F.desc(score), "doc_id")
     return df.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= k)
 
@@ -85,18 +88,24 @@ def postings_json(spark, base):
     return index.to_json(index.postings(_docs(spark, base)))
 
 
-def _halves(spark, base):
+def _delivery(spark, base):
+    """The stored index, and what a second crawl of the German pages delivers: they have lost their content, so most of their terms are gone."""
     stored = index.from_json(table(spark, base, "inverted_index"))
-    fresh = index.postings(_docs(spark, base)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
-    return stored, fresh
+    again = table(spark, base, "documents").where("lower(lang) like 'de%'").select("doc_id", "title", F.lit("").alias("content"))
+    return stored, index.postings(again).select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
 
 
 def postings_merge(spark, base):
-    return index.merge(*_halves(spark, base))
+    return index.merge(*_delivery(spark, base))
 
 
 def postings_merge_replace(spark, base):
-    return index.merge(*_halves(spark, base), replace_docs=True)
+    return index.merge(*_delivery(spark, base), replace_docs=True)
+
+
+def postings_merge_json(spark, base):
+    stored, new = _delivery(spark, base)
+    return index.merge_json(index.to_json(stored), index.to_json(new))
 
 
 def stored_postings(spark, base):
@@ -185,8 +194,16 @@ def pagerank_links(spark, base):
 
 
 def pagerank_converged(spark, base):
+    """Rounds until the ranks move by less than 1e-6 in sum, and the scores then."""
     got, rounds = graph.pagerank(table(spark, base, "links"), table(spark, base, "documents"))
-    return got.agg(F.count(F.lit(1)).alias("nodes"), F.round(F.sum("score"), 6).alias("total")).withColumn("rounds", F.lit(rounds))
+    return got.select("url", F.round("score", 9).alias("score"), F.lit(rounds).alias("rounds"))
+
+
+def scores_upsert(spark, base):
+    """The stored scores after a run whose scores are each source page's share of the distinct edges."""
+    e = graph.edges(table(spark, base, "links"))
+    fresh = graph.out_degrees(e).crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("all")))).select(F.col("source_url").alias("url"), (F.col("out_degree") / F.col("all")).alias("score"))
+    return graph.upsert_scores(table(spark, base, "pagerank"), fresh).select("url", F.round("score", 12).alias("score"))
 
 
 def latest_pagerank(spark, base):
@@ -244,13 +261,23 @@ def parse_answer(spark, base):
     return _docs(spark, base).select("doc_id", got["answer"].alias("answer"), F.array_join(got["sentences"], "|").alias("sentences"))
 
 
-def summaries(spark, base):
+def _summaries(spark, base, terms):
     docs = _docs(spark, base).where("title is not null and length(content) > 0")
     asked = docs.select(F.col("doc_id").alias("query_id"), tx.classify_intent(F.col("title")).alias("intent"))
-    results = docs.select(F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), "title", F.substring("content", 1, 200).alias("snippet"))
+    results = docs.select(F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), "title", make_snippet("content", terms).alias("snippet"))
     return answer.summarize(asked, results).select("query_id", "reason", "answer")
 
 
+def summaries(spark, base):
+    """Each title as a query that its own page answers, by the snippet around the title's words."""
+    return _summaries(spark, base, tx.query_tokens(F.col("title")))
+
+
+def summaries_plain(spark, base):
+    """The same by snippets without a term, which begin where the content does."""
+    return _summaries(spark, base, F.array().cast("array<string>"))
+
+
 def suggest_prefix(spark, base):
     return suggest.suggest(suggest.titles(_docs(spark, base)), PREFIX)
 
@@ -323,10 +350,53 @@ def embed_text(spark, base):
 
 
 def embed_pending(spark, base):
-    """Vectors for the documents that have none, by the hashing stand-in."""
+    """Vectors for the documents that have none, by the hashing stand-in: their entries other than 0."""
     docs = table(spark, base, "documents").where("vector is null").select("doc_id", "title", "content")
     got = vectors.embed(docs, functools.partial(vectors.hash_embedder, DEFAULTS.dimension))
-    return got.select("doc_id", F.size("vector").alias("dimension"))
+    return got.select("doc_id", F.posexplode("vector").alias("place", "x")).where("x <> 0").select("doc_id", "place", F.round(F.col("x").cast("double"), 5).alias("weight"))
+
+
+def pending_page(spark, base):
+    """The page of documents to be embedded next after the first pending one."""
+    docs = table(spark, base, "documents")
+    done = docs.where("vector is not null").select("doc_id")
+    first = vectors.pending(docs, done).agg(F.min("doc_id")).first()[0]
+    return vectors.pending_page(docs.select("doc_id", "title"), done, after=first).select("doc_id", "title")
+
+
+def vectors_stored(spark, base):
+    """The vectors' dimensions after the pending documents were embedded and stored by key."""
+    docs = table(spark, base, "documents")
+    fresh = vectors.embed(docs.where("vector is null").select("doc_id", "title", "content"), functools.partial(vectors.hash_embedder, DEFAULTS.dimension))
+    return vectors.store(docs.where("vector is not null").select("doc_id", "vector"), fresh).select("doc_id", F.size("vector").alias("dimension"))
+
+
+def doc_by_url(spark, base):
+    """The rows of the url that most links name."""
+    best = graph.edges(table(spark, base, "links")).join(_docs(spark, base).select(F.col("url").alias("target_url")).distinct(), "target_url", "left_semi").groupBy("target_url").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "target_url").first()
+    return tables.by_url(_docs(spark, base), best["target_url"] if best else "").select("doc_id", "url", "title")
+
+
+def docs_page(spark, base):
+    """The fourth page of 25 documents by identifier, each page going on behind the last key of the one before."""
+    docs, after = _docs(spark, base), None
+    for _ in range(3):
+        last = tables.page(docs.select("doc_id"), "doc_id", 25, after).agg(F.max("doc_id")).first()[0]
+        after = last if last is not None else after
+    return tables.page(docs, "doc_id", 25, after).select("doc_id", "url")
+
+
+def stream_index(spark, base):
+    """The live index after all documents came as events, one delivery for each time a url was stored again."""
+    docs = table(spark, base, "documents").where("length(url) > 0 and length(title) > 0 and length(content) > 0")
+    at = Window.partitionBy("url").orderBy("doc_id")
+    docs = materialize(docs.select("url", "title", "content", "created_at", F.row_number().over(at).alias("delivery")), "events")
+    root = f"{folder(spark)}/live-{uuid.uuid4().hex}"
+    live = live_index.LiveIndex(spark, f"{root}/index")
+    for (k,) in sorted(docs.select("delivery").distinct().collect()):  # as many as the most often stored url has rows
+        tables.publish(docs.where(F.col("delivery") == k), f"{root}/events")
+        live.start(live_index.complete_events(live_index.read_events(spark, f"{root}/events")), f"{root}/checkpoint").awaitTermination()
+    return live.postings().join(live.documents().select("doc_id", "url"), "doc_id").select("url", "term", "tf")
 
 
 def ann_lsh(spark, base):
@@ -355,7 +425,7 @@ def clean_titles(spark, base):
 def page_text(spark, base):
     """Documents wrapped as pages and read back."""
     shell = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit(" - Wikipedia</title><style>p{}</style></head><body><div id=bodyContent><p>"), F.translate(F.coalesce("content", F.lit("")), "<>&", "   "), F.lit("</p><div class=navbox>x</div></div></body></html>"))
-    return html.pages(_docs(spark, base).select("url", shell.alias("html"))).select("url", F.length("text").alias("chars"))
+    return html.pages(_docs(spark, base).select("url", shell.alias("html"))).select("url", F.md5("text").alias("digest"))
 
 
 def page_links(spark, base):
@@ -388,10 +458,10 @@ def search(spark, base):
 
 
 QUERIES = {f.__name__: f for f in (
-    tokens, term_freq, doc_freq, corpus_stats, doc_length, idf, bm25_top10, bm25_multi_query, postings_json, stored_postings, postings_merge, postings_merge_replace, spell_dictionary,
-    knn_top50, knn_top5, knn_multi, minmax_norm, hybrid_top10, hybrid_multi, links, link_nodes, out_degree, dangling, pagerank_links, pagerank_converged, latest_pagerank, bfs_levels,
-    unvisited_links, query_tokens, intent, expand_terms, highlight, snippet_prefix, snippets, strip_tags, parse_answer, summaries, suggest_prefix, suggest_many, title_dedupe, top_queries,
-    zero_results, avg_top_score, score_buckets, bucket_share, hit_ratio, corpus_counts, trending_7d, history, crumb, zoom, pending_vectors, embed_text, embed_pending, ann_lsh,
+    tokens, term_freq, doc_freq, corpus_stats, doc_length, idf, bm25_top10, bm25_multi_query, postings_json, stored_postings, postings_merge, postings_merge_replace, postings_merge_json, spell_dictionary,
+    knn_top50, knn_top5, knn_multi, minmax_norm, hybrid_top10, hybrid_multi, links, link_nodes, out_degree, dangling, pagerank_links, pagerank_converged, scores_upsert, latest_pagerank, bfs_levels,
+    unvisited_links, query_tokens, intent, expand_terms, highlight, snippet_prefix, snippets, strip_tags, parse_answer, summaries, summaries_plain, suggest_prefix, suggest_many, title_dedupe, top_queries,
+    zero_results, avg_top_score, score_buckets, bucket_share, hit_ratio, corpus_counts, trending_7d, history, crumb, zoom, pending_vectors, embed_text, embed_pending, pending_page, vectors_stored, doc_by_url, docs_page, stream_index, ann_lsh,
     insert_if_absent, clean_text, clean_titles, page_text, page_links, osa_pairs, spell_correct, search,
 )}
 
@@ -406,7 +476,7 @@ posts as (select term, doc_id, cast(sum(w) as bigint) as tf from toks group by 1
 lens as (select doc_id, greatest(1, length(coalesce(title, '') || ' ' || coalesce(content, ''))) as len from documents),
 stats as (select count(*) as n, avg(length(coalesce(title, '') || ' ' || coalesce(content, ''))) as avgdl from documents),
 dfs as (select term, count(*) as df from posts group by 1)"""
-_ITEMS = "items as (select item_id as query_id, regexp_extract_all(lower(text), '[a-z0-9]+')[1:5] as terms from eval_items)"
+_ITEMS = "items as (select item_id as query_id, regexp_extract_all(lower(text), '[a-z0-9]+') as terms from eval_items)"
 _ONE = "items as (select 0 as query_id, ['harbour', 'glacier', 'treaty'] as terms)"
 
 
@@ -454,6 +524,20 @@ def _pagerank_sql() -> str:
     return ", ".join(parts) + f" select url, round(score, 9) as score from r{ROUNDS}"
 
 
+def _converged_sql(most: int = DEFAULTS.max_iterations) -> str:
+    parts = [f"with {_NODES}, n as (select count(*) as n from nodes), deg as (select source_url, count(*) as d from edges group by 1), r0 as materialized (select url, 1.0::double / n as score from nodes, n)"]
+    for i in range(most):
+        parts.append(
+            f"loose{i} as (select coalesce(sum(score), 0) as s from r{i} where url not in (select source_url from edges)), "
+            f"given{i} as (select target_url as url, sum(score / d) as s from edges join r{i} on r{i}.url = source_url join deg using (source_url) group by 1), "
+            f"r{i + 1} as materialized (select r{i}.url, 0.15 / n + 0.85 * loose{i}.s / n + 0.85 * coalesce(given{i}.s, 0) as score from r{i} left join given{i} using (url) cross join n cross join loose{i})"
+        )
+    parts.append("moves as (" + " union all ".join(f"select {i + 1} as round, sum(abs(a.score - b.score)) as moved from r{i + 1} a join r{i} b using (url)" for i in range(most)) + ")")
+    parts.append(f"last as (select coalesce(min(round) filter (moved < 1e-6), {most}) as round from moves)")
+    every = " union all ".join(f"select {i + 1} as round, url, score from r{i + 1}" for i in range(most))
+    return ", ".join(parts) + f" select url, round(score, 9) as score, cast(round as int) as rounds from ({every}) where round = (select round from last)"
+
+
 def _knn_sql(where: str, k: int, columns: str) -> str:
     return f"""with v as (select vec_id, cast(embedding as double[]) as e from embeddings),
 s as (select q.vec_id as query_id, d.vec_id, round(list_cosine_similarity(q.e, d.e), 12) as x from v q cross join v d where {where}),
@@ -463,10 +547,14 @@ r as (select query_id, vec_id, round(x, 5) as similarity, row_number() over (par
 _STORED = r"""whole as (select trim(lower(term)) as term, postings from inverted_index where trim(term) <> '' and postings is not null and json_valid(postings)),
 entries as (select term, unnest(json_keys(postings)) as k, postings from whole),
 stored as (select term, cast(k as bigint) as doc_id, max(cast(json_extract_string(postings, '$."' || k || '"') as bigint)) as tf from entries group by 1, 2)"""
+_DELIVERY = _STORED + f""", redelivered as (select doc_id, unnest(string_split_regex(coalesce(title, ''), '[^A-Za-z0-9]+')) as t from documents where lower(lang) like 'de%'),
+again as (select lower(t) as term, doc_id, cast(2 * count(*) as bigint) as tf from redelivered where length(t) >= 2 and lower(t) not in ({_STOP}) group by 1, 2)"""
 _ANY = lambda words: "(" + " or ".join(f"contains(lower(query_text), '{w}')" for w in words) + ")"
 _B = lambda i: f"sum(case when top_score >= {i / 5} and top_score {'<=' if i == 4 else '<'} {(i + 1) / 5} then 1 else 0 end)"
 _BUCKETS = "select " + ", ".join(f"cast({_B(i)} as bigint) as b{i}" for i in range(5)) + " from query_log"
 _TITLES = "titles as (select lower(title) as folded, max(title) as title from documents where title is not null and title <> '' group by 1)"
+_BLANK = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_CLEAN = lambda x: f"regexp_replace(regexp_replace(regexp_replace({x}, '[\\n\\t]+', ' ', 'g'), '{_BLANK}{{2,}}', ' ', 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g')"
 _TRIM = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 SQL = {
@@ -480,8 +568,10 @@ SQL = {
     "bm25_multi_query": _ranked(_ITEMS, "query_id, cast(rank as int) as rank, doc_id, score"),
     "postings_json": f"""with {_TOKENS} select term, '{{' || string_agg('"' || doc_id || '":' || tf, ',' order by doc_id) || '}}' as postings from posts group by 1""",
     "stored_postings": f"with {_STORED} select term, doc_id, tf from stored",
-    "postings_merge": f"with {_TOKENS}, {_STORED} select coalesce(p.term, s.term) as term, coalesce(p.doc_id, s.doc_id) as doc_id, coalesce(p.tf, s.tf) as tf from posts p full join stored s on s.term = p.term and s.doc_id = p.doc_id",
-    "postings_merge_replace": f"with {_TOKENS}, {_STORED} select term, doc_id, tf from posts union all select term, doc_id, tf from stored where doc_id not in (select doc_id from posts)",
+    "postings_merge": f"with {_DELIVERY} select coalesce(p.term, s.term) as term, coalesce(p.doc_id, s.doc_id) as doc_id, coalesce(p.tf, s.tf) as tf from again p full join stored s on s.term = p.term and s.doc_id = p.doc_id",
+    "postings_merge_replace": f"with {_DELIVERY} select term, doc_id, tf from again union all select term, doc_id, tf from stored where doc_id not in (select doc_id from again)",
+    "postings_merge_json": f"""with {_DELIVERY}, m as (select coalesce(p.term, s.term) as term, coalesce(p.doc_id, s.doc_id) as doc_id, coalesce(p.tf, s.tf) as tf from again p full join stored s on s.term = p.term and s.doc_id = p.doc_id)
+select term, '{{' || string_agg('"' || doc_id || '":' || tf, ',' order by doc_id) || '}}' as postings from m group by 1""",
     "spell_dictionary": f"with {_STORED} select term, cast(sum(tf) as bigint) as freq, cast(length(term) as int) as len from stored group by 1 having sum(tf) > 0",
     "knn_top50": _knn_sql("q.vec_id = 0", 50, "cast(rank as int) as rank, vec_id, similarity"),
     "knn_top5": _knn_sql("q.vec_id = 0", 5, "cast(rank as int) as rank, vec_id, similarity"),
@@ -504,9 +594,9 @@ b as (select url, 0 as level from root union select e.target_url, b.level + 1 fr
     "snippet_prefix": "select doc_id, case when coalesce(content, '') = '' then '' when length(content) > 200 then substr(content, 1, 200) || '...' else content end as snippet from documents",
     "strip_tags": "select doc_id, title || ' x' as plain from documents where title is not null",
     "parse_answer": f"select doc_id, {_TRIM('coalesce(title, $$none$$) || $$ is here.$$')} as answer, 'One.|Two!|' || url as sentences from documents",
-    "suggest_prefix": f"with {_TITLES} select title, cast(length(title) as int) as len from titles where starts_with(folded, '{PREFIX}') order by len, title limit 8",
+    "suggest_prefix": f"with {_TITLES} select title, cast(length(title) as int) as len from titles where starts_with(folded, '{PREFIX}') order by len, title collate en, title limit 8",
     "suggest_many": f"""with {_TITLES}, pre as (select distinct trim(substr(lower(title), 1, 3)) as prefix from documents where title is not null),
-r as (select p.prefix, t.title, row_number() over (partition by p.prefix order by length(t.title), t.title) as rank from titles t join pre p on starts_with(t.folded, p.prefix) where p.prefix <> '')
+r as (select p.prefix, t.title, row_number() over (partition by p.prefix order by length(t.title), t.title collate en, t.title) as rank from titles t join pre p on starts_with(t.folded, p.prefix) where p.prefix <> '')
 select prefix, title, cast(rank as int) as rank from r where rank <= 8""",
     "title_dedupe": f"with {_TITLES} select folded, title, cast(length(title) as int) as len from titles",
     "top_queries": "select query_text, count(*) as hits from query_log group by 1 order by hits desc, query_text nulls first limit 10",
@@ -524,7 +614,37 @@ r as (select *, row_number() over (partition by user_id order by last desc, quer
     "zoom": "with b as (select vec_id, abs(cast(embedding[2] as double) * 40 - cast(embedding[1] as double) * 40) as span from embeddings) select vec_id, case when span > 8 then 5 when span > 2 then 7 when span > 0.5 then 10 else 12 end as zoom from b",
     "pending_vectors": "select count(*) filter (vector is null) as pending, count(vector) as done from documents",
     "embed_text": "select doc_id, substr(coalesce(title, '') || ' ' || coalesce(content, ''), 1, 4000) as text from documents",
-    "embed_pending": "select doc_id, 384 as dimension from documents where vector is null",
+    "embed_pending": """with w as (select doc_id, md5(unnest(regexp_extract_all(lower(substr(coalesce(title, '') || ' ' || coalesce(content, ''), 1, 4000)), '[a-z0-9]+'))) as h from documents where vector is null),
+p as (select doc_id, cast('0x' || substr(h, 1, 8) as bigint) % 384 as place, sum(case when substr(h, 9, 1) >= '8' then 1 else -1 end) as x from w group by 1, 2)
+select doc_id, cast(place as int) as place, round(cast(cast(x / sqrt(sum(x * x) over (partition by doc_id)) as float) as double), 5) as weight from p where x <> 0""",
+    "pending_page": "select doc_id, title from documents where vector is null and doc_id > (select min(doc_id) from documents where vector is null) order by doc_id limit 64",
+    "vectors_stored": "select doc_id, cast(coalesce(len(vector), 384) as int) as dimension from documents",
+    "doc_by_url": f"with {_EDGES}, best as (select target_url from edges where target_url in (select url from documents) group by 1 order by count(*) desc, 1 limit 1) select doc_id, url, title from documents where url in (select target_url from best)",
+    "docs_page": "select doc_id, url from documents order by doc_id limit 25 offset 75",
+    "stream_index": f"""with d as (select doc_id, url, title, content, row_number() over (partition by url order by doc_id desc) as k from documents where length(url) > 0 and length(title) > 0 and length(content) > 0),
+raw as (select url, 2 as w, unnest(string_split_regex(title, '[^A-Za-z0-9]+')) as t from d where k = 1 union all select url, 1, unnest(string_split_regex(content, '[^A-Za-z0-9]+')) from d where k = 1)
+select url, lower(t) as term, cast(sum(w) as bigint) as tf from raw where length(t) >= 2 and lower(t) not in ({_STOP}) group by 1, 2""",
+    "pagerank_converged": _converged_sql(),
+    "scores_upsert": f"""with {_EDGES}, fresh as (select source_url as url, count(*) / (select count(*) from edges) as score from edges group by 1)
+select url, round(score, 12) as score from pagerank where url is null or url not in (select url from fresh) union all select url, round(score, 12) from fresh""",
+    "expand_terms": """with q as (select id, query_text, case when contains(lower(query_text), 'history') then ' past of chronicle' else '' end as more from query_log where query_text is not null),
+t as (select id, unnest(w) as token, generate_subscripts(w, 1) as pos from (select id, regexp_extract_all(lower(query_text) || more, '[a-z0-9]+') as w from q)),
+f as (select id, token, min(pos) as pos from t group by 1, 2), j as (select id, string_agg(token, ' ' order by pos) as terms from f group by 1)
+select q.id, coalesce(j.terms, '') as terms from q left join j using (id)""",
+    "clean_text": "select doc_id, md5(" + _CLEAN("content") + ") as digest from documents where content is not null",
+    "page_text": "select url, md5(" + _CLEAN("translate(coalesce(content, ''), '<>&', '   ')") + ") as digest from documents",
+    "page_links": f"""with {_EDGES}, h as (select distinct source_url, regexp_extract(target_url, '^https?://[^/]+(/[^?]*)$', 1) as href from edges)
+select source_url, 'https://h' || href as target_url from h where starts_with(href, '/wiki/') and not contains(href, 'disambiguation') and not (""" + " or ".join(f"starts_with(href, '{n}')" for n in NAMESPACES) + ")",
+    "summaries_plain": """with d as (select doc_id, title as query_text, title, case when length(content) > 200 then substr(content, 1, 200) || '...' else content end as snippet from documents where title is not null and length(content) > 0),
+i as (select *, case when """ + _ANY(NAVIGATIONAL_WORDS) + """ or regexp_matches(query_text, '\\b[A-Z][a-z]+\\s+[A-Z][a-z]+') then 'skipped_navigational' end as reason from d)
+select doc_id as query_id, reason, case when reason is null then """ + _TRIM("regexp_extract('[1] ' || title || ': ' || regexp_replace(snippet, '<[^>]+>', '', 'g'), '^\\[1\\] [^\\n]*?: ([^\\n]*)', 1)") + """ end as answer from i""",
+    "osa_pairs": """with recursive q as (select distinct lower(query_text) as q from query_log), w as (select regexp_extract_all(q, '[a-z0-9]+') as t from q),
+p as (select distinct t[i] as a, t[i + 1] as b from (select t, unnest(range(1, len(t))) as i from w where len(t) > 1)),
+d(a, b, i, two, one) as (select a, b, 0, cast([] as bigint[]), range(0, length(b) + 1) from p union all
+  select a, b, i + 1, one, list_transform(range(0, length(b) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: case when k = 0 then i + 1 else least(
+    one[k + 1] + 1, one[k] + case when a[i + 1] = b[k] then 0 else 1 end,
+    case when i > 0 and k > 1 and a[i + 1] = b[k - 1] and a[i] = b[k] then two[k - 1] + 1 else 1000 end) end - k))) from d where i < length(a))
+select a, b, cast(case when abs(length(a) - length(b)) > 2 then 3 else one[length(b) + 1] end as int) as distance from d where i = length(a)""",
     "insert_if_absent": "select distinct url from pagerank where url is not null and url not in (select url from documents where url is not null)",
     "clean_titles": "select doc_id, " + _TRIM("regexp_replace(title, ' [-–] [A-Z][a-z]+(pedia|atlas|facts|lore|wiki)$', '')") + " as title from documents where title is not null",
 }

@@ -56,8 +56,17 @@ orphans as (
   where d.url is null or d.born > r.first_at)
 """
 
+_CASCADE = _BASE.replace("with norm as", "with recursive norm as", 1) + r""",
+scored as (select distinct url from norm where t = 'pagerank'),
+found(ref_table, ref_field, url, period, state, kind, depth) as (
+  select ref_table, ref_field, url, period, state, 'direct', 0 from orphans where ref_table = 'pagerank' union all
+  select t, f, r.url, period, case when g.url is not null then 'deleted' else 'missing' end, 'direct', 0 from refs r left join gone g on g.url = r.url where t = 'links' and r.url not in (select url from scored) union all
+  select r.t, r.f, r.url, r.period, 'inherited', 'inherited', p.depth + 1 from (select distinct url, depth from found where ref_table = 'pagerank' and state <> 'late') p join refs r on r.url = p.url and r.t = 'links')
+"""
+
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_cascade": p5_cascade}
 SQL = {
     "p5_found": _BASE + "select ref_table, ref_field, url, period, state from orphans",
+    "p5_cascade": _CASCADE + "select ref_table, ref_field, url, period, state, kind, cast(depth as int) as depth from found",
     "p5_report": _BASE + "select ref_table, ref_field, period, state, count(*) as urls, cast(sum(n) as bigint) as rows from orphans group by 1, 2, 3, 4",
 }
