@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekline.llm.postings import postings, term_rows
+from seekline.llm.postings import clean_postings, hot_limit
+from seekline.plans.lineage import materialize
 
 
 def dfr_scores(index: DataFrame, rate: str = "occurrence") -> DataFrame:
@@ -27,14 +28,22 @@ def dfr_scores(index: DataFrame, rate: str = "occurrence") -> DataFrame:
     """
     if rate not in ("occurrence", "presence"):
         raise ValueError("rate must be occurrence or presence")
-    flat = postings(term_rows(index)).where("tf > 0")
-    terms = flat.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    lengths = flat.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    each = F.explode(F.arrays_zip("docs", "tfs")).alias("p")
+    flat = clean_postings(index).select("term", "df", "total", each).select("term", "df", "total", F.col("p.docs").alias("doc_id"), F.col("p.tfs").alias("tf")).where("tf > 0")
+    lengths = materialize(flat.groupBy("doc_id").agg(F.sum("tf").alias("length"), F.count(F.lit(1)).alias("n")), "lengths")
     # One row, so it may be broadcast.
     corpus = F.broadcast(lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length")))
     share = (F.col("total") if rate == "occurrence" else F.col("df")) / F.col("docs")
     tfn = F.col("tf") * F.log2(1 + F.col("mean_length") / F.col("length"))
-    joined = flat.join(terms, "term").join(lengths, "doc_id").crossJoin(corpus)
+    # Documents that hold more than their share of all postings meet their length by a broadcast of those few.
+    spark = index.sparkSession
+    hot = lengths.where(F.col("n") >= hot_limit(spark, lengths.agg(F.sum("n")).first()[0] or 0)).select("doc_id", "length")
+    if hot.isEmpty():
+        joined = flat.join(lengths.select("doc_id", "length"), "doc_id")
+    else:
+        hot = F.broadcast(hot)
+        joined = flat.join(hot, "doc_id", "left_anti").join(lengths.select("doc_id", "length"), "doc_id").unionByName(flat.join(hot, "doc_id"))
+    joined = joined.crossJoin(corpus)
     scored = joined.select("doc_id", "term", "tf", "df", "docs", tfn.alias("tfn"), share.alias("rate"))
     info = F.log2(1 + F.col("rate")) + F.col("tfn") * F.log2((1 + F.col("rate")) / F.col("rate"))
     return scored.withColumn("dfr", info / (F.col("tfn") + 1))
@@ -50,7 +59,8 @@ def characteristic_terms(index: DataFrame, k: int = 3) -> DataFrame:
 
     An empty index gives no rows; documents with fewer terms give fewer rows.
     """
-    return _top(dfr_scores(index), ["doc_id"], "dfr", k).select("doc_id", "term", "tf", "dfr", "rank")
+    scored = dfr_scores(index).withColumn("place", F.round("dfr", 9))  # what differs only by the order of additions is equal
+    return _top(scored, ["doc_id"], "place", k).select("doc_id", "term", "tf", "dfr", "rank")
 
 
 def characteristic_terms_checked(index: DataFrame, k: int = 3) -> DataFrame:

@@ -1,25 +1,170 @@
-"""Reading the stored inverted index: terms with JSON postings, cleaned."""
+"""Reading the stored inverted index: terms with JSON postings, parsed once over Arrow buffers and cleaned.
+
+Postings stay lists beside their term until something needs single ones, so a
+shuffle moves one row for each stored row.  A term that holds more than its
+share of all postings is *hot*: its lists are dealt to salts by document.
+"""
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekline.sources.tables import spread
+from seekline.plans.lineage import materialize
+from seekline.sources.tables import partitions, spread
+
+#: A whole object of plain numbers, which is read without a JSON parser.
+_PLAIN = r'^\s*\{\s*(?:"\d{1,18}"\s*:\s*\d{1,18}\s*(?:,\s*"\d{1,18}"\s*:\s*\d{1,18}\s*)*)?\}\s*$'
+_WHOLE = re.compile(r"\s*[+-]?\d+\s*")
+#: Pieces that a hot term's postings are dealt to.
+SALTS = 16
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, pa.int64()))
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of digits of the texts as numbers, and how many each text has."""
+    column = pa.concat_arrays([column.cast(pa.large_string())])  # its buffers begin with its first text
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[: offsets[-1]] if offsets[-1] else np.zeros(0, np.uint8)
+    digit = np.zeros(len(data) + 2, np.int8)
+    digit[1:-1] = (data >= 48) & (data <= 57)
+    step = np.diff(digit)
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    size = end - start
+    out = np.zeros(len(start), np.int64)
+    for k in range(int(size.max(initial=0))):
+        on = size > k
+        out[on] = out[on] * 10 + (data[start[on] + k] - 48)
+    return out, np.diff(np.searchsorted(start, offsets))
+
+
+def _by_json(text: str) -> list[tuple[int, int]] | None:
+    """Entries of an object that isn't plain; those without a whole number as document or count are left out; None for no object."""
+    try:
+        got = json.loads(text, object_pairs_hook=lambda pairs: ("object", pairs))
+    except (ValueError, RecursionError):
+        return None
+    if not (isinstance(got, tuple) and got[0] == "object"):
+        return None
+    fits = lambda x: -(2**63) <= x < 2**63
+    return [(int(k), v) for k, v in got[1] if _WHOLE.fullmatch(k) and fits(int(k)) and isinstance(v, int) and not isinstance(v, bool) and fits(v)]
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        terms, raw = batch.column(0), batch.column(1)
+        plain = pc.match_substring_regex(raw, _PLAIN)
+        values, sizes = _numbers(raw.filter(plain))
+        yield pa.RecordBatch.from_arrays([terms.filter(plain), _lists(values[0::2], sizes // 2), _lists(values[1::2], sizes // 2)], names=["term", "docs", "tfs"])
+        rest = pc.and_(pc.invert(plain), pc.match_substring_regex(raw, r"^\s*\{[\s\S]*\}\s*$"))
+        read = [(t, e) for t, e in zip(terms.filter(rest).to_pylist(), map(_by_json, raw.filter(rest).to_pylist())) if e]
+        if read:
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in read], pa.string()), *(pa.array([[x[i] for x in e] for _, e in read], pa.list_(pa.int64())) for i in (0, 1))], names=["term", "docs", "tfs"])
 
 
 def term_rows(index: DataFrame) -> DataFrame:
-    """Rows (term, postings map) with the term trimmed and in lower case.
+    """Rows ``term, docs, tfs`` with the term trimmed and in lower case and its documents and counts as lists of one length, written once.
 
     Rows with a null or blank term, null postings, or postings that are no
     complete JSON object (cut off, empty text) are skipped; whatever they lack
-    stands in another row.
+    stands in another row.  Entries without a whole number as document or count
+    are skipped, and so are rows without an entry.
     """
-    whole = F.when(F.col("postings").rlike(r"^\s*\{[\s\S]*\}\s*$"), F.from_json("postings", "map<string,bigint>"))
-    return spread(index.select("term", "postings")).select(F.trim(F.lower("term")).alias("term"), whole.alias("entries")).where("term <> '' and entries is not null and size(entries) > 0")
+    rows = spread(index.select("term", "postings")).select(F.trim(F.lower("term")).alias("term"), "postings").where("term <> '' and postings is not null")
+    return materialize(rows.mapInArrow(_parse, "term string, docs array<long>, tfs array<long>").where("size(docs) > 0"), "rows")
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, docs, tfs) as up to SALTS rows (key, salt, docs, tfs), by document."""
+    for batch in batches:
+        docs, tfs = (batch.column(i).flatten().to_numpy() for i in (1, 2))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+        piece = row * SALTS + docs % SALTS
+        order = np.argsort(piece, kind="stable")
+        which, sizes = np.unique(piece, return_counts=True)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which // SALTS)), pa.array(which % SALTS, pa.int32()), _lists(docs[order], sizes), _lists(tfs[order], sizes)], names=["key", "salt", "docs", "tfs"])
+
 
+def hot_limit(spark, total: int) -> int:
+    """Postings of a hot key: an eighth of a task's share, so at most 8 keys a task are hot whatever the data."""
+    return max(1, total // (8 * partitions(spark)))
 
-def postings(rows: DataFrame, key: str = "term") -> DataFrame:
-    """One row per (``key``, doc_id) with the largest count; entries without a whole number as document or count are skipped."""
-    flat = rows.select(key, F.explode("entries").alias("doc", "tf")).select(key, F.expr("try_cast(doc as bigint)").alias("doc_id"), "tf")
-    return flat.where("doc_id is not null and tf is not null").groupBy(key, "doc_id").agg(F.max("tf").alias("tf"))
+
+def salted(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """``rows`` (key, docs, tfs) with a ``salt``: 0, or by document where the key is in ``hot`` (a table of bounded size)."""
+    cold = rows if hot is None else rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    out = cold.select(key, F.lit(0).alias("salt"), "docs", "tfs")
+    if hot is None:
+        return out
+    kind = dict(rows.dtypes)[key]
+    split = rows.join(F.broadcast(hot.select(key)), key).select(key, "docs", "tfs").mapInArrow(_dealt, f"key {kind}, salt int, docs array<long>, tfs array<long>")
+    return out.unionByName(split.withColumnRenamed("key", key))
+
+
+def united(batch_rows: Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, sizes, docs and tfs of rows sorted by key, one row a key: a document once, with its largest count.
+
+    ``batch_rows`` gives (keys, sizes, docs, tfs); what may go on in the next
+    batch, the last key's postings, is carried over.
+    """
+    kept: tuple[list, np.ndarray, np.ndarray] | None = None
+
+    def unite(keys, sizes, docs, tfs):
+        new = np.array([True, *(a != b for a, b in zip(keys[1:], keys))])
+        at = np.repeat(np.cumsum(new) - 1, sizes)
+        order = np.lexsort((-tfs, docs, at))
+        at, docs, tfs = at[order], docs[order], tfs[order]
+        first = np.ones(len(at), bool)
+        first[1:] = (at[1:] != at[:-1]) | (docs[1:] != docs[:-1])
+        at, docs, tfs = at[first], docs[first], tfs[first]
+        return [k for k, n in zip(keys, new) if n], np.bincount(at, minlength=int(new.sum())), docs, tfs
+
+    for keys, sizes, docs, tfs in batch_rows:
+        if not keys:
+            continue
+        if kept is not None:
+            keys, sizes, docs, tfs = [*kept[0], *keys], np.r_[len(kept[1]), sizes], np.r_[kept[1], docs], np.r_[kept[2], tfs]
+        keys, sizes, docs, tfs = unite(keys, sizes, docs, tfs)
+        cut = len(docs) - int(sizes[-1])
+        kept = (keys[-1:], docs[cut:], tfs[cut:])
+        if len(keys) > 1:
+            yield keys[:-1], sizes[:-1], docs[:cut], tfs[:cut]
+    if kept is not None:
+        yield kept[0], np.array([len(kept[1])]), kept[1], kept[2]
+
+
+def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    read = (([*zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.diff(b.column(2).offsets.to_numpy()), b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()) for b in batches)
+    for keys, sizes, docs, tfs in united(read):
+        total = np.add.reduceat(tfs, np.cumsum(sizes) - sizes)
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.string()), _lists(docs, sizes), _lists(tfs, sizes), pa.array(sizes, pa.int64()), pa.array(total, pa.int64())], names=["term", "docs", "tfs", "df", "total"])
+
+
+def clean_postings(index: DataFrame) -> DataFrame:
+    """``term, docs, tfs, df, total``: every term's postings united, a document once with its largest count, in one row a term.
+
+    Hot terms have a row for each salt; ``df`` and ``total`` are the whole
+    term's in any case.
+    """
+    spark = index.sparkSession
+    rows = term_rows(index)
+    sizes = materialize(rows.groupBy("term").agg(F.sum(F.size("docs")).alias("n")), "sizes")
+    every = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = sizes.where(F.col("n") >= hot_limit(spark, every))
+    hot = None if hot.isEmpty() else hot
+    laid = salted(rows, "term", hot).repartition(partitions(spark), "term", "salt").sortWithinPartitions("term", "salt")
+    clean = materialize(laid.mapInArrow(_clean, "term string, docs array<long>, tfs array<long>, df long, total long"), "postings")
+    if hot is None:
+        return clean
+    whole = clean.join(F.broadcast(hot.select("term")), "term").groupBy("term").agg(F.sum("df").alias("all_df"), F.sum("total").alias("all_total"))
+    return clean.join(F.broadcast(whole), "term", "left").select("term", "docs", "tfs", F.coalesce("all_df", "df").alias("df"), F.coalesce("all_total", "total").alias("total"))

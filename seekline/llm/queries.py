@@ -98,6 +98,11 @@ SQL = {
     "p6_found": _CLEAN
     + """, s as (select p.doc_id, p.term, (1 + ln(p.tf)) * ln(n.docs / t.df) as score from p join t on p.term = t.term cross join n),
 r as (select *, row_number() over (partition by doc_id order by score desc, term) as k from s) select doc_id, term from r where k <= 3""",
+    "p6_dfr": _CLEAN
+    + """, l as (select doc_id, sum(tf) as length from p group by 1), c as (select count(*) as docs, avg(length) as mean_length from l),
+x as (select p.doc_id, p.term, p.tf * log2(1 + c.mean_length / l.length) as tfn, t.total / c.docs as rate from p join t on t.term = p.term join l on l.doc_id = p.doc_id cross join c),
+s as (select doc_id, term, (log2(1 + rate) + tfn * log2((1 + rate) / rate)) / (tfn + 1) as dfr from x),
+r as (select *, row_number() over (partition by doc_id order by round(dfr, 9) desc, term) as k from s) select doc_id, term, round(dfr, 6) as dfr from r where k <= 3""",
     "p7_found": _QUERY + "select query_text from kept",
     "p7_counts": _QUERY + "select query_text, exact_count from kept",
 }
