@@ -4,7 +4,7 @@ Every partition keeps ``depth`` rows of ``width`` buckets; a bucket holds the
 number of its items and, for each of the 64 bits of the item's identifier, the
 number of items that have this bit set: ``depth * width * 65`` counters,
 whatever the number of rows or of distinct values.  Sketches add up, so
-partitions are summed counter by counter.  In a bucket where one item makes up
+partitions are summed counter by counter, on two levels.  In a bucket where one item makes up
 more than half, each bit counter tells that item's bit, and the identifier is
 read off directly.  Decoded identifiers are then counted exactly in a second
 scan, so the reported counts are exact and a wrongly decoded one drops out.
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seekline.llm.sums import CHUNKS, added, chunks_of
+
 BITS = 64
 #: Buckets summed and decoded together.
 CHUNK = 128
@@ -57,28 +59,25 @@ def _sketch(depth: int, width: int):
                 first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
                 counts[d, b[first]] += np.add.reduceat(rows[order], first, axis=0)
         if seen:
-            flat = counts.reshape(-1, CHUNK * (BITS + 1))
-            small = flat.astype(np.int32) if flat.max() < 2**31 else flat
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.arange(len(flat), dtype=np.int32)), "wide": pa.array([small.dtype == np.int64] * len(flat)), "counters": pa.array([r.tobytes() for r in small], pa.binary())})
+            yield chunks_of(counts.ravel(), CHUNK * (BITS + 1))
 
     return run
 
 
-def _decode(key, table):
-    total = np.zeros((CHUNK, BITS + 1), np.int64)
-    for wide, raw in zip(table.column("wide").to_pylist(), table.column("counters")):
-        total += np.frombuffer(raw.as_buffer(), np.int64 if wide else np.int32).reshape(CHUNK, BITS + 1)
-    n, bits = total[:, :1], total[:, 1:]
-    # A majority item leaves every bit counter clearly on one side of one half.
-    clear = (n[:, 0] > 0) & (np.abs(2 * bits - n) > 0).all(axis=1)
-    ids = (((2 * bits > n).astype(np.uint64)) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return pa.table({"id": pa.array(ids[clear].view(np.int64)), "bucket_total": pa.array(n[clear, 0])})
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        total = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(-1, BITS + 1)
+        n, bits = total[:, :1], total[:, 1:]
+        # A majority item leaves every bit counter clearly on one side of one half.
+        clear = (n[:, 0] > 0) & (np.abs(2 * bits - n) > 0).all(axis=1)
+        ids = (((2 * bits > n).astype(np.uint64)) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids[clear].view(np.int64)), "bucket_total": pa.array(n[clear, 0])})
 
 
 def sketch_candidates(items: DataFrame, id_col: str, depth: int = 4, width: int = 4096) -> DataFrame:
     """Identifiers decoded from the summed sketch, at most ``depth * width``, with an upper bound of their counts."""
-    parts = items.select(id_col).mapInArrow(_sketch(depth, width), "chunk int, wide boolean, counters binary")
-    return parts.groupBy("chunk").applyInArrow(_decode, "id long, bucket_total long").groupBy("id").agg(F.min("bucket_total").alias("upper_bound"))
+    parts = items.select(id_col).mapInArrow(_sketch(depth, width), CHUNKS)
+    return added(parts, np.int64, np.int64).mapInArrow(_decode, "id long, bucket_total long").groupBy("id").agg(F.min("bucket_total").alias("upper_bound"))
 
 
 def frequent_items(df: DataFrame, column: str, share: float, depth: int = 4, width: int = 4096) -> DataFrame:

@@ -1,15 +1,16 @@
 """Test passages in training text by suffix arrays (problem 9).
 
 Each batch of training records is a shard.  Its words become the numbers they
-have in the test items' vocabulary, and a suffix array is built over the
-shard's suffixes; suffixes that don't begin with two words that stand together
-in some test item can match nothing and stay out of it.  Every suffix of every
-test item is binary-searched; each place found is extended to its longest
-verbatim match.  A record leaks an item when a match is ``run`` words or
-longer, or when the whole item stands in it with at most ``share`` of its words
-changed, inserted or left out, which is settled by alignment.  An item with
-``k`` changes allowed keeps a verbatim piece of ``ceil((length - k) / (k + 1))``
-words, so searching for ``min`` of that and ``run`` words loses no leak.
+have in the test items' vocabulary.  Stretches in which no match can lie, since
+their neighbouring words stand together in no test item, are cut out, and a
+suffix array is built over all suffixes of the rest, sorted over their whole
+length up to the longest item.  Every suffix of every test item is
+binary-searched in it; each place found is extended to its longest verbatim
+match.  A record leaks an item when a match is ``run`` words or longer, or when
+the whole item stands in it with at most ``share`` of its words changed,
+inserted or left out, which is settled by alignment.  An item with ``k`` changes
+allowed keeps a verbatim piece of ``ceil((length - k) / (k + 1))`` words, so
+searching for ``min`` of that and ``run`` words loses no leak.
 """
 
 from __future__ import annotations
@@ -76,54 +77,96 @@ class TestSet:
         return self.pairs[at] == pair if len(self.pairs) else np.zeros(len(pair), bool)
 
 
-def longest_matches(shard: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in the shard, place in the tests, length) of the maximal verbatim matches of at least ``tests.seed`` words."""
-    none = np.zeros(0, np.int64)
+def matching_runs(shard: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of the shard in which a match can lie, one after the other with a 0 behind each, and where each word stands in the shard.
+
+    A match has at least ``tests.seed`` words, and every two neighbours in it
+    stand together in some test item; what is in no such stretch can't match.
+    """
     d = tests.seed
-    if len(shard) < d or not len(tests.flat):
-        return none, none, none
-    if d >= 2:
-        pair = shard[:-1].astype(np.int64) * tests.size + shard[1:]
+    kept = np.zeros(len(shard) + 1, np.int64)
+    if d >= 2 and len(shard) >= d:
         fits = (shard[:-1] > 0) & (shard[1:] > 0)
-        fits[fits] = tests.has_pair(pair[fits])
-        # A suffix matches over its first d words only if its d - 1 first pairs all stand in the tests.
+        fits[fits] = tests.has_pair(shard[:-1][fits].astype(np.int64) * tests.size + shard[1:][fits])
         whole = np.concatenate([[0], np.cumsum(fits)])
         starts = np.flatnonzero(whole[d - 1 :] - whole[: len(whole) - d + 1] == d - 1)
-    else:
-        starts = np.flatnonzero(shard > 0)
-    if not len(starts):
-        return none, none, none
-    keys = _keys(shard, starts, d)
-    order = np.argsort(keys, kind="stable")
-    array, keys = starts[order], keys[order]
-    test_at = np.flatnonzero(np.arange(len(tests.flat)) < len(tests.flat) - d + 1)
-    test_at = test_at[tests.owner[test_at] == tests.owner[np.minimum(test_at + d - 1, len(tests.flat) - 1)]]
-    test_at = test_at[tests.flat[test_at + d - 1] > 0]
-    wanted = _keys(tests.flat, test_at, d)
-    low, high = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
-    n = high - low
-    which = np.repeat(np.arange(len(test_at)), n)
-    place = array[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    probe = test_at[which]
-    # Keep what can't be extended to the left; extend the rest to the right.
-    before = (place > 0) & (probe > 0) & (shard[np.maximum(place - 1, 0)] == tests.flat[np.maximum(probe - 1, 0)]) & (shard[np.maximum(place - 1, 0)] > 0)
-    place, probe = place[~before], probe[~before]
-    length = np.full(len(place), d, np.int64)
-    alive = np.arange(len(place))
-    test_padded = np.concatenate([tests.flat, np.zeros(1, np.int32)])
-    padded = np.concatenate([shard, np.zeros(1, np.int32)])
-    while len(alive):
-        x = padded[np.minimum(place[alive] + length[alive], len(shard))]
-        y = test_padded[np.minimum(probe[alive] + length[alive], len(tests.flat))]
-        alive = alive[(x == y) & (x > 0)]
-        length[alive] += 1
-    return place, probe, length
-
-
-def _keys(text: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """The first ``depth`` words of each suffix as byte strings of one width that sort as the words' numbers do."""
-    padded = np.concatenate([text, np.zeros(depth, text.dtype)])
-    return np.ascontiguousarray(padded[starts[:, None] + np.arange(depth)].astype(">i4")).view(f"S{4 * depth}").ravel()
+        np.add.at(kept, starts, 1)
+        np.add.at(kept, starts + d, -1)
+    elif d == 1:
+        kept[:-1] = np.diff(np.concatenate([[0], shard > 0]))
+    inside = np.cumsum(kept)[:-1] > 0
+    at = np.flatnonzero(inside | np.concatenate([[False], inside[:-1]]))  # each stretch, and the place behind it
+    return np.where(inside[at], shard[at], 0), at
+
+
+def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
+    """The places of ``text`` in the order of the suffixes that begin there, by doubling the length that is sorted until it is ``depth`` or no two are equal."""
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    k = 1
+    while k < depth and len(text) and rank.max() + 1 < len(text):
+        behind = np.zeros(len(text), np.int64)
+        behind[: len(text) - k] = rank[k:] + 1
+        rank = np.unique(rank * (len(text) + 1) + behind, return_inverse=True)[1]
+        k *= 2
+    return np.argsort(rank, kind="stable")
+
+
+def _bound(text: np.ndarray, array: np.ndarray, tests: np.ndarray, at: np.ndarray, d: int, above: bool) -> np.ndarray:
+    """For each test suffix, by binary search, how many suffixes of the text lie below it over its first ``d`` words (or not above it)."""
+    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(array), np.int64)
+    wanted = tests[at[:, None] + np.arange(d)]
+    text = np.concatenate([text, np.zeros(d, text.dtype)])
+    while (open_ := np.flatnonzero(lo < hi)).size:
+        mid = (lo[open_] + hi[open_]) // 2
+        here, there = text[array[mid][:, None] + np.arange(d)], wanted[open_]
+        first = (here != there).argmax(axis=1)
+        rows = np.arange(len(open_))
+        x, y = here[rows, first], there[rows, first]
+        up = (x < y) | (above & (x == y))
+        lo[open_] = np.where(up, mid + 1, lo[open_])
+        hi[open_] = np.where(up, hi[open_], mid)
+    return lo
+
+
+#: Matches that are looked at together; more are taken in turns.
+TOGETHER = 1 << 20
+
+
+def longest_matches(shard: np.ndarray, tests: TestSet) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(place in the shard, place in the tests, length) of the maximal verbatim matches of at least ``tests.seed`` words, at most TOGETHER at a time."""
+    d = tests.seed
+    if len(shard) < d or not len(tests.flat):
+        return
+    text, origin = matching_runs(shard, tests)
+    if not len(text):
+        return
+    array = suffix_array(text, max(map(len, tests.tokens)))
+    at = np.flatnonzero(np.arange(len(tests.flat)) < len(tests.flat) - d + 1)
+    at = at[(tests.owner[at] == tests.owner[at + d - 1]) & (tests.flat[at + d - 1] > 0)]
+    low, high = (_bound(text, array, tests.flat, at, d, above) for above in (False, True))
+    at, low, n = at[high > low], low[high > low], (high - low)[high > low]
+    # Intervals longer than a turn are cut, then as many as fit are taken at once.
+    cuts = np.maximum(1, -(-n // TOGETHER))
+    which = np.repeat(np.arange(len(at)), cuts)
+    begin = (np.arange(len(which)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * TOGETHER
+    at, low, n = at[which], low[which] + begin, np.minimum(n[which] - begin, TOGETHER)
+    turn = (np.cumsum(n) - 1) // TOGETHER
+    padded, test_padded = np.concatenate([shard, np.zeros(1, np.int32)]), np.concatenate([tests.flat, np.zeros(1, np.int32)])
+    for t in np.unique(turn):
+        a, lo, m = at[turn == t], low[turn == t], n[turn == t]
+        probe = np.repeat(a, m)
+        place = origin[array[np.repeat(lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]]
+        # Keep what can't be extended to the left; extend the rest to the right.
+        before = (place > 0) & (probe > 0) & (shard[np.maximum(place - 1, 0)] == tests.flat[np.maximum(probe - 1, 0)]) & (shard[np.maximum(place - 1, 0)] > 0)
+        place, probe = place[~before], probe[~before]
+        length = np.full(len(place), d, np.int64)
+        alive = np.arange(len(place))
+        while len(alive):
+            x = padded[np.minimum(place[alive] + length[alive], len(shard))]
+            y = test_padded[np.minimum(probe[alive] + length[alive], len(tests.flat))]
+            alive = alive[(x == y) & (x > 0)]
+            length[alive] += 1
+        yield place, probe, length
 
 
 def changes(item: np.ndarray, text: np.ndarray, most: int) -> int:
@@ -158,20 +201,22 @@ def _search(tests):
             out = {"doc_id": [], "item_id": [], "longest": [], "item_words": [], "changed": [], "word_at": []}
             if parts:
                 shard, begin = np.concatenate(parts), np.array(begins)
-                place, probe, length = longest_matches(shard, t)
+                # For each record and item the longest match, and the diagonals on which the item may lie.
                 found: dict[tuple[int, int], list] = {}
-                for p, q, m in zip(place.tolist(), probe.tolist(), length.tolist()):
-                    d = int(np.searchsorted(begin, p, "right")) - 1
-                    found.setdefault((d, int(t.owner[q])), []).append((m, p, int(t.at[q])))
-                for (d, o), hits in found.items():
-                    longest, at, _ = max(hits)
+                for place, probe, length in longest_matches(shard, t):
+                    docs = np.searchsorted(begin, place, "right") - 1
+                    for d, o, m, p, a in zip(docs.tolist(), t.owner[probe].tolist(), length.tolist(), place.tolist(), t.at[probe].tolist()):
+                        best = found.setdefault((d, o), [(0, 0), set()])
+                        best[0] = max(best[0], (m, p))
+                        best[1].add(p - a)
+                for (d, o), ((longest, at), diagonals) in found.items():
                     item, most = t.tokens[o], t.allowed[o]
                     changed = None
                     if longest >= seed_length(len(item), t.run, t.share):
                         best = most + 1
                         first, last = begin[d], begin[d] + len(parts[d]) - 1
-                        for _, p, a in hits:
-                            lo, hi = max(first, p - a - most), min(last, p - a + len(item) + most)
+                        for x in sorted(diagonals):
+                            lo, hi = max(first, x - most), min(last, x + len(item) + most)
                             best = min(best, changes(item, shard[lo:hi], most))
                             if best == 0:
                                 break

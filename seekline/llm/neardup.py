@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seekline.llm.sums import CHUNKS, added, chunks_of, gathered
 from seekline.llm.words import WordHashes, grams, words
 from seekline.plans.lineage import materialize
 from seekline.sources.tables import partitions, spread
@@ -80,25 +81,14 @@ def _sketcher(n: int):
                 some = True
                 np.add.at(counts, (g >> _SHIFT).astype(np.int64), 1)
         if some:
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(SKETCH // SKETCH_CHUNK), pa.int32()), "counts": pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for c in counts.reshape(-1, SKETCH_CHUNK)], pa.binary())})
+            yield chunks_of(np.minimum(counts, 65535).astype(np.uint16), SKETCH_CHUNK)
 
     return run
 
 
-def _sum_chunk(key, table):
-    total = np.zeros(SKETCH_CHUNK, np.int64)
-    for raw in table.column("counts"):
-        total += np.frombuffer(raw.as_buffer(), np.uint16)
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
-
-
 def _frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
     """Document frequencies by hash bucket over all records: SKETCH counters, a proven bound for the driver and the broadcast."""
-    rows = docs.mapInArrow(_sketcher(n), "chunk int, counts binary").groupBy("chunk").applyInArrow(_sum_chunk, "chunk int, counts binary").collect()
-    out = np.zeros(SKETCH, np.int32)
-    for r in rows:
-        out[r["chunk"] * SKETCH_CHUNK : (r["chunk"] + 1) * SKETCH_CHUNK] = np.frombuffer(r["counts"], np.int32)
-    return out
+    return np.minimum(gathered(added(docs.mapInArrow(_sketcher(n), CHUNKS), np.uint16, np.int64), SKETCH, np.int64), 2**31 - 1).astype(np.int32)
 
 
 def _set_builder(n: int, sketch):

@@ -68,6 +68,11 @@ def p9_found(spark, base):
     return p9_leaks(spark, base).select("doc_id", "item_id")
 
 
+def p9_clean(spark, base):
+    """The documents that are left when those with test material are taken out."""
+    return leakage.without_leaks(table(spark, base, "documents"), table(spark, base, "eval_items")).select("doc_id")
+
+
 def p10_found(spark, base):
     return mojibake.garbled_records(table(spark, base, "documents")).select("doc_id").distinct()
 

@@ -185,6 +185,27 @@ def test_leaks(spark):
     assert leakage.leaks(df.limit(0), items).count() == 0 and leakage.leaks(df, items.limit(0)).count() == 0
 
 
+def test_suffix_array_and_matches(monkeypatch):
+    rng = np.random.default_rng(7)
+    text = rng.integers(0, 3, 300).astype(np.int32)
+    got = leakage.suffix_array(text, 300)
+    assert got.tolist() == sorted(range(300), key=lambda i: text[i:].tolist())
+    items = [" ".join(f"w{k}" for k in rng.integers(0, 4, 24)) for _ in range(6)]
+    tests = leakage.TestSet([(i, t) for i, t in enumerate(items)], 4, 0.1)
+    shard = np.array([tests.vocabulary.get(f"w{k}", 0) for k in rng.integers(0, 5, 900)], np.int32)
+    want = set()
+    for p in range(len(shard)):
+        for q in range(len(tests.flat)):
+            n = 0
+            while p + n < len(shard) and q + n < len(tests.flat) and shard[p + n] == tests.flat[q + n] > 0:
+                n += 1
+            if n >= tests.seed and not (p and q and shard[p - 1] == tests.flat[q - 1] > 0):
+                want.add((p, q, n))
+    for together in (1 << 20, 7):
+        monkeypatch.setattr(leakage, "TOGETHER", together)
+        assert {x for block in leakage.longest_matches(shard, tests) for x in zip(*(c.tolist() for c in block))} == want
+
+
 def test_alignment():
     a = np.array([1, 2, 3, 4])
     assert leakage.changes(a, np.array([9, 1, 2, 3, 4, 9]), 2) == 0
