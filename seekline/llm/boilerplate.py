@@ -1,20 +1,19 @@
 """Main content of web pages by template deduction (problem 2).
 
-Tokens are what a template can repeat: a whole line (numbers and the site's
-name masked), a line's first words with a slot behind them, and the labels of a
-line of links.  Over the pages of one host every token has an occurrence
-vector, kept as a fingerprint; tokens of equal vectors form an equivalence
-class.  Valid classes seed the template:
-
-* three or more lines of one class on a host (a menu appears as a whole),
-* a line on a large share of a host's pages,
-* first words that are followed by ever other text, over several pages, where
-  the line hardly ever ends as a sentence does (a slot of the template).
-
-Classes are then nested: a token whose occurrences mostly stand next to lines
-of the template joins it, and so on for a few rounds.  What is left between is
-the slot that holds the article.  Tokens of small hosts are judged by the
-pooled evidence of all hosts, since a single page has no vector to compare.
+A line is a path of words (numbers and the site's name masked), so tokens are
+the nodes of these paths, told apart by the words before them; what stands in
+every page at the same node is the template's, what differs is a slot.  Over the
+pages of one host every token has an occurrence vector, how often it occurs in
+each page, kept as a fingerprint; tokens of equal vectors form an equivalence
+class.  A class of tokens that end no sentence is valid, and part of the
+template, when it has three words and four occurrences.  Menus,
+labels before a slot, counters and footers appear as such classes whole.
+
+What no class decides is nested: a recurring line whose occurrences mostly
+stand between lines of the template joins it, and so on for a few rounds, which
+tells notices that are sentences from sentences of an article.  What is left
+between is the slot that holds the article.  Tokens of small hosts are judged by
+the pooled evidence of all hosts, since a single page has no vector to compare.
 """
 
 from __future__ import annotations
@@ -30,6 +29,10 @@ from pyspark.sql import functions as F
 from seekline.plans.lineage import materialize
 from seekline.sources.tables import spread
 
+#: Words of a line's path that are tokens; the rest of a longer line is one token more.
+PATH = 8
+#: Least words of a valid class, and least occurrences of any token that is judged.
+CLASS_WORDS, SUPPORT = 3, 4
 #: Most tokens that are sent to every task (16 bytes each); beyond it they are joined.
 MAX_SENT = 2_000_000
 _NUMBER = re.compile(r"\d[\d.,:  ]*\d|\d")
@@ -51,14 +54,24 @@ def _hash(kind: str, text: str) -> int:
 
 def _read_lines(batches):
     """One row a page: host, and for its lines that aren't blank number, tokens, sentence ends and link labels."""
+    known: dict[str, int] = {}
+
+    def node(text):
+        h = known.get(text)
+        if h is None:
+            if len(known) > 200_000:
+                known.clear()
+            h = known[text] = _hash("P", text)
+        return h
+
     for batch in batches:
-        out = {k: [] for k in ("doc_id", "host", "line_no", "full", "first", "ends", "words", "label", "label_at")}
+        out = {k: [] for k in ("doc_id", "host", "line_no", "full", "first", "path", "ends", "words", "label", "label_at")}
         for doc, url, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if not content or doc is None:
                 continue
             host, site = _host(url)
             named = re.compile(re.escape(site), re.I) if site else None
-            no, full, first, ends, words, label, label_at = ([] for _ in range(7))
+            no, full, first, path, ends, words, label, label_at = ([] for _ in range(8))
             for n, line in enumerate(content.split("\n"), 1):
                 line = line.strip()
                 if not line:
@@ -73,6 +86,11 @@ def _read_lines(batches):
                     first += [_hash("1", w[0]) if w[0][-1] == ":" else 0, _hash("2", " ".join(w[:2])) if len(w) > 2 else 0, _hash("3", " ".join(w[:3])) if len(w) > 3 else 0]
                 else:
                     first += [0, 0, 0]
+                text = ""
+                for k in range(min(PATH, len(w))):
+                    text = f"{text} {w[k]}"
+                    path.append(node(text))
+                path += [0] * (PATH - len(w))
                 if not ended:
                     parts = _SPLIT.split(mask)
                     if len(parts) >= 3:
@@ -83,13 +101,13 @@ def _read_lines(batches):
                 ends.append(ended)
                 words.append(min(len(w), 99))
             if no:
-                for k, v in zip(out, (doc, host, no, full, first, ends, words, label, label_at)):
+                for k, v in zip(out, (doc, host, no, full, first, path, ends, words, label, label_at)):
                     out[k].append(v)
-        kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int16()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int16()), pa.list_(pa.int64()), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
 
-PAGES = "doc_id long, host string, line_no array<int>, full array<long>, first array<long>, ends array<boolean>, words array<short>, label array<long>, label_at array<int>"
+PAGES = "doc_id long, host string, line_no array<int>, full array<long>, first array<long>, path array<long>, ends array<boolean>, words array<short>, label array<long>, label_at array<int>"
 
 
 def _flat(column) -> np.ndarray:
@@ -119,12 +137,13 @@ class _Lines:
         self.lengths = np.diff(column("full").offsets.to_numpy())
         self.page = np.repeat(np.arange(len(self.doc)), self.lengths)
         self.full, self.first = _flat(column("full")), _flat(column("first")).reshape(-1, 3)
+        self.path = _flat(column("path")).reshape(-1, PATH)
         self.ends, self.words, self.no = _flat(column("ends")), _flat(column("words")), _flat(column("line_no"))
         start = np.cumsum(self.lengths) - self.lengths
         counts = np.diff(column("label").offsets.to_numpy())
         self.label, self.label_line = _flat(column("label")), _flat(column("label_at")) + np.repeat(start, counts)
         if template is not None:
-            self.hit = _isin(self.full, template) | _isin(self.first.ravel(), template).reshape(-1, 3).any(axis=1)
+            self.hit = _isin(self.full, template) | _isin(self.first.ravel(), template).reshape(-1, 3).any(axis=1) | _isin(self.path.ravel(), template).reshape(-1, PATH).any(axis=1)
         else:
             self.hit = _marks(column("hits"), self.lengths)
         n = len(self.full)
@@ -229,6 +248,53 @@ def _tokens(pages: DataFrame) -> DataFrame:
     return one.select("host", "doc_id", "at", "full", "ends", F.explode(both).alias("t")).select("host", "doc_id", "at", "full", "ends", "t.token", "t.kind")
 
 
+def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x.astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _occurrences(batches):
+    """Tokens of each host with the sums of which their occurrence vectors' fingerprints are made, added up within a batch.
+
+    A fingerprint is the sum over all occurrences of three 31-bit hashes of the
+    page, so a page counts as often as it has the token.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = _Lines(batch, np.zeros(0, np.int64))
+        at = batch.schema.get_field_index("host")
+        hosts, host = np.unique(np.array(batch.column(at).to_pylist(), dtype=object), return_inverse=True)
+        host = np.array([xxhash.xxh3_64_intdigest(h) for h in hosts], np.uint64)[host][x.page]
+        long = x.words > PATH
+        token = np.concatenate([x.path.ravel(), x.full[long]])
+        line = np.concatenate([np.repeat(np.arange(len(x.full)), PATH), np.flatnonzero(long)])
+        weight = np.concatenate([np.ones(x.path.size, np.int64), x.words[long].astype(np.int64) - PATH])
+        token, line, weight = token[token != 0], line[token != 0], weight[token != 0]
+        key = _mixed(token, 5) ^ host[line]
+        ids, one, where = np.unique(key, return_index=True, return_inverse=True)
+        total = lambda w: np.bincount(where, weights=w, minlength=len(ids)).astype(np.int64)
+        page = x.doc[x.page[line]]
+        prints = {f"v{i}": pa.array(total((_mixed(page, i) >> np.uint64(33)).astype(np.float64))) for i in range(3)}
+        yield pa.RecordBatch.from_pydict({"key": pa.array(ids.view(np.int64)), "token": pa.array(token[one], pa.int64()), "weight": pa.array(weight[one], pa.int64()), "n": pa.array(np.bincount(where, minlength=len(ids)), pa.int64()), "ended": pa.array(total(x.ends[line])), **prints})
+
+
+def equivalence_classes(pages: DataFrame) -> DataFrame:
+    """``token`` of all valid classes, made of the tokens of which no line ends as a sentence.
+
+    Pages belong to one host each, so equal vectors are of one host.
+    """
+    each = pages.mapInArrow(_occurrences, "key long, token long, weight long, n long, ended long, v0 long, v1 long, v2 long")
+    tokens = each.groupBy("key").agg(F.first("token").alias("token"), F.max("weight").alias("weight"), *[F.sum(c).alias(c) for c in ("n", "ended", "v0", "v1", "v2")])
+    # Sentences are left to the nesting, which looks at where they stand.
+    tokens = materialize(tokens.where((F.col("n") >= SUPPORT) & (F.col("ended") == 0)).select("token", "weight", "n", "v0", "v1", "v2"), "tokens")
+    vector = ["n", "v0", "v1", "v2"]
+    valid = tokens.groupBy(*vector).agg(F.sum("weight").alias("size")).where(F.col("size") >= CLASS_WORDS)
+    return tokens.join(valid.select(*vector), vector, "left_semi").select("token").distinct()
+
+
 def _sent(spark, tokens: DataFrame):
     """A broadcast of sorted tokens, or None if there are more than MAX_SENT."""
     got = tokens.select("token").limit(MAX_SENT + 1).toArrow().column("token").to_numpy()
@@ -242,10 +308,11 @@ def _with_places(pages: DataFrame, name: str, at: DataFrame, tokens: DataFrame)
 
 
 def _with_hits(pages: DataFrame, template: DataFrame) -> DataFrame:
-    return _with_places(pages, "hits", _tokens(pages), template)
+    nodes = pages.select("doc_id", F.posexplode("path").alias("place", "token")).where("token <> 0").select("doc_id", F.floor(F.col("place") / PATH).cast("int").alias("at"), "token")
+    return _with_places(pages, "hits", _tokens(pages).select("doc_id", "at", "token").unionByName(nodes), template)
 
 
-def deduce_template(pages: DataFrame, rounds: int = 3, support: int = 4, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+def deduce_template(pages: DataFrame, rounds: int = 3, support: int = SUPPORT, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """Tokens of the template, and all that recur often enough to be judged, each as ``token``.
 
     ``support`` is the least number of occurrences of any token that is judged,
@@ -255,15 +322,13 @@ def deduce_template(pages: DataFrame, rounds: int = 3, support: int = 4, share:
     spark = pages.sparkSession
     on_host = _tokens(pages).groupBy("host", "token", "kind").agg(
         F.count(F.lit(1)).alias("n"),
-        F.bit_xor(F.xxhash64("doc_id")).alias("vector"),
         F.sum(F.col("ends").cast("int")).alias("ended"),
         F.min("full").alias("least"),
         F.max("full").alias("most"),
     )
     on_host = materialize(on_host.where("n > 1 or kind = 1"), "tokens")
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    classes = on_host.where(f"kind = 0 and n >= {support}").groupBy("host", "vector", "n").agg(F.count(F.lit(1)).alias("alike"), F.sum("ended").alias("any_end")).where("alike >= 3 and any_end = 0")
-    menus = on_host.where("kind = 0").join(classes.select("host", "vector", "n"), ["host", "vector", "n"], "left_semi").select("token")
+    menus = equivalence_classes(pages)
     common = on_host.where("kind = 0 and n >= 20").join(sizes, "host").where(F.col("n") >= F.lit(share) * F.col("pages")).select("token")
     heads = on_host.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"), F.min("least").alias("least"), F.max("most").alias("most"))
     slots = heads.where(f"n >= {2 * support} and ended < 0.2 * n and least <> most").select("token")

@@ -24,6 +24,8 @@ from seekline.llm.sums import CHUNKS, added, chunks_of
 BITS = 64
 #: Buckets summed and decoded together.
 CHUNK = 128
+#: A partition gives its counters out before one of them could pass 32 bits.
+FULL = 1 << 30
 
 
 def clean_query(text: Column) -> Column:
@@ -58,8 +60,11 @@ def _sketch(depth: int, width: int):
                 b = bucket[order]
                 first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
                 counts[d, b[first]] += np.add.reduceat(rows[order], first, axis=0)
+            if counts[:, :, 0].max() > FULL:
+                yield chunks_of(counts.astype(np.int32).ravel(), CHUNK * (BITS + 1))
+                counts[:], seen = 0, False
         if seen:
-            yield chunks_of(counts.ravel(), CHUNK * (BITS + 1))
+            yield chunks_of(counts.astype(np.int32).ravel(), CHUNK * (BITS + 1))
 
     return run
 
@@ -77,7 +82,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch_candidates(items: DataFrame, id_col: str, depth: int = 4, width: int = 4096) -> DataFrame:
     """Identifiers decoded from the summed sketch, at most ``depth * width``, with an upper bound of their counts."""
     parts = items.select(id_col).mapInArrow(_sketch(depth, width), CHUNKS)
-    return added(parts, np.int64, np.int64).mapInArrow(_decode, "id long, bucket_total long").groupBy("id").agg(F.min("bucket_total").alias("upper_bound"))
+    return added(parts, np.int32, np.int64).mapInArrow(_decode, "id long, bucket_total long").groupBy("id").agg(F.min("bucket_total").alias("upper_bound"))
 
 
 def frequent_items(df: DataFrame, column: str, share: float, depth: int = 4, width: int = 4096) -> DataFrame:

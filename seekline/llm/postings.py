@@ -106,8 +106,7 @@ def salted(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
     out = cold.select(key, F.lit(0).alias("salt"), "docs", "tfs")
     if hot is None:
         return out
-    kind = dict(rows.dtypes)[key]
-    split = rows.join(F.broadcast(hot.select(key)), key).select(key, "docs", "tfs").mapInArrow(_dealt, f"key {kind}, salt int, docs array<long>, tfs array<long>")
+    split = rows.join(F.broadcast(hot.select(key)), key).select(key, "docs", "tfs").mapInArrow(_dealt, "key string, salt int, docs array<long>, tfs array<long>")
     return out.unionByName(split.withColumnRenamed("key", key))
 
 
@@ -143,27 +142,39 @@ def united(batch_rows: Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]
         yield kept[0], np.array([len(kept[1])]), kept[1], kept[2]
 
 
-def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    read = (([*zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.diff(b.column(2).offsets.to_numpy()), b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()) for b in batches)
-    for keys, sizes, docs, tfs in united(read):
-        total = np.add.reduceat(tfs, np.cumsum(sizes) - sizes)
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.string()), _lists(docs, sizes), _lists(tfs, sizes), pa.array(sizes, pa.int64()), pa.array(total, pa.int64())], names=["term", "docs", "tfs", "df", "total"])
+def _read(batches: Iterator[pa.RecordBatch]):
+    """Batches (term, salt, docs, tfs) as ``united`` takes them."""
+    for b in batches:
+        yield [*zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.diff(b.column(2).offsets.to_numpy()), b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
 
 
-def clean_postings(index: DataFrame) -> DataFrame:
-    """``term, docs, tfs, df, total``: every term's postings united, a document once with its largest count, in one row a term.
+def _clean(lists: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, sizes, docs, tfs in united(_read(batches)):
+            total = np.add.reduceat(tfs, np.cumsum(sizes) - sizes)
+            columns = {"term": pa.array([t for t, _ in keys], pa.string()), "df": pa.array(sizes, pa.int64()), "total": pa.array(total, pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns | ({"docs": _lists(docs, sizes), "tfs": _lists(tfs, sizes)} if lists else {}))
+
+    return run
+
+
+def clean_rows(rows: DataFrame, lists: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """``term, df, total`` and, if asked for, ``docs, tfs`` of every term's united postings, a document once with its largest count; and the hot terms.
 
-    Hot terms have a row for each salt; ``df`` and ``total`` are the whole
-    term's in any case.
+    One row a term; a hot term has a row for each salt, with that salt's counts.
     """
-    spark = index.sparkSession
-    rows = term_rows(index)
+    spark = rows.sparkSession
     sizes = materialize(rows.groupBy("term").agg(F.sum(F.size("docs")).alias("n")), "sizes")
     every = sizes.agg(F.sum("n")).first()[0] or 0
-    hot = sizes.where(F.col("n") >= hot_limit(spark, every))
+    hot = sizes.where(F.col("n") >= hot_limit(spark, every)).select("term")
     hot = None if hot.isEmpty() else hot
     laid = salted(rows, "term", hot).repartition(partitions(spark), "term", "salt").sortWithinPartitions("term", "salt")
-    clean = materialize(laid.mapInArrow(_clean, "term string, docs array<long>, tfs array<long>, df long, total long"), "postings")
+    return materialize(laid.mapInArrow(_clean(lists), "term string, df long, total long" + ", docs array<long>, tfs array<long>" * lists), "postings"), hot
+
+
+def clean_postings(index: DataFrame) -> DataFrame:
+    """``term, docs, tfs, df, total``: the united postings, several rows for a hot term; ``df`` and ``total`` are the whole term's in any case."""
+    clean, hot = clean_rows(term_rows(index))
     if hot is None:
         return clean
     whole = clean.join(F.broadcast(hot.select("term")), "term").groupBy("term").agg(F.sum("df").alias("all_df"), F.sum("total").alias("all_total"))

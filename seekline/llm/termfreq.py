@@ -1,11 +1,11 @@
 """Frequency of every distinct term (problem 4).
 
-A global dictionary numbers the distinct terms densely, rows are encoded to
-these integers, every task adds its rows up in count arrays of one block of
-identifiers after the other, and the arrays of a block are summed.  Rows come
-sorted by block, so a task holds one array at a time.  A term that holds more
-than its share of all postings meets its identifier by a broadcast of those few
-terms and is spread over salts by document, so no task gets all of it.
+A term's postings are united first, since a document counts once.  A global
+dictionary numbers the distinct terms densely, the counts are encoded to these
+integers, every task adds them up in count arrays of one block of identifiers
+after the other, and the arrays of a block are summed.  A term that holds more
+than its share of all postings is united in pieces, by document, and its pieces
+meet in its block's arrays, so no task gets all of it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekline.llm.postings import hot_limit, salted, term_rows, united
+from seekline.llm.postings import clean_rows, term_rows
 from seekline.plans.lineage import materialize
 from seekline.sources.tables import partitions
 
@@ -25,38 +25,36 @@ from seekline.sources.tables import partitions
 BLOCK = 1 << 11
 
 
-def build_dictionary(terms: DataFrame, column: str = "term", weight: str = "1") -> DataFrame:
-    """Distinct values of ``column`` with dense identifiers 0, 1, 2, ... in the order of their bytes, and the sum of ``weight`` as ``entries``.
+def build_dictionary(terms: DataFrame, column: str = "term") -> DataFrame:
+    """Distinct values of ``column`` with dense identifiers 0, 1, 2, ... in the order of their bytes.
 
     Values are range partitioned and numbered inside each partition; the
     partitions' sizes (as many numbers as partitions) give the offsets.
     """
     spark = terms.sparkSession
     parts = partitions(spark)
-    ordered = terms.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum(F.expr(weight)).alias("entries")).repartitionByRange(parts, column).sortWithinPartitions(column)
-    local = materialize(ordered.select(column, "entries", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("at")), "dictionary")
+    ordered = terms.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(parts, column).sortWithinPartitions(column)
+    local = materialize(ordered.select(column, F.spark_partition_id().alias("part"), (F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("at")), "dictionary")
     sizes = {r["part"]: r["n"] for r in local.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     starts, total = {}, 0
     for p in sorted(sizes):
         starts[p] = total
         total += sizes[p]
     if not starts:
-        return local.select(column, F.col("at").alias("term_id"), "entries")
+        return local.select(column, F.col("at").alias("term_id"))
     offsets = F.create_map(*[F.lit(x) for p, s in starts.items() for x in (p, s)])
-    return local.select(column, (F.col("at") + offsets[F.col("part")]).cast("long").alias("term_id"), "entries")
+    return local.select(column, (F.col("at") + offsets[F.col("part")]).cast("long").alias("term_id"))
 
 
 def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds rows (term_id, salt, docs, tfs), sorted by block, salt and term, up in the array of the block at hand."""
+    """Adds rows (term_id, total, docs), sorted by block, up in the array of the block at hand."""
     block, array = -1, np.zeros((2, BLOCK), np.int64)
 
     def out():
         return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "arrays": pa.array([array.tobytes()], pa.binary())})
 
-    read = (([*zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.diff(b.column(2).offsets.to_numpy()), b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()) for b in batches)
-    for keys, sizes, _, tfs in united(read):
-        ids = np.array([i for i, _ in keys])
-        total = np.add.reduceat(tfs, np.cumsum(sizes) - sizes)
+    for batch in batches:
+        ids, total, docs = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         for b in np.unique(ids // BLOCK).tolist():
             if b != block:
                 if block >= 0:
@@ -64,7 +62,7 @@ def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 block, array = b, np.zeros((2, BLOCK), np.int64)
             here = ids // BLOCK == b
             np.add.at(array[0], ids[here] - b * BLOCK, total[here])
-            np.add.at(array[1], ids[here] - b * BLOCK, sizes[here])
+            np.add.at(array[1], ids[here] - b * BLOCK, docs[here])
     if block >= 0:
         yield out()
 
@@ -86,19 +84,12 @@ def term_frequencies(index: DataFrame, rare_docs: int = 2, common_share: float =
     ``rare``.  Null terms and postings, blank terms and cut-off JSON are
     skipped; an empty index gives no rows.
     """
-    spark = index.sparkSession
     rows = term_rows(index)
-    words = build_dictionary(rows, "term", "size(docs)")
-    every = words.agg(F.sum("entries")).first()[0] or 0
-    hot = words.where(F.col("entries") >= hot_limit(spark, every)).select("term", "term_id")
-    hot = None if hot.isEmpty() else F.broadcast(hot)
-    coded = (rows if hot is None else rows.join(hot, "term", "left_anti")).join(words.select("term", "term_id"), "term")
-    if hot is not None:
-        coded = coded.select("term_id", "docs", "tfs").unionByName(rows.join(hot, "term").select("term_id", "docs", "tfs"))
-    laid = salted(coded.select("term_id", "docs", "tfs"), "term_id", hot).withColumn("block", F.floor(F.col("term_id") / BLOCK))
-    laid = laid.repartition(partitions(spark), "block", "salt").sortWithinPartitions("block", "salt", "term_id").select("term_id", "salt", "docs", "tfs")
-    arrays = laid.mapInArrow(_count_blocks, "block long, arrays binary")
-    sums = arrays.groupBy("block").applyInArrow(_sum_block, "term_id long, total_count long, doc_count long")  # one array for each salt of a block
+    counts, _ = clean_rows(rows, lists=False)
+    words = build_dictionary(counts)
+    coded = counts.join(words, "term").select("term_id", "total", "df").withColumn("block", F.floor(F.col("term_id") / BLOCK))
+    laid = coded.repartition(partitions(index.sparkSession), "block").sortWithinPartitions("block").select("term_id", "total", "df")
+    sums = laid.mapInArrow(_count_blocks, "block long, arrays binary").groupBy("block").applyInArrow(_sum_block, "term_id long, total_count long, doc_count long")
     # One row, so it may be broadcast.
     docs = F.broadcast(rows.select(F.explode("docs").alias("doc")).agg(F.count_distinct("doc").alias("docs")))
     mark = F.when(F.col("doc_count") <= rare_docs, "rare").when(F.col("doc_count") >= F.lit(common_share) * F.col("docs"), "common")

@@ -140,7 +140,24 @@ def test_large_template_is_joined(pages, monkeypatch):
     want = {tuple(r) for r in boilerplate.template_lines(pages).collect()}
     monkeypatch.setattr(boilerplate, "MAX_SENT", 3)
     got = {tuple(r) for r in boilerplate.template_lines(pages).collect()}
-    assert len(want ^ got) <= 0.05 * len(want)
+    assert got == want
+
+
+def test_classes_of_a_host(spark):
+    rng = np.random.default_rng(8)
+    # A menu of three, a label with a slot and a counter stand on every page; a heading of one word and sentences stand on some.
+    rows = [(i, "https://www.somewiki.org/p", "\n".join(["Start", "Topics", "People", *(["History"] if i % 2 else []), words_of(rng, 12) + ".", f"See other pages {words_of(rng, 2)}", f"Seen {i} times today", "Kept for you."])) for i in range(20)]
+    got = boilerplate.equivalence_classes(pages_of(spark, rows))
+    names = {"Start", "Topics", "People", "See other pages", "Seen # times today"}
+    tokens = {r["token"] for r in got.collect()}
+    assert {boilerplate._hash("P", f" {n}") for n in names} <= tokens and boilerplate._hash("P", " History") not in tokens and boilerplate._hash("P", " Kept for you.") not in tokens
+    # A line twice on a page is another vector than a line once on it.
+    twice = [(i, "https://h.org", "One\nOne\nTwo\nThree") for i in range(6)]
+    assert {r["token"] for r in boilerplate.equivalence_classes(pages_of(spark, twice)).collect()} == set()
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, url string, content string").mapInArrow(boilerplate._read_lines, boilerplate.PAGES)
 
 
 def words_of(rng, n):
