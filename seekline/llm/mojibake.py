@@ -2,18 +2,20 @@
 
 A record's text was, with small probability, passed through a *chain*: encoded
 with one encoding and decoded with another, once or twice, in whole or in part.
-The chain is latent.  Expectation-maximisation estimates, over all records,
+The chain is latent.  Expectation-maximisation estimates
 
 * a character model of words as they should be: counts of character bigrams
   and trigrams in words with characters beyond ASCII, each word weighted by the
   probability that it is unharmed,
-* how often each chain occurs per source and field,
-
-and gives each record the posterior of every chain: words that a chain turns
-into likelier words are evidence for it, and weak evidence adds up within the
-record and, by the chain's share, within the source.  A record whose posterior
-of being unharmed is below one half is reported and repaired word by word with
-its most probable chain.  U+FFFD can't be restored: it marks a record at once.
+* how often each chain occurs per source and field, drawn to the overall share
+  where a source has little to tell,
+
+first over the words of every source and field, until the shares stay as they
+are, then over the records: words that a chain turns into likelier words are
+evidence for it, and weak evidence adds up within the record and, by the chain's
+share, within the source.  A record whose posterior of being unharmed is below
+one half is reported and repaired word by word with its most probable chain and
+the fitted model.  U+FFFD can't be restored: it marks a record at once.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import functools
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekline.plans.lineage import materialize
+from seekline.llm.sums import CHUNKS, added, chunks_of, gathered
+from seekline.plans.lineage import materialize, release
 from seekline.sources.tables import spread
 
 #: Chains as (written as, read as), applied again for each further pair. Fixed values.
@@ -72,19 +76,22 @@ LOST = "�"
 _TOKEN = re.compile(r"[^ \t\r\n\f\v]*[^\x00-\x7f][^ \t\r\n\f\v]*")
 
 
-#: Longer stretches without a blank are looked at in pieces of this length, so none costs more than its length.
+#: Longer stretches without a blank are looked at in pieces of at most this length, so none costs more than its length.
 PIECE = 200
+#: Pieces end before an ASCII character, which is never part of a longer one, where there is one.
+_PIECES = re.compile(r"(?s).{1,%d}(?=[\x00-\x7f])|.{1,%d}" % (PIECE, PIECE))
+
+
+def _pieces(word: str) -> list[str]:
+    return [word] if len(word) <= PIECE else _PIECES.findall(word)
 
 
 def _words(text: str) -> Iterator[str]:
     """The words of the whole text with characters beyond ASCII, very long ones in pieces."""
     for w in _TOKEN.findall(text):
-        if len(w) <= PIECE:
-            yield w
-        else:
-            for i in range(0, len(w), PIECE):
-                if not w[i : i + PIECE].isascii():
-                    yield w[i : i + PIECE]
+        for x in _pieces(w):
+            if len(w) <= PIECE or not x.isascii():
+                yield x
 
 
 def _high_half(encoding: str) -> dict[int, str]:
@@ -205,50 +212,87 @@ def candidates(word: str) -> dict[int, str]:
 
 
 def _word_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with characters beyond ASCII and their counts, pre-aggregated."""
+    """Words with characters beyond ASCII and their counts by field and source, pre-aggregated."""
     for batch in batches:
-        counts: dict[str, int] = {}
-        for text in batch.column(0).to_pylist():
+        counts: dict[tuple[str, str, str], int] = {}
+        for field, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if text and not text.isascii():
                 for w in _words(text):
                     if LOST not in w:
-                        counts[w] = counts.get(w, 0) + 1
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+                        counts[field, source, w] = counts.get((field, source, w), 0) + 1
+        columns = list(zip(*counts)) or [(), (), ()]
+        yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.string()) for n, c in zip(("field", "source", "word"), columns)} | {"n": pa.array(list(counts.values()), pa.int64())})
 
 
-def _model_part(model, shares):
-    """E-step over distinct words, giving this partition's share of the next character model and of the chains."""
+WIDTH = len(CHAINS) + 1
+_START = np.array([0.01 / len(CHAINS)] * len(CHAINS) + [0.99])
+
+
+def _expected(model, prior):
+    """E-step over the words of each field and source: expected unharmed occurrences of each word, then of each chain by field and source."""
 
     def run(batches):
-        old = CharacterModel(model.value) if model is not None else None
-        prior = np.log(shares.value) if shares is not None else None
-        counts, chain = np.zeros(SLOTS, np.float64), np.zeros(len(CHAINS) + 1)
+        old = CharacterModel(model.value)
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                clean = 1.0
-                if old is not None:
-                    score = [prior[-1] + old.log_probability(word)]
-                    who = [len(CHAINS)]
-                    for k, before in candidates(word).items():
-                        score.append(prior[k] + old.log_probability(before))
-                        who.append(k)
-                    p = np.exp(np.array(score) - max(score))
-                    p /= p.sum()
-                    clean = float(p[0])
-                    chain[who] += p * n
-                if clean > 1e-3:
-                    np.add.at(counts, _slots(word).ravel(), clean * n)
-        yield pa.RecordBatch.from_pydict({"at": pa.array([0], pa.int32()), "model": pa.array([counts.astype(np.float32).tobytes()], pa.binary()), "chain": pa.array([chain.tobytes()], pa.binary())})
+            weights: dict[str, float] = {}
+            sums: dict[tuple[str, str], np.ndarray] = {}
+            for field, source, word, n, own in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                share = np.log(prior.value if own is None else np.array(own))
+                who, score = [WIDTH - 1], [share[-1] + old.log_probability(word)]
+                for k, before in candidates(word).items():
+                    who.append(k)
+                    score.append(share[k] + old.log_probability(before))
+                p = np.exp(np.array(score) - max(score))
+                p /= p.sum()
+                weights[word] = weights.get(word, 0.0) + p[0] * n
+                at = sums.setdefault((field, source), np.zeros(WIDTH))
+                at[who] += p * n
+            m, k = len(weights), len(sums)
+            yield pa.RecordBatch.from_pydict({
+                "word": pa.array([*weights, *[None] * k], pa.string()), "n": pa.array([*weights.values(), *[None] * k], pa.float64()),
+                "field": pa.array([*[None] * m, *[f for f, _ in sums]], pa.string()), "source": pa.array([*[None] * m, *[x for _, x in sums]], pa.string()),
+                "sums": pa.array([*[None] * m, *[v.tolist() for v in sums.values()]], pa.list_(pa.float64())),
+            })
 
     return run
 
 
-def _sum_models(key, table):
-    total, chain = np.zeros(SLOTS, np.float64), np.zeros(len(CHAINS) + 1)
-    for m, c in zip(table.column("model"), table.column("chain")):
-        total += np.frombuffer(m.as_buffer(), np.float32)
-        chain += np.frombuffer(c.as_buffer(), np.float64)
-    return pa.table({"model": pa.array([total.astype(np.float32).tobytes()], pa.binary()), "chain": pa.array([chain.tobytes()], pa.binary())})
+#: Counters of a model that are added up together.
+SLOT_CHUNK = 1 << 14
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(SLOTS)
+    for batch in batches:
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if n > 1e-3:
+                np.add.at(counts, _slots(word).ravel(), n)
+    yield chunks_of(counts.astype(np.float32), SLOT_CHUNK)
+
+
+def _fitted(words: DataFrame):
+    """M-step: the character model of words (word, n), as a broadcast of SLOTS counters."""
+    counts = gathered(added(words.mapInArrow(_slot_counts, CHUNKS), np.float32, np.float64), SLOTS, np.float64)
+    return words.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
+
+
+def _summed(column: str) -> list:
+    return [F.sum(F.col(column)[i]) for i in range(WIDTH)]
+
+
+def _shares(sums: DataFrame, prior: np.ndarray, weight: float) -> DataFrame:
+    """``field, source, own``: each source's shares of the chains, drawn to the overall ones as if those had been seen ``weight`` times there."""
+    seen = F.aggregate("sums", F.lit(0.0), lambda a, x: a + x)
+    drawn = F.zip_with("sums", F.array(*map(F.lit, prior.tolist())), lambda x, p: x + weight * p)
+    return sums.select("field", "source", F.transform(drawn, lambda x: x / (seen + weight)).alias("own"))
+
+
+def _with_shares(rows: DataFrame, shares: DataFrame | None, by: str, salts: int = 8) -> DataFrame:
+    """``rows`` with their source's shares; a source may hold a third of all rows, so it is split by ``by``."""
+    if shares is None:
+        return rows.withColumn("own", F.lit(None).cast("array<double>"))
+    salted = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, ["field", "source", "salt"], "left").drop("salt")
 
 
 def _evidence(model):
@@ -288,22 +332,16 @@ def _evidence(model):
     return run
 
 
-def _posterior(shares):
+def _posterior(prior):
     def run(batches):
-        prior = shares.value
         for batch in batches:
-            ids, fields, sources, lost, chain, p_ok = ([] for _ in range(6))
-            for doc, field, source, gone, ratios, own, seen in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                pi = prior
-                if own is not None:
-                    pi = (np.array(own) + 20.0 * prior) / (seen + 20.0)
-                score = np.append(np.log(pi[:-1]) + np.array(ratios), np.log(pi[-1]))
+            ids, fields, sources, lost, ratios, own = (batch.column(i).to_pylist() for i in range(6))
+            chain, p_ok = [], []
+            for ratio, share in zip(ratios, own):
+                pi = prior.value if share is None else np.array(share)
+                score = np.append(np.log(pi[:-1]) + np.array(ratio), np.log(pi[-1]))
                 p = np.exp(score - score.max())
                 p /= p.sum()
-                ids.append(doc)
-                fields.append(field)
-                sources.append(source)
-                lost.append(gone)
                 chain.append(p.tolist())
                 p_ok.append(float(p[-1]))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "field": pa.array(fields, pa.string()), "source": pa.array(sources, pa.string()), "lost": pa.array(lost, pa.int32()), "posterior": pa.array(chain, pa.list_(pa.float64())), "unharmed": pa.array(p_ok, pa.float64())})
@@ -311,12 +349,23 @@ def _posterior(shares):
     return run
 
 
-def garbled_records(docs: DataFrame, fields: tuple[str, ...] = ("text",), rounds: int = 3, source: str = "source") -> DataFrame:
-    """``doc_id, field, chain, unharmed, lost`` of every record and field with wrongly decoded characters.
+class Fit(NamedTuple):
+    """What expectation-maximisation found: the character model, and for records with evidence their posteriors."""
 
-    ``chain`` is the most probable one, null where only U+FFFD tells; ``lost``
-    counts words with U+FFFD.  A null source is a source of its own; null,
-    empty and plain ASCII texts are never garbled.
+    model: object
+    records: DataFrame
+
+
+def _moved(old: np.ndarray, new: np.ndarray, tolerance: float) -> bool:
+    """Whether the shares of the chains still move, measured against what is harmed at all."""
+    return float(np.abs(new - old).sum()) > tolerance * max(1.0 - float(new[-1]), 1e-6)
+
+
+def fit(docs: DataFrame, fields: tuple[str, ...] = ("text",), source: str = "source", tolerance: float = 0.01, most: int = 25) -> Fit | None:
+    """Fit the model over all records; None where no text has characters beyond ASCII.
+
+    Either loop ends when the shares of the chains move by less than
+    ``tolerance`` of what is harmed, and with an error after ``most`` rounds.
     """
     spark = docs.sparkSession
     long = None
@@ -324,39 +373,66 @@ def garbled_records(docs: DataFrame, fields: tuple[str, ...] = ("text",), rounds
         one = docs.select("doc_id", F.lit(f).alias("field"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(f).alias("text"))
         long = one if long is None else long.unionByName(one)
     long = spread(long)
-    table = materialize(long.select("text").mapInArrow(_word_tables, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    model = shares = None
-    prior = np.full(len(CHAINS) + 1, 0.01 / len(CHAINS))
-    prior[-1] = 0.99
-    for _ in range(rounds):
-        row = table.mapInArrow(_model_part(model, shares), "at int, model binary, chain binary").groupBy("at").applyInArrow(_sum_models, "model binary, chain binary").first()
-        if row is None:
+    words = materialize(long.select("field", "source", "text").mapInArrow(_word_tables, "field string, source string, word string, n long").groupBy("field", "source", "word").agg(F.sum("n").alias("n")), "words")
+    if words.isEmpty():
+        return None
+    model, shares, prior = _fitted(words.groupBy("word").agg(F.sum("n").cast("double").alias("n"))), None, _START
+    for _ in range(most):
+        asked = _with_shares(words, shares, "word").select("field", "source", "word", "n", "own")
+        told = materialize(asked.mapInArrow(_expected(model, spark.sparkContext.broadcast(prior)), "word string, n double, field string, source string, sums array<double>"), "expected")
+        sums = materialize(told.where("word is null").groupBy("field", "source").agg(F.array(*_summed("sums")).alias("sums")), "sums")
+        total = np.array(sums.agg(F.array(*_summed("sums"))).first()[0])
+        fresh = (total + 1000.0 * _START) / (total.sum() + 1000.0)
+        model = _fitted(told.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
+        moving, prior = _moved(prior, fresh, tolerance), fresh
+        shares = _shares(sums, prior, 1000.0)
+        release(told)
+        if not moving:
             break
-        model = spark.sparkContext.broadcast(np.frombuffer(row["model"], np.float32))
-        seen = np.frombuffer(row["chain"], np.float64)
-        if seen.sum() > 0:
-            prior = (seen + prior * 1000.0) / (seen.sum() + 1000.0)
-        shares = spark.sparkContext.broadcast(prior)
-    if model is None:
-        return long.limit(0).select("doc_id", "field", F.lit(None).cast("string").alias("chain"), F.lit(1.0).alias("unharmed"), F.lit(0).alias("lost"))
+    else:
+        raise RuntimeError("the model did not settle")
     evidence = materialize(long.mapInArrow(_evidence(model), "doc_id long, field string, source string, lost int, ratios array<double>"), "evidence")
-    kinds = "doc_id long, field string, source string, lost int, posterior array<double>, unharmed double"
-    none = evidence.select("*", F.lit(None).cast("array<double>").alias("own"), F.lit(0.0).alias("seen"))
-    first = none.mapInArrow(_posterior(shares), kinds)
-    # M-step per source and field: expected records of each chain, against all records of that source.
-    width = len(CHAINS) + 1
-    hit = first.groupBy("source", "field").agg(F.array(*[F.sum(F.col("posterior")[i]) for i in range(width - 1)]).alias("own"))
-    sizes = long.groupBy("source", "field").agg(F.count(F.lit(1)).cast("double").alias("seen"))
-    per = hit.join(sizes, ["source", "field"])
-    per = per.select("source", "field", F.concat("own", F.array(F.greatest(F.col("seen") - F.aggregate("own", F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))).alias("own"), "seen")
-    salts = 8
-    salted = per.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    joined = evidence.withColumn("salt", F.pmod("doc_id", F.lit(salts)).cast("int")).join(salted, ["source", "field", "salt"], "left").select("doc_id", "field", "source", "lost", "ratios", "own", "seen")
-    last = joined.mapInArrow(_posterior(shares), kinds)
-    best = F.expr("array_position(slice(posterior, 1, %d), array_max(slice(posterior, 1, %d)))" % (width - 1, width - 1))
+    sizes = materialize(long.groupBy("field", "source").agg(F.count(F.lit(1)).cast("double").alias("seen")), "sizes")
+    records = sizes.agg(F.sum("seen")).first()[0]
+    shares = None
+    for _ in range(most):
+        asked = _with_shares(evidence, shares, "doc_id").select("doc_id", "field", "source", "lost", "ratios", "own")
+        found = materialize(asked.mapInArrow(_posterior(spark.sparkContext.broadcast(prior)), "doc_id long, field string, source string, lost int, posterior array<double>, unharmed double"), "posterior")
+        # Records without evidence are unharmed.
+        hit = found.groupBy("field", "source").agg(F.array(*_summed("posterior")).alias("sums"), F.count(F.lit(1)).alias("told")).join(sizes, ["field", "source"])
+        rest = F.col("seen") - F.col("told")
+        sums = materialize(hit.select("field", "source", F.transform("sums", lambda x, i: F.when(i == WIDTH - 1, x + rest).otherwise(x)).alias("sums")), "sums")
+        row = sums.agg(F.array(*_summed("sums"))).first()[0]
+        total = np.array(row) if row[0] is not None else np.zeros(WIDTH)
+        total[-1] += records - total.sum()
+        fresh = (total + 100.0 * _START) / (total.sum() + 100.0)
+        moving, prior = _moved(prior, fresh, tolerance), fresh
+        shares = _shares(sums, prior, 20.0)
+        if not moving:
+            break
+    else:
+        raise RuntimeError("the posteriors did not settle")
+    return Fit(model, found)
+
+
+def _reported(found: DataFrame) -> DataFrame:
+    best = F.expr("array_position(slice(posterior, 1, %d), array_max(slice(posterior, 1, %d)))" % (WIDTH - 1, WIDTH - 1))
     names = F.array(*[F.lit(n) for n in NAMES])
-    found = last.where("unharmed < 0.5 or lost > 0")
-    return found.select("doc_id", "field", F.when(F.col("unharmed") < 0.5, F.element_at(names, best.cast("int"))).alias("chain"), "unharmed", "lost")
+    kept = found.where("unharmed < 0.5 or lost > 0")
+    return kept.select("doc_id", "field", F.when(F.col("unharmed") < 0.5, F.element_at(names, best.cast("int"))).alias("chain"), "unharmed", "lost")
+
+
+def garbled_records(docs: DataFrame, fields: tuple[str, ...] = ("text",), source: str = "source") -> DataFrame:
+    """``doc_id, field, chain, unharmed, lost`` of every record and field with wrongly decoded characters.
+
+    ``chain`` is the most probable one, null where only U+FFFD tells; ``lost``
+    counts words with U+FFFD.  A null source is a source of its own; null,
+    empty and plain ASCII texts are never garbled.
+    """
+    got = fit(docs, fields, source)
+    if got is None:
+        return docs.limit(0).select("doc_id", F.lit("").alias("field"), F.lit(None).cast("string").alias("chain"), F.lit(1.0).alias("unharmed"), F.lit(0).alias("lost"))
+    return _reported(got.records)
 
 
 def _repair(model):
@@ -367,9 +443,11 @@ def _repair(model):
             ids, out = [], []
             for doc, text, chain in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 def better(found, chain=chain):
-                    w = found.group()
-                    before = undo(w, chains[chain])
-                    return before if before is not None and m.log_probability(before) > m.log_probability(w) else w
+                    parts = []
+                    for w in _pieces(found.group()):
+                        before = undo(w, chains[chain]) if not w.isascii() else None
+                        parts.append(before if before is not None and m.log_probability(before) > m.log_probability(w) else w)
+                    return "".join(parts)
 
                 ids.append(doc)
                 out.append(_TOKEN.sub(better, text) if text and chain else text)
@@ -378,14 +456,56 @@ def _repair(model):
     return run
 
 
-def restored_texts(docs: DataFrame, field: str = "text", rounds: int = 3) -> DataFrame:
-    """``doc_id, chain, lost, restored``: garbled records with their text restored by the most probable chain, as far as it can be."""
-    spark = docs.sparkSession
-    found = materialize(garbled_records(docs, (field,), rounds), "garbled")
-    row = docs.select(F.col(field).alias("text")).mapInArrow(_word_tables, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(_model_part(None, None), "at int, model binary, chain binary").groupBy("at").applyInArrow(_sum_models, "model binary, chain binary").first()
-    if row is None:
-        return found.select("doc_id", "chain", "lost", F.lit(None).cast("string").alias("restored"))
-    model = spark.sparkContext.broadcast(np.frombuffer(row["model"], np.float32))
-    texts = docs.select("doc_id", F.col(field).alias("text")).join(found.where(F.col("field") == field).select("doc_id", "chain"), "doc_id")
-    fixed = texts.select("doc_id", "text", "chain").mapInArrow(_repair(model), "doc_id long, restored string")
-    return found.where(F.col("field") == field).select("doc_id", "chain", "lost").join(fixed, "doc_id")
+def restored_texts(docs: DataFrame, field: str = "text", source: str = "source") -> DataFrame:
+    """``doc_id, chain, lost, restored``: garbled records with their text restored by the most probable chain and the fitted model, as far as it can be."""
+    got = fit(docs, (field,), source)
+    if got is None:
+        return docs.limit(0).select("doc_id", F.lit(None).cast("string").alias("chain"), F.lit(0).alias("lost"), F.lit(None).cast("string").alias("restored"))
+    found = materialize(_reported(got.records).select("doc_id", "chain", "lost"), "garbled")
+    texts = docs.select("doc_id", F.col(field).alias("text")).join(found.select("doc_id", "chain").distinct(), "doc_id")
+    fixed = texts.select("doc_id", "text", "chain").mapInArrow(_repair(got.model), "doc_id long, restored string")
+    return found.join(fixed, "doc_id")
+
+
+def harm(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
+    """The text after the chain, as a wrong decoder leaves it, or None where it can't come through or isn't changed."""
+    out = text
+    for written, read in chain:
+        chars, back = _high_half(read), {c: b for b, c in _high_half(written).items()} if written != "utf-8" else {}
+        done = []
+        for c in out:
+            raw = [ord(c)] if c < "\x80" else list(c.encode("utf-8")) if written == "utf-8" else [back[c]] if c in back else None
+            if raw is None or any(b >= 0x80 and b not in chars for b in raw):
+                return None
+            done += [chr(b) if b < 0x80 else chars[b] for b in raw]
+        out = "".join(done)
+    return out if out != text else None
+
+
+def _harmed(batches):
+    for batch in batches:
+        ids, texts, sources, chains, whole = [], [], [], [], []
+        for doc, text, source, pick in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            name, chain = CHAINS[pick % len(CHAINS)]
+            bad = harm(text, chain) if text and pick >= 0 and not text.isascii() else None
+            ids.append(doc)
+            sources.append(source)
+            texts.append(bad or text)
+            chains.append(name if bad else None)
+            whole.append(text if bad else None)
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "source": pa.array(sources, pa.string()), "planted": pa.array(chains, pa.string()), "whole": pa.array(whole, pa.string())})
+
+
+def restoration(docs: DataFrame, every: int = 50) -> DataFrame:
+    """``chain, records, found, restored``: how many records that were harmed on purpose are found, and restored to the letter.
+
+    Records whose identifier is divisible by ``every`` and that aren't garbled
+    already are sent through a chain chosen by their identifier and stand among
+    all others; a record the chain can't take is left out.
+    """
+    clean = docs.join(garbled_records(docs).select("doc_id").distinct().withColumn("bad", F.lit(True)), "doc_id", "left")
+    pick = F.when(F.col("bad").isNull() & (F.col("doc_id") % every == 0), F.pmod(F.xxhash64("doc_id"), F.lit(len(CHAINS)))).otherwise(-1).cast("int")
+    mixed = materialize(clean.select("doc_id", "text", "source", pick.alias("pick")).mapInArrow(_harmed, "doc_id long, text string, source string, planted string, whole string"), "mixed")
+    asked = mixed.where("planted is not null").select("doc_id", "planted", "whole")
+    got = asked.join(restored_texts(mixed).select("doc_id", "restored"), "doc_id", "left")
+    return got.groupBy(F.col("planted").alias("chain")).agg(F.count(F.lit(1)).alias("records"), F.count("restored").alias("found"), F.count_if(F.col("restored") == F.col("whole")).alias("restored"))

@@ -81,6 +81,10 @@ def p10_restored(spark, base):
     return mojibake.restored_texts(table(spark, base, "documents"))
 
 
+def p10_restoration(spark, base):
+    return mojibake.restoration(table(spark, base, "documents"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 _CLEAN = r"""
