@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from seekline.llm.sums import CHUNKS, added, chunks_of, gathered
 from seekline.plans.lineage import materialize, release
-from seekline.sources.tables import spread
+from seekline.sources.tables import partitions, spread
 
 #: Chains as (written as, read as), applied again for each further pair. Fixed values.
 CHAINS: list[tuple[str, tuple[tuple[str, str], ...]]] = [
@@ -166,6 +166,7 @@ def _kind(c: str) -> str:
     return unicodedata.category(c)
 
 
+@functools.lru_cache(1 << 16)
 def _slots(word: str) -> np.ndarray:
     """Counter places, one row each, of a word's character trigrams, their contexts, bigrams and theirs, and of trigrams and contexts of kinds."""
     w, kinds = "^^" + word.lower() + "$", ["^", "^", *map(_kind, word), "$"]
@@ -195,6 +196,7 @@ class CharacterModel:
         return p
 
 
+@functools.lru_cache(1 << 16)
 def candidates(word: str) -> dict[int, str]:
     """What each chain that may have made the word would restore, by the chain's number.
 
@@ -235,9 +237,12 @@ def _expected(model, prior):
         old = CharacterModel(model.value)
         for batch in batches:
             weights: dict[str, float] = {}
+            shares: dict[tuple[str, str], np.ndarray] = {}
             sums: dict[tuple[str, str], np.ndarray] = {}
             for field, source, word, n, own in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                share = np.log(prior.value if own is None else np.array(own))
+                share = shares.get((field, source))
+                if share is None:
+                    share = shares[field, source] = np.log(_drawn(own, prior.value, 1000.0))
                 who, score = [WIDTH - 1], [share[-1] + old.log_probability(word)]
                 for k, before in candidates(word).items():
                     who.append(k)
@@ -280,18 +285,19 @@ def _summed(column: str) -> list:
     return [F.sum(F.col(column)[i]) for i in range(WIDTH)]
 
 
-def _shares(sums: DataFrame, prior: np.ndarray, weight: float) -> DataFrame:
-    """``field, source, own``: each source's shares of the chains, drawn to the overall ones as if those had been seen ``weight`` times there."""
-    seen = F.aggregate("sums", F.lit(0.0), lambda a, x: a + x)
-    drawn = F.zip_with("sums", F.array(*map(F.lit, prior.tolist())), lambda x, p: x + weight * p)
-    return sums.select("field", "source", F.transform(drawn, lambda x: x / (seen + weight)).alias("own"))
+def _drawn(sums: list | None, prior: np.ndarray, weight: float) -> np.ndarray:
+    """A source's shares of the chains from its expected counts, drawn to the overall ones as if those had been seen ``weight`` times there."""
+    if sums is None:
+        return prior
+    seen = np.array(sums)
+    return (seen + weight * prior) / (seen.sum() + weight)
 
 
 def _with_shares(rows: DataFrame, shares: DataFrame | None, by: str, salts: int = 8) -> DataFrame:
-    """``rows`` with their source's shares; a source may hold a third of all rows, so it is split by ``by``."""
+    """``rows`` with their source's expected counts of the chains as ``own``; a source may hold a third of all rows, so it is split by ``by``."""
     if shares is None:
         return rows.withColumn("own", F.lit(None).cast("array<double>"))
-    salted = shares.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = shares.withColumnRenamed("sums", "own").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, ["field", "source", "salt"], "left").drop("salt")
 
 
@@ -338,7 +344,7 @@ def _posterior(prior):
             ids, fields, sources, lost, ratios, own = (batch.column(i).to_pylist() for i in range(6))
             chain, p_ok = [], []
             for ratio, share in zip(ratios, own):
-                pi = prior.value if share is None else np.array(share)
+                pi = _drawn(share, prior.value, 20.0)
                 score = np.append(np.log(pi[:-1]) + np.array(ratio), np.log(pi[-1]))
                 p = np.exp(score - score.max())
                 p /= p.sum()
@@ -361,7 +367,7 @@ def _moved(old: np.ndarray, new: np.ndarray, tolerance: float) -> bool:
     return float(np.abs(new - old).sum()) > tolerance * max(1.0 - float(new[-1]), 1e-6)
 
 
-def fit(docs: DataFrame, fields: tuple[str, ...] = ("text",), source: str = "source", tolerance: float = 0.01, most: int = 25) -> Fit | None:
+def fit(docs: DataFrame, fields: tuple[str, ...] = ("text",), source: str = "source", tolerance: float = 0.02, most: int = 25) -> Fit | None:
     """Fit the model over all records; None where no text has characters beyond ASCII.
 
     Either loop ends when the shares of the chains move by less than
@@ -378,14 +384,15 @@ def fit(docs: DataFrame, fields: tuple[str, ...] = ("text",), source: str = "sou
         return None
     model, shares, prior = _fitted(words.groupBy("word").agg(F.sum("n").cast("double").alias("n"))), None, _START
     for _ in range(most):
-        asked = _with_shares(words, shares, "word").select("field", "source", "word", "n", "own")
+        # A word's rows lie together, so what it could have been is looked up once.
+        asked = _with_shares(words, shares, "word").select("field", "source", "word", "n", "own").repartition(partitions(spark), "word")
         told = materialize(asked.mapInArrow(_expected(model, spark.sparkContext.broadcast(prior)), "word string, n double, field string, source string, sums array<double>"), "expected")
         sums = materialize(told.where("word is null").groupBy("field", "source").agg(F.array(*_summed("sums")).alias("sums")), "sums")
         total = np.array(sums.agg(F.array(*_summed("sums"))).first()[0])
         fresh = (total + 1000.0 * _START) / (total.sum() + 1000.0)
         model = _fitted(told.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")))
         moving, prior = _moved(prior, fresh, tolerance), fresh
-        shares = _shares(sums, prior, 1000.0)
+        shares = sums
         release(told)
         if not moving:
             break
@@ -407,7 +414,7 @@ def fit(docs: DataFrame, fields: tuple[str, ...] = ("text",), source: str = "sou
         total[-1] += records - total.sum()
         fresh = (total + 100.0 * _START) / (total.sum() + 100.0)
         moving, prior = _moved(prior, fresh, tolerance), fresh
-        shares = _shares(sums, prior, 20.0)
+        shares = sums
         if not moving:
             break
     else:
