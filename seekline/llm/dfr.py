@@ -28,8 +28,8 @@ def dfr_scores(index: DataFrame, rate: str = "occurrence") -> DataFrame:
     """
     if rate not in ("occurrence", "presence"):
         raise ValueError("rate must be occurrence or presence")
-    each = F.explode(F.arrays_zip("docs", "tfs")).alias("p")
-    flat = clean_postings(index).select("term", "df", "total", each).select("term", "df", "total", F.col("p.docs").alias("doc_id"), F.col("p.tfs").alias("tf")).where("tf > 0")
+    each = clean_postings(index).select("term", "df", "total", "tfs", F.posexplode("docs").alias("at", "doc_id"))
+    flat = each.select("term", "df", "total", "doc_id", F.get("tfs", F.col("at")).alias("tf")).where("tf > 0")
     lengths = materialize(flat.groupBy("doc_id").agg(F.sum("tf").alias("length"), F.count(F.lit(1)).alias("n")), "lengths")
     # One row, so it may be broadcast.
     corpus = F.broadcast(lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean_length")))
@@ -38,11 +38,12 @@ def dfr_scores(index: DataFrame, rate: str = "occurrence") -> DataFrame:
     # Documents that hold more than their share of all postings meet their length by a broadcast of those few.
     spark = index.sparkSession
     hot = lengths.where(F.col("n") >= hot_limit(spark, lengths.agg(F.sum("n")).first()[0] or 0)).select("doc_id", "length")
+    of_each = lengths.select("doc_id", "length").hint("shuffle_hash")  # two numbers a document: a task's share is looked up without sorting the postings
     if hot.isEmpty():
-        joined = flat.join(lengths.select("doc_id", "length"), "doc_id")
+        joined = flat.join(of_each, "doc_id")
     else:
         hot = F.broadcast(hot)
-        joined = flat.join(hot, "doc_id", "left_anti").join(lengths.select("doc_id", "length"), "doc_id").unionByName(flat.join(hot, "doc_id"))
+        joined = flat.join(hot, "doc_id", "left_anti").join(of_each, "doc_id").unionByName(flat.join(hot, "doc_id"))
     joined = joined.crossJoin(corpus)
     scored = joined.select("doc_id", "term", "tf", "df", "docs", tfn.alias("tfn"), share.alias("rate"))
     info = F.log2(1 + F.col("rate")) + F.col("tfn") * F.log2((1 + F.col("rate")) / F.col("rate"))

@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seekline.operators import vectors
 from seekline.plans.lineage import materialize
 
 
@@ -43,7 +43,8 @@ class Settings:
     lists_per_group: int = 4
     block: int = 16384
     query_block: int = 32768
-    sample: int = 32768
+    sample: int = 65536
+    sample_of_few: int = 32768
     seed: int = 7
 
 
@@ -71,16 +72,21 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[i : i + 4096] @ c.T - half).argmax(1) for i in range(0, len(x), 4096)])
 
 
+def list_count(total: int, s: Settings) -> int:
+    return max(1, min(s.max_lists, total // s.per_list))
+
+
 class Index:
     """Centroids, their groups, and the codebooks of the residuals' pieces."""
 
     def __init__(self, sample: np.ndarray, total: int, s: Settings):
         rng = np.random.default_rng(s.seed)
-        lists = max(1, min(s.max_lists, total // s.per_list, len(sample) // 4))
+        lists = max(1, min(list_count(total, s), len(sample) // 4))
         self.s = s
         self.centroids = _kmeans(sample, lists, 8, rng, spherical=True)
         lists = len(self.centroids)
-        groups = max(1, lists // s.lists_per_group)
+        # A group is about half a block: long lists stand alone, so that a query isn't sent to several blocks.
+        groups = max(1, lists // max(1, min(s.lists_per_group, s.block * lists // (2 * max(1, total)))))
         self.group = _nearest(self.centroids, _kmeans(self.centroids, groups, 8, rng)).astype(np.int32)
         rest = sample - self.centroids[_nearest(sample, self.centroids)]
         width = -(-s.dim // s.pieces)
@@ -146,36 +152,74 @@ def _crowd(index):
     return run
 
 
-def _route(index, blocks, turns):
-    """Rows (group, block, turn, member, id, list, probed lists of that group, code, vector): one for each place where a vector is held or asks."""
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (ids.astype(np.int64).view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as byte strings."""
+    x = np.ascontiguousarray(x)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.itemsize * x.shape[1]), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+
+
+def _counted(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each index as often as its size says, and 0, 1, ... within it."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _route(index, blocks: np.ndarray, turns: np.ndarray):
+    """Rows (group, block, turn, member, id, list, probes, code, vector): one for each place where a vector is held or asks."""
 
     def run(batches):
         ix: Index = index.value
         for ids, x, own, probe in _placed(ix, batches):
-            code, short = ix.encode(x, own), _short(x)
-            out = {k: [] for k in ("group", "block", "turn", "member", "id", "list", "probes", "code", "vector")}
-
-            def row(*values, out=out):
-                for k, v in zip(out, values):
-                    out[k].append(v)
-
-            for r, key in enumerate(ids.tolist()):
-                raw, h = short[r].tobytes(), xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True))
-                home = int(ix.group[own[r]])
-                for t in range(turns[home]):
-                    row(home, h % blocks[home], t, True, key, int(own[r]), None, code[r].tobytes(), raw)
-                asked: dict[int, list[int]] = {}
-                for c in probe[r].tolist():
-                    asked.setdefault(int(ix.group[c]), []).append(c)
-                for g, lists in asked.items():
-                    for b in range(blocks[g]):
-                        row(g, b, (h >> 32) % turns[g], False, key, None, np.array(lists, np.int32).tobytes(), None, raw)
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+            code, vector, h = _binary(ix.encode(x, own)), _binary(_short(x)), _mixed(ids)
+            home = ix.group[own]
+            held, turn = _counted(turns[home])
+            groups = np.sort(ix.group[probe], axis=1)
+            first = np.concatenate([np.ones((len(groups), 1), bool), groups[:, 1:] != groups[:, :-1]], axis=1)
+            row, group = np.nonzero(first)[0], groups[first]
+            asks, block = _counted(blocks[group])
+            asker, asked = row[asks], group[asks]
+            at = np.concatenate([held, asker])
+            m, k = len(held), len(asker)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([home[held], asked]).astype(np.int32)),
+                pa.array(np.concatenate([(h[held] % blocks[home[held]].astype(np.uint64)).astype(np.int32), block.astype(np.int32)])),
+                pa.array(np.concatenate([turn.astype(np.int32), ((h[asker] >> np.uint64(32)) % turns[asked].astype(np.uint64)).astype(np.int32)])),
+                pa.array(np.arange(m + k) < m),
+                pa.array(ids[at], pa.int64()),
+                pa.array(own[at].astype(np.int32)),
+                pa.concat_arrays([pa.nulls(m, pa.binary()), _binary(probe.astype(np.int32)).take(pa.array(asker))]),
+                pa.concat_arrays([code.take(pa.array(held)), pa.nulls(k, pa.binary())]),
+                vector.take(pa.array(at)),
+            ], names=["group", "block", "turn", "member", "id", "list", "probes", "code", "vector"])
 
     return run
 
 
+def _parts(s: Settings, vectors: np.ndarray, mine: np.ndarray, queries: np.ndarray, who: np.ndarray):
+    """A list's members with the queries that look at them: all, or, of a long list, the parts that are nearest to each query."""
+    k = -(-len(mine) // s.per_list)
+    if k <= s.probes:
+        yield mine, who
+        return
+    rng = np.random.default_rng(s.seed)
+    x = vectors[mine]
+    few = x if len(x) <= 16 * k else x[rng.choice(len(x), 16 * k, replace=False)]
+    centres = _kmeans(few, k, 6, rng, spherical=True)
+    own = _nearest(x, centres)
+    probe = np.concatenate([np.argpartition(-(queries[who[i : i + 4096]] @ centres.T), s.probes - 1, axis=1)[:, : s.probes] for i in range(0, len(who), 4096)])
+    for c in range(len(centres)):
+        part, asking = mine[own == c], who[(probe == c).any(axis=1)]
+        if len(part) and len(asking):
+            yield part, asking
+
+
 def _scan(index):
     """The best of one block of a cell group for each of its queries: (id, neighbour, similarity)."""
 
@@ -191,15 +235,12 @@ def _scan(index):
         mlist = members.column("list").to_numpy()
         codes = np.frombuffer(b"".join(members.column("code").to_pylist()), np.uint8).reshape(len(mid), -1)
         qid, qvec = asking.column("id").to_numpy(), _raw(asking.column("vector"), s.dim)
-        wanted = [np.frombuffer(x, np.int32) for x in asking.column("probes").to_pylist()]
-        pair_q = np.repeat(np.arange(len(qid)), [len(x) for x in wanted])
-        pair_c = np.concatenate(wanted) if len(pair_q) else np.zeros(0, np.int32)
+        probes = np.frombuffer(b"".join(asking.column("probes").to_pylist()), np.int32).reshape(len(qid), -1)
+        here = ix.group[probes] == key[0].as_py()
+        pair_q, pair_c = np.nonzero(here)[0], probes[here]
         found_q, found_m, found_s = [], [], []
-        for c in np.unique(pair_c).tolist():
-            mine = np.flatnonzero(mlist == c)
-            if not len(mine):
-                continue
-            who = pair_q[pair_c == c]
+        places = ((mlist == c).nonzero()[0] for c in np.unique(pair_c))
+        for mine, who in (part for c, all_ in zip(np.unique(pair_c), places) if len(all_) for part in _parts(s, mvec, all_, qvec, pair_q[pair_c == c])):
             own_codes = np.ascontiguousarray(codes[mine].T)
             for i in range(0, len(who), 256):
                 q = who[i : i + 256]
@@ -237,22 +278,26 @@ def _scan(index):
     return run
 
 
-def nearest_classes(vectors: DataFrame, s: Settings) -> DataFrame:
+def nearest_classes(rows: DataFrame, s: Settings) -> DataFrame:
     """``id, other, similarity, rank``: the ``k`` nearest others of each of the given distinct vectors."""
-    spark = vectors.sparkSession
-    total = vectors.count()
-    share = min(1.0, 1.2 * s.sample / max(1, total))
-    # A bounded sample, the same whenever it is drawn: by a hash of the identifier.
-    picked = vectors.where(F.pmod(F.xxhash64("id", F.lit(s.seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vector").limit(s.sample).toArrow()
+    spark = rows.sparkSession
+    total = rows.count()
+    wanted = min(s.sample, max(s.sample_of_few, 8 * list_count(total, s)))
+    share = min(1.0, 1.2 * wanted / max(1, total))
+    # A bounded sample, the same whenever it is drawn: the vectors of the least hashes of their identifiers.
+    lot = F.xxhash64("id", F.lit(s.seed))
+    picked = rows.where(F.pmod(lot, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.pmod(lot, F.lit(1 << 20)), "id").limit(wanted).select("vector").toArrow()
     if not len(picked):
-        return vectors.select("id", F.col("id").alias("other"), F.lit(0.0).cast("float").alias("similarity"), F.lit(1).alias("rank")).limit(0)
+        return rows.select("id", F.col("id").alias("other"), F.lit(0.0).cast("float").alias("similarity"), F.lit(1).alias("rank")).limit(0)
     index = spark.sparkContext.broadcast(Index(_unit(_matrix(picked.column("vector"), s.dim)), total, s))
     # One row a group, and at most max_lists / lists_per_group groups.
-    crowd = vectors.mapInArrow(_crowd(index), "group int, members long, asking long").groupBy("group").agg(F.sum("members").alias("members"), F.sum("asking").alias("asking")).collect()
-    blocks = {r["group"]: max(1, -(-r["members"] // s.block)) for r in crowd}
-    turns = {r["group"]: max(1, -(-r["asking"] // s.query_block)) for r in crowd}
+    crowd = rows.mapInArrow(_crowd(index), "group int, members long, asking long").groupBy("group").agg(F.sum("members").alias("members"), F.sum("asking").alias("asking")).collect()
+    blocks, turns = np.ones(len(crowd), np.int64), np.ones(len(crowd), np.int64)
+    for r in crowd:
+        blocks[r["group"]] = max(1, -(-r["members"] // s.block))
+        turns[r["group"]] = max(1, -(-r["asking"] // s.query_block))
     schema = "group int, block int, turn int, member boolean, id long, list int, probes binary, code binary, vector binary"
-    placed = vectors.mapInArrow(_route(index, blocks, turns), schema)
+    placed = rows.mapInArrow(_route(index, blocks, turns), schema)
     found = placed.groupBy("group", "block", "turn").applyInArrow(_scan(index), "id long, other long, similarity float")
     # A row's best are found in several places; a list of one place is at most k long.
     packed = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("far"), F.col("other").alias("other")))).alias("near"))
@@ -267,10 +312,10 @@ def nearest_neighbours(docs: DataFrame, s: Settings = Settings(), column: str =
     zeros take no part.  Rows with equal vectors are each other's nearest.  An
     empty table, or a single usable row, gives no rows.
     """
-    rows = usable_vectors(docs, column, s.dim).where("id is not null").withColumn("print", F.xxhash64("vector"))
-    keys = rows.select("id", "print")
-    shared = materialize(keys.groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "equal")
-    copies = materialize(keys.join(shared, "print").select("id", "rep"), "copies")
+    rows = usable_vectors(docs, column, s.dim).where("id is not null").withColumn("print", F.xxhash64("vector")).withColumn("other_print", F.xxhash64(F.reverse("vector"), F.lit(1)))
+    keys = rows.select("id", "print", "other_print")  # 128 bits, so unequal vectors aren't taken for equal ones
+    shared = materialize(keys.groupBy("print", "other_print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "equal")
+    copies = materialize(keys.join(shared, ["print", "other_print"]).select("id", "rep"), "copies")
     distinct = rows.join(copies.where("id <> rep").select("id"), "id", "left_anti").select("id", "vector")
     near = materialize(nearest_classes(distinct, s), "near")
     # The k + 1 smallest identifiers of each set of equal vectors: bounded, ranked before they are gathered.
@@ -300,3 +345,19 @@ def neighbour_pairs(docs: DataFrame, s: Settings = Settings(), column: str = "ve
     """``doc_a, doc_b`` (doc_a < doc_b) of which at least one is among the other's nearest."""
     near = nearest_neighbours(docs, s, column)
     return near.select(F.least("doc_id", "neighbour").alias("doc_a"), F.greatest("doc_id", "neighbour").alias("doc_b")).distinct()
+
+
+def recall(docs: DataFrame, s: Settings = Settings(), column: str = "vector", every: int = 50) -> DataFrame:
+    """``queries, pairs, found, recall``: of the exact nearest of every row whose identifier is divisible by ``every``, how many the index gives.
+
+    The exact search compares these rows with all; a neighbour counts as found
+    if one as similar is given, since equal similarity has no order here.
+    """
+    rows = usable_vectors(docs, column, s.dim).where("id is not null")
+    exact = vectors.knn(rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "vector"), rows.select(F.col("id").alias("doc_id"), "vector"), s.k + 1)
+    exact = exact.where("query_id <> doc_id").withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id"))).where(F.col("at") <= s.k)
+    worst = exact.groupBy("query_id").agg(F.min("similarity").alias("worst"), F.count(F.lit(1)).alias("n"))
+    given = nearest_neighbours(docs, s, column).where(F.col("doc_id") % every == 0)
+    hits = given.join(worst, given["doc_id"] == worst["query_id"]).where(F.col("similarity") >= F.col("worst") - 1e-4).groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+    got = worst.join(hits, "query_id", "left").agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("pairs"), F.sum(F.least(F.coalesce("found", F.lit(0)), "n")).alias("found"))
+    return got.withColumn("recall", F.round(F.col("found") / F.col("pairs"), 4))

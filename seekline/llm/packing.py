@@ -153,3 +153,19 @@ def fill_report(packed: DataFrame) -> DataFrame:
     """Per budget: containers, items, tokens and the share of room that is used."""
     bins = packed.groupBy("budget_id", "capacity", "block", "container").agg(F.sum("tokens").alias("used"), F.count(F.lit(1)).alias("items"))
     return bins.groupBy("budget_id", "capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("used").alias("tokens"), (F.sum("used") / (F.count(F.lit(1)) * F.col("capacity"))).alias("fill"))
+
+
+def packing_check(sizes: DataFrame, packed: DataFrame) -> DataFrame:
+    """Per budget: ``texts`` with tokens, how many are ``lost`` (in no container, or with other than their tokens), ``repeated`` pieces, texts ``split`` though they fit, and ``overfull`` containers; all but the first are 0 for a right packing."""
+    texts = sizes.where("tokens > 0 and doc_id is not null").groupBy("doc_id").agg(F.sum("tokens").alias("due"), F.max("tokens").alias("longest"), F.count(F.lit(1)).alias("rows"))
+    budgets = packed.select("budget_id", "capacity").distinct()
+    each = packed.groupBy("budget_id", "doc_id").agg(F.sum("tokens").alias("got"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("places"))
+    per = texts.crossJoin(F.broadcast(budgets)).join(each, ["budget_id", "doc_id"], "left")  # a stated set, a handful of rows
+    wrong = per.groupBy("budget_id").agg(
+        F.count(F.lit(1)).alias("texts"),
+        F.count_if(F.coalesce("got", F.lit(0)) != F.col("due")).alias("lost"),
+        F.count_if((F.col("rows") == 1) & (F.col("pieces") > F.col("places"))).alias("repeated"),
+        F.count_if((F.col("longest") <= F.col("capacity")) & (F.col("pieces") > F.col("rows"))).alias("split"),
+    )
+    full = packed.groupBy("budget_id", "capacity", "block", "container").agg(F.sum("tokens").alias("used")).groupBy("budget_id").agg(F.count_if(F.col("used") > F.col("capacity")).alias("overfull"))
+    return wrong.join(full, "budget_id")

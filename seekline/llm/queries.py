@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seekline.llm import boilerplate, dfr, heavy, leakage, mojibake, neardup, neighbours, packing, termfreq
+from seekline.plans.lineage import materialize
 from seekline.sources.tables import table
 
 
@@ -12,6 +13,10 @@ def p1_found(spark, base):
     return neighbours.neighbour_pairs(table(spark, base, "documents"))
 
 
+def p1_recall(spark, base):
+    return neighbours.recall(table(spark, base, "documents"))
+
+
 def p2_found(spark, base):
     return boilerplate.template_lines(table(spark, base, "documents"))
 
@@ -60,6 +65,11 @@ def p8_fill(spark, base):
     return packing.fill_report(p8_containers(spark, base))
 
 
+def p8_check(spark, base):
+    sizes = materialize(packing.token_sizes(table(spark, base, "documents")), "sizes")
+    return packing.packing_check(sizes, packing.pack(sizes, table(spark, base, "token_budgets")))
+
+
 def p9_leaks(spark, base):
     return leakage.leaks(table(spark, base, "documents"), table(spark, base, "eval_items"))
 
@@ -112,6 +122,8 @@ r as (select *, row_number() over (partition by doc_id order by score desc, term
 x as (select p.doc_id, p.term, p.tf * log2(1 + c.mean_length / l.length) as tfn, t.total / c.docs as rate from p join t on t.term = p.term join l on l.doc_id = p.doc_id cross join c),
 s as (select doc_id, term, (log2(1 + rate) + tfn * log2((1 + rate) / rate)) / (tfn + 1) as dfr from x),
 r as (select *, row_number() over (partition by doc_id order by round(dfr, 9) desc, term) as k from s) select doc_id, term, round(dfr, 6) as dfr from r where k <= 3""",
+    # No text may be lost, repeated or split though it fits, and no container overfull, whatever the tokenizer.
+    "p8_check": "select cast(budget_id as bigint) as budget_id, (select count(*) from documents where length(text) > 0) as texts, 0 as lost, 0 as repeated, 0 as split, 0 as overfull from token_budgets",
     "p7_found": _QUERY + "select query_text from kept",
     "p7_counts": _QUERY + "select query_text, exact_count from kept",
 }

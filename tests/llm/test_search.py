@@ -34,6 +34,22 @@ def test_neighbours_recall(spark):
     assert all(i not in n for i, n in got.items())
 
 
+def test_long_lists_are_split(spark):
+    import dataclasses
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 8))
+    rows = [(i, (centres[i % 20] + 0.2 * rng.normal(size=8)).astype(np.float32).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, vector array<float>")
+    few = dataclasses.replace(S, max_lists=2, per_list=50, block=300, query_block=4000)
+    got: dict = {}
+    for r in neighbours.nearest_neighbours(df, few).orderBy("doc_id", "rank").collect():
+        got.setdefault(r["doc_id"], []).append(r["neighbour"])
+    want = exact(rows, 3)
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) / sum(map(len, want.values())) >= 0.9
+    assert neighbours.recall(df, few).first()["recall"] >= 0.9
+
+
 def test_neighbours_of_equal_vectors(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [1.0] + [0.0] * 7) for i in range(40)] + [(100 + i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(60)] + [(5, [1.0] + [0.0] * 7)]

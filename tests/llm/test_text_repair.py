@@ -46,6 +46,11 @@ def test_pack(spark):
     assert len({r["container"] for r in one}) == 4 and {r["budget_id"] for r in got} == {1, 2}
     fill = {r["budget_id"]: r for r in packing.fill_report(packing.pack(sizes, budgets)).collect()}
     assert fill[1]["containers"] == 4 and fill[1]["tokens"] == 40 and fill[2]["containers"] == 1
+    right = {r["budget_id"]: r for r in packing.packing_check(sizes, packing.pack(sizes, budgets)).collect()}
+    assert right[1]["texts"] == 4 and all(right[b][c] == 0 for b in (1, 2) for c in ("lost", "repeated", "split", "overfull"))
+    broken = packing.pack(sizes, budgets).where("doc_id <> 2").withColumn("tokens", F.when(F.col("doc_id") == 6, 11).otherwise(F.col("tokens")))
+    wrong = {r["budget_id"]: r for r in packing.packing_check(sizes, broken).collect()}
+    assert wrong[1]["lost"] == 2 and wrong[1]["overfull"] == 1
     assert packing.pack(sizes.limit(0), budgets).count() == 0 and packing.pack(sizes, budgets.limit(0)).count() == 0
 
 
