@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -90,49 +89,85 @@ def knn_one(vectors: DataFrame, query: list[float], k: int, id_col: str = "doc_i
     return vectors.select(F.col(id_col), cosine(F.col(column), q).alias("similarity")).where("similarity is not null").orderBy(F.desc("similarity"), F.asc(id_col)).limit(k)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "doc_id", column: str = "vector", block: int = 2048) -> DataFrame:
+#: Bytes of query vectors that a task is sent at once; a larger set is searched in several scans.
+SENT_BYTES = 64_000_000
+#: Queries that a task multiplies with a batch of rows at once.
+TOGETHER = 256
+
+
+def _best(sims: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, name, similarity) of the ``k`` most similar columns of each row; on equal similarity the smaller name comes first."""
+    if sims.shape[1] > k:
+        least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k, None]
+        row, column = np.nonzero(sims >= least)  # k of each row, and those that tie with the last of them
+    else:
+        row, column = (x.ravel() for x in np.indices(sims.shape))
+    return _first(row, names[column], sims[row, column], k)
+
+
+def _first(row: np.ndarray, name: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((name, -sim, row))
+    row, name, sim = row[order], name[order], sim[order]
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
+    keep = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)])) < k
+    return row[keep], name[keep], sim[keep]
+
+
+def _scanner(sent, k: int):
+    """Multiplies rows (id, vector) with all sent queries of the same dimension and keeps the best of each."""
+
+    def run(batches):
+        kept = {dim: [(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(ids), TOGETHER)] for dim, (ids, _) in sent.value.items()}
+        for batch in batches:
+            sizes = pa.compute.list_value_length(batch.column(1))
+            for dim, (ids, q) in sent.value.items():
+                rows = batch.filter(pa.compute.equal(sizes, dim))
+                x = np.asarray(rows.column(1).flatten(), np.float64).reshape(-1, dim)
+                n = np.linalg.norm(x, axis=1)
+                x, mine = x[n > 0] / n[n > 0][:, None], rows.column(0).to_numpy(zero_copy_only=False)[n > 0]
+                if not len(x):
+                    continue
+                for b in range(len(kept[dim])):
+                    found = _best(np.round(q[b * TOGETHER : (b + 1) * TOGETHER] @ x.T, 12), mine, k)
+                    kept[dim][b] = _first(*(np.concatenate(c) for c in zip(kept[dim][b], found)), k)
+        for dim, (ids, _) in sent.value.items():
+            for b, (row, name, sim) in enumerate(kept[dim]):
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.array(ids, np.int64)[row + b * TOGETHER]), "id": pa.array(name), "similarity": pa.array(sim)})
+
+    return run
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "doc_id", column: str = "vector", sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``query_id, <id_col>, similarity, rank``: exact search for a stated set of query vectors against all rows.
 
-    Queries are sent in blocks whose bytes are bounded by ``block``; each task
-    multiplies its rows with a block and keeps ``k`` a query, so what is
-    shuffled is ``k`` rows a query and task, whatever the table's size.
-    Vectors of another dimension, null or all zero, take no part.
+    Queries are sent in blocks of at most ``sent_bytes``, one scan of the rows
+    for each block (64 MB are 20,000 queries of 384 entries); each task
+    multiplies its rows with the block and keeps ``k`` a query, so what is
+    shuffled is ``k`` rows a query and task, whatever the table's size.  Rows
+    meet the queries of their own dimension; null and all-zero vectors take no
+    part.  For every row as a query there is the index, not this.
     """
     spark = vectors.sparkSession
-    asked = queries.select("query_id", "vector").where("vector is not null").toLocalIterator()
     kind = dict(vectors.dtypes)[id_col]
-    out = None
-    # One block of queries is held at a time, the queries of each dimension apart.
-    blocks = iter(lambda: list(itertools.islice(asked, block)), [])
-    for dim, part in ((d, [(r["query_id"], r["vector"]) for r in rows if len(r["vector"]) == d and any(r["vector"])]) for rows in blocks for d in sorted({len(r["vector"]) for r in rows})):
-        if not part:
-            continue
-        q = np.array([v for _, v in part], np.float64)
-        sent = spark.sparkContext.broadcast(([a for a, _ in part], q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-        def run(batches, sent=sent, dim=dim):
-            ids, q = sent.value
-            best = np.full((len(q), 0), -2.0)
-            who = np.zeros((len(q), 0), np.int64)
-            for batch in batches:
-                lists = batch.column(1)
-                fits = np.array([x == dim for x in pa.compute.list_value_length(lists).to_pylist()], bool) if len(lists) else np.zeros(0, bool)
-                if not fits.any():
-                    continue
-                rows = batch.filter(pa.array(fits))
-                x = np.asarray(rows.column(1).flatten(), np.float64).reshape(-1, dim)
-                n = np.linalg.norm(x, axis=1)
-                x, mine = x[n > 0] / n[n > 0][:, None], rows.column(0).to_numpy(zero_copy_only=False)[n > 0]
-                sims = np.concatenate([best, np.round(q @ x.T, 12)], axis=1)
-                names = np.concatenate([who, np.broadcast_to(mine, (len(q), len(mine)))], axis=1)
-                keep = np.lexsort((names, -sims), axis=1)[:, :k]
-                best, who = np.take_along_axis(sims, keep, 1), np.take_along_axis(names, keep, 1)
-            if best.shape[1]:
-                m = best.shape[1]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(np.array(ids, np.int64), m)), "id": pa.array(who.ravel()), "similarity": pa.array(best.ravel())})
-
-        found = vectors.select(F.col(id_col).cast("long"), F.col(column).cast("array<float>")).where(F.col(column).isNotNull()).mapInArrow(run, "query_id long, id long, similarity double")
-        out = found if out is None else out.unionByName(found)
+    rows = vectors.select(F.col(id_col).cast("long"), F.col(column).cast("array<float>")).where(F.col(column).isNotNull())
+    out, held, size = None, {}, 0
+
+    def scan():
+        block = {}
+        for dim, part in held.items():
+            q = np.array([v for _, v in part], np.float64)
+            block[dim] = ([i for i, _ in part], q / np.linalg.norm(q, axis=1, keepdims=True))
+        return rows.mapInArrow(_scanner(spark.sparkContext.broadcast(block), k), "query_id long, id long, similarity double")
+
+    for r in queries.select("query_id", "vector").where("vector is not null").toLocalIterator():  # one block is held at a time
+        if any(r["vector"]):
+            held.setdefault(len(r["vector"]), []).append((r["query_id"], r["vector"]))
+            size += 8 * len(r["vector"])
+        if size >= sent_bytes:
+            out = scan() if out is None else out.unionByName(scan())
+            held, size = {}, 0
+    if held:
+        out = scan() if out is None else out.unionByName(scan())
     if out is None:
         return spark.createDataFrame([], f"query_id long, {id_col} {kind}, similarity double, rank int")
     at = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("id"))

@@ -12,7 +12,7 @@ from seekline.config import DEFAULTS, INDEX_STOP_WORDS, NAMESPACES, NAVIGATIONAL
 from seekline.functions import text as tx
 from seekline.functions.edit import osa_distance
 from seekline.functions.snippet import snippet as make_snippet
-from seekline.operators import analytics, answer, bm25, graph, html, hybrid, index, spell, suggest, vectors
+from seekline.operators import analytics, ann, answer, bm25, graph, html, hybrid, index, spell, suggest, vectors
 from seekline.plans.engine import Engine
 from seekline.plans.lineage import folder, materialize
 from seekline.sources import tables
@@ -38,9 +38,23 @@ def _items(spark, base):
     return table(spark, base, "eval_items").select(F.col("item_id").alias("query_id"), tx.query_tokens(F.col("text")).alias("terms"))
 
 
-def _bm25(spark, base, queries):
-    docs = _docs(spark, base)
-    return bm25.score(queries, index.postings(docs), index.doc_lengths(docs), index.corpus_stats(docs))
+_indexes: dict[tuple[str, str], tuple] = {}
+
+
+def stored_index(spark, base):
+    """Postings in the order of their terms, lengths and statistics of a folder's documents, written once a session as a service does when it starts."""
+    key = spark.sparkContext.applicationId, base
+    if key not in _indexes:
+        docs = _docs(spark, base)
+        posts = materialize(index.postings(docs).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+        _indexes[key] = posts, materialize(index.doc_lengths(docs), "lengths"), materialize(index.corpus_stats(docs), "stats")
+    return _indexes[key]
+
+
+def _bm25(spark, base, queries, terms=None):
+    """``terms`` are those of all queries where they are a few: the scan then reads the files that hold them."""
+    posts, lengths, stats = stored_index(spark, base)
+    return bm25.score(queries, posts if terms is None else posts.where(F.col("term").isin(terms)), lengths, stats)
 
 
 def _top(df, score, k=10):
@@ -75,7 +89,7 @@ def idf(spark, base):
 
 
 def bm25_top10(spark, base):
-    scored = _bm25(spark, base, _one_query(spark)).withColumn("score", F.round("score", 6))
+    scored = _bm25(spark, base, _one_query(spark), TERMS).withColumn("score", F.round("score", 6))
     return _top(scored, "score").select("rank", "doc_id", "score")
 
 
@@ -142,7 +156,7 @@ def knn_multi(spark, base):
 
 
 def minmax_norm(spark, base):
-    scored = _bm25(spark, base, _one_query(spark))
+    scored = _bm25(spark, base, _one_query(spark), TERMS)
     return scored.select("doc_id", F.round(hybrid.min_max(F.col("score"), "query_id"), 6).alias("norm"))
 
 
@@ -150,8 +164,8 @@ def _document_vectors(spark, base):
     return table(spark, base, "documents").where("size(vector) = 384").select("doc_id", "vector")
 
 
-def _hybrid(spark, base, queries, asked):
-    scored = _bm25(spark, base, queries)
+def _hybrid(spark, base, queries, asked, terms=None):
+    scored = _bm25(spark, base, queries, terms)
     near = vectors.knn(asked, _document_vectors(spark, base), DEFAULTS.knn_depth).select("query_id", "doc_id", "similarity")
     ranks = graph.latest_scores(table(spark, base, "pagerank"))
     return hybrid.rank(scored, near, _docs(spark, base), ranks)
@@ -160,7 +174,7 @@ def _hybrid(spark, base, queries, asked):
 def hybrid_top10(spark, base):
     rows = _document_vectors(spark, base)
     asked = rows.where(F.exists("vector", lambda x: x != 0)).orderBy("doc_id").limit(1).select(F.lit(0).cast("long").alias("query_id"), "vector")
-    return _hybrid(spark, base, _one_query(spark), asked).select("rank", "doc_id", "bm25", "vector", "pagerank", "final")
+    return _hybrid(spark, base, _one_query(spark), asked, TERMS).select("rank", "doc_id", "bm25", "vector", "pagerank", "final")
 
 
 def hybrid_multi(spark, base):
@@ -407,6 +421,26 @@ def ann_lsh(spark, base):
     return near.select(F.col("datasetA.doc_id").alias("query_id"), F.col("datasetB.doc_id").alias("vec_id"), (1 - F.col("distance") ** 2 / 2).alias("similarity")).where("query_id <> vec_id")
 
 
+def _stored_vectors(spark, base):
+    return ann.StoredIndex(_document_vectors(spark, base), f"{folder(spark)}/ann-{uuid.uuid4().hex}", 384)
+
+
+def ann_top5(spark, base):
+    """About the five nearest of the first document with a usable vector, from the folders of its nearest lists."""
+    stored = _stored_vectors(spark, base)
+    first = stored.table.orderBy("doc_id").first()
+    return stored.search_one(first["vector"], 5).select("doc_id", F.round("similarity", 5).alias("similarity"))
+
+
+def ann_recall(spark, base):
+    """Recall of the stored index at 10 for every vector whose identifier is divisible by 50, against the exact search."""
+    stored = _stored_vectors(spark, base)
+    asked = stored.table.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    exact = vectors.knn(asked, stored.table, 10).groupBy("query_id").agg(F.min("similarity").alias("worst"), F.count(F.lit(1)).alias("n"))
+    found = stored.search(asked, 10).join(exact, "query_id").where(F.col("similarity") >= F.col("worst") - 1e-6)
+    return exact.agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("pairs")).crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("found")))).withColumn("recall", F.round(F.col("found") / F.col("pairs"), 4))
+
+
 def insert_if_absent(spark, base):
     """Scored urls that documents doesn't hold yet, each once."""
     new = table(spark, base, "pagerank").select("url").where("url is not null").distinct()
@@ -461,7 +495,7 @@ QUERIES = {f.__name__: f for f in (
     tokens, term_freq, doc_freq, corpus_stats, doc_length, idf, bm25_top10, bm25_multi_query, postings_json, stored_postings, postings_merge, postings_merge_replace, postings_merge_json, spell_dictionary,
     knn_top50, knn_top5, knn_multi, minmax_norm, hybrid_top10, hybrid_multi, links, link_nodes, out_degree, dangling, pagerank_links, pagerank_converged, scores_upsert, latest_pagerank, bfs_levels,
     unvisited_links, query_tokens, intent, expand_terms, highlight, snippet_prefix, snippets, strip_tags, parse_answer, summaries, summaries_plain, suggest_prefix, suggest_many, title_dedupe, top_queries,
-    zero_results, avg_top_score, score_buckets, bucket_share, hit_ratio, corpus_counts, trending_7d, history, crumb, zoom, pending_vectors, embed_text, embed_pending, pending_page, vectors_stored, doc_by_url, docs_page, stream_index, ann_lsh,
+    zero_results, avg_top_score, score_buckets, bucket_share, hit_ratio, corpus_counts, trending_7d, history, crumb, zoom, pending_vectors, embed_text, embed_pending, pending_page, vectors_stored, doc_by_url, docs_page, stream_index, ann_lsh, ann_top5, ann_recall,
     insert_if_absent, clean_text, clean_titles, page_text, page_links, osa_pairs, spell_correct, search,
 )}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,13 +107,34 @@ class Engine:
             F.struct("bm25", "vector", "pagerank", "final").alias("scores"),
         )
 
+    def plan(self, queries: DataFrame) -> str:
+        """How a search would be run: the formatted plan, nothing of it executed but the derived tables it reads."""
+        df = self.search(queries, correct=False)
+        return df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
     def log_entries(self, results: DataFrame, latency_ms: int) -> DataFrame:
         """Rows for the query log: the uncorrected query, its number of results and the best final score."""
         top = results.groupBy("query_id", "original").agg(F.count(F.lit(1)).alias("n"), F.max("scores.final").alias("top"))
         return analytics.log_rows(top.withColumn("latency_ms", F.lit(latency_ms)))
 
-    def stream_search(self, query: str, vector: list[float] | None = None) -> Iterator[tuple[str, dict]]:
-        """Named events of one search, stage by stage; a failing stage falls back instead of ending the rest."""
+    def stream_search(self, query: str, vector: list[float] | None = None, gone: Callable[[], bool] = lambda: False) -> Iterator[tuple[str, dict]]:
+        """Named events of one search, stage by stage; a failing stage falls back instead of ending the rest.
+
+        The search ends between stages once ``gone()`` is true, and its running
+        jobs are cancelled when the reader closes the iterator.
+        """
+        context, group = self.spark.sparkContext, f"search-{uuid.uuid4().hex}"
+        context.setJobGroup(group, "staged search", True)
+        try:
+            for event in self._stages(query, vector):
+                yield event
+                if gone():
+                    return
+        finally:
+            context.cancelJobGroup(group)
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    def _stages(self, query: str, vector: list[float] | None) -> Iterator[tuple[str, dict]]:
         query = query.strip()
         if not query:
             yield "error", {"message": "empty query"}

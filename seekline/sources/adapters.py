@@ -8,6 +8,12 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from seekline.plans.lineage import materialize
+
 #: A language model: prompt -> (text or None, reason or None).
 Model = Callable[[str], tuple[str | None, str | None]]
 
@@ -79,6 +85,37 @@ class Geocoder:
         return out
 
 
+def geocode(queries: DataFrame, cache: DataFrame, lookup: Callable[[str], dict | None], now: dt.datetime, hours: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Places (query, found, lat, lon, display_name) for a table of queries, and the cache afterwards.
+
+    ``cache`` has (query, found, lat, lon, display_name, expires_at).  Rows
+    that have not expired answer; each other place is looked up once, and what
+    the lookup says, also that there is none, is kept for ``hours``; a lookup
+    that fails gives a place not found that isn't kept.
+    """
+    fields = "query string, found boolean, lat double, lon double, display_name string"
+    until = now + dt.timedelta(hours=hours)
+
+    def ask(batches):
+        for batch in batches:
+            rows = []
+            for q in batch["query"]:
+                try:
+                    got = lookup(q)
+                except Exception:
+                    rows.append((q, False, None, None, None, None))
+                    continue
+                rows.append((q, True, got.get("lat"), got.get("lon"), got.get("display_name"), until) if got else (q, False, None, None, None, until))
+            yield pd.DataFrame(rows, columns=["query", "found", "lat", "lon", "display_name", "expires_at"]).astype({"lat": "float64", "lon": "float64", "expires_at": "datetime64[us]"})
+
+    asked = queries.select(F.lower(F.trim("query")).alias("query")).where("query <> ''").distinct()
+    fresh = cache.where(F.col("expires_at") > F.lit(now))
+    looked_up = materialize(asked.join(fresh.select("query"), "query", "left_anti").mapInPandas(ask, f"{fields}, expires_at timestamp"), "places")
+    columns = [f.split(" ")[0] for f in fields.split(", ")]
+    answers = asked.join(fresh, "query").select(*columns).unionByName(looked_up.select(*columns))
+    return answers, fresh.select(*columns, "expires_at").unionByName(looked_up.where("expires_at is not null"))
+
+
 def sse_text(events: Iterator[tuple[str, dict]]) -> Iterator[str]:
     """Named events as server-sent blocks."""
     for name, data in events:

@@ -144,3 +144,38 @@ def test_knn_of_mixed_dimensions(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id long, vector array<float>")
     q = spark.createDataFrame([(7, [1.0, 0.0, 0.0]), (8, [1.0, 0.1]), (9, [0.1, 1.0])], "query_id long, vector array<float>").coalesce(1)
     assert {(r["query_id"], r["doc_id"]) for r in vectors.knn(q, v, 1).collect()} == {(8, 1), (9, 2)}
+
+
+def test_knn_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-2, 3, (300, 5)).astype(float)  # many equal similarities
+    x[x.any(axis=1) == False] = 1  # noqa: E712
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id long, vector array<float>")
+    q = v.where("doc_id % 7 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 12)
+    want = {(i, int(j), k + 1) for i in range(0, 300, 7) for k, j in enumerate(np.lexsort((np.arange(300), -sims[i]))[:6])}
+    for size in (vectors.SENT_BYTES, 100):
+        assert {(r["query_id"], r["doc_id"], r["rank"]) for r in vectors.knn(q, v, 6, sent_bytes=size).collect()} == want
+
+
+def test_stored_vectors(spark, tmp_path):
+    import numpy as np
+
+    from seekline.operators import ann
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 16))
+    x = [(i, (centres[i % 12] + 0.2 * rng.normal(size=16)).tolist()) for i in range(600)]
+    v = spark.createDataFrame([*x, (900, None), (901, [0.0] * 16), (902, [1.0])], "doc_id long, vector array<float>")
+    stored = ann.StoredIndex(v, f"file://{tmp_path}/ann", 16)
+    assert stored.table.count() == 600
+    exact = {r["doc_id"] for r in vectors.knn_one(v.where("size(vector) = 16"), x[0][1], 10).collect()}
+    assert len(exact & {r["doc_id"] for r in stored.search_one(x[0][1], 10).collect()}) >= 9
+    asked = v.where("doc_id < 50").select(F.col("doc_id").alias("query_id"), "vector")
+    want = {(r["query_id"], r["doc_id"]) for r in vectors.knn(asked, v, 10).collect()}
+    got = {(r["query_id"], r["doc_id"]) for r in stored.search(asked, 10).collect()}
+    assert len(got & want) / len(want) >= 0.9
+    assert ann.StoredIndex(v.limit(0), f"file://{tmp_path}/none", 16).search_one([1.0] * 16, 3).count() == 0

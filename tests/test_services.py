@@ -98,6 +98,11 @@ def test_engine(spark):
     names = [n for n, _ in e.stream_search("graph")]
     assert names == ["spellcheck", "expansion", "results", "summary", "done"]
     assert [n for n, _ in e.stream_search("  ")] == ["error"]
+    assert [n for n, _ in e.stream_search("graph", gone=lambda: True)] == ["spellcheck"]
+    left = e.stream_search("graph")
+    next(left)
+    left.close()
+    assert "HashAggregate" in e.plan(q)
     assert e.health()["documents"] == 3 and [r["title"] for r in e.suggest("gr").collect()] == ["Graph theory"]
     assert e.analytics()["topQueries"].first()["hits"] == 1 and e.trending("2030-01-01 00:00:00").count() == 0
     register_functions(spark)
@@ -158,6 +163,39 @@ def test_crash_between_steps_loses_nothing(spark, tmp_path, monkeypatch):
     assert sorted(r["term"] for r in live.postings(spark.createDataFrame([("word9",), ("none",)], "term string")).collect()) == ["word9"]
 
 
+def test_geocode_table(spark):
+    now, calls = dt.datetime(2024, 1, 2), spark.sparkContext.accumulator(0)
+    place = "query string, found boolean, lat double, lon double, display_name string, expires_at timestamp"
+    cache = spark.createDataFrame([("rome", True, 1.0, 2.0, "Roma", now + dt.timedelta(hours=1)), ("oslo", True, 9.0, 9.0, "old", now - dt.timedelta(hours=1))], place)
+
+    def lookup(q):
+        calls.add(1)
+        return {"lat": 5.0, "lon": 6.0, "display_name": q.title()} if q == "oslo" else None if q == "atlantis" else 1 / 0
+
+    asked = spark.createDataFrame([(" Rome ",), ("OSLO",), ("oslo",), ("atlantis",), ("broken",), (" ",), (None,)], "query string")
+    answers, kept = adapters.geocode(asked, cache, lookup, now)
+    assert {(r["query"], r["found"], r["display_name"]) for r in answers.collect()} == {("rome", True, "Roma"), ("oslo", True, "Oslo"), ("atlantis", False, None), ("broken", False, None)}
+    assert {r["query"] for r in kept.collect()} == {"rome", "oslo", "atlantis"} and calls.value == 3
+    assert {r["query"] for r in adapters.geocode(asked, kept, lookup, now)[0].collect()} == {"rome", "oslo", "atlantis", "broken"} and calls.value == 4
+
+
+def test_pages_and_upserts(spark):
+    docs = spark.createDataFrame([(i, f"u{i}") for i in range(10)] + [(None, "x")], "doc_id long, url string")
+    assert [r["doc_id"] for r in tables.page(docs, "doc_id", 4).collect()] == [0, 1, 2, 3] and [r["doc_id"] for r in tables.page(docs, "doc_id", 4, 7).collect()] == [8, 9]
+    assert tables.by_url(docs, "u3").count() == 1 and tables.by_url(docs, "none").count() == 0
+    new = spark.createDataFrame([(3, "changed"), (77, "added")], docs.schema)
+    got = {r["doc_id"]: r["url"] for r in tables.upsert(docs.where("doc_id is not null"), new, "doc_id").collect()}
+    assert len(got) == 11 and got[3] == "changed" and got[77] == "added" and got[4] == "u4"
+
+
+def test_publish(spark, tmp_path):
+    tables.publish(spark.createDataFrame([("a", "T", "text", dt.datetime(2024, 1, 1))], "url string, title string, content string, created_at timestamp"), str(tmp_path / "events"))
+    seen = live_index.read_events(spark, str(tmp_path / "events")).writeStream.format("memory").queryName("announced").trigger(availableNow=True).start()
+    seen.awaitTermination(120)
+    r = spark.table("announced").first()
+    assert (r["url"], r["title"], r["text"], r["_corrupt"]) == ("a", "T", "text", None)
+
+
 def test_log_stream(spark, tmp_path):
     spark.createDataFrame([(1, "q", dt.datetime(2024, 1, 1))], "id long, query_text string, searched_at timestamp").write.parquet(str(tmp_path / "log"))
     source = lambda: spark.readStream.schema("id long, query_text string, searched_at timestamp").parquet(str(tmp_path / "log"))
