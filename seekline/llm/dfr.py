@@ -38,7 +38,7 @@ def dfr_scores(index: DataFrame, rate: str = "occurrence") -> DataFrame:
     # Documents that hold more than their share of all postings meet their length by a broadcast of those few.
     spark = index.sparkSession
     hot = lengths.where(F.col("n") >= hot_limit(spark, lengths.agg(F.sum("n")).first()[0] or 0)).select("doc_id", "length")
-    of_each = lengths.select("doc_id", "length").hint("shuffle_hash")  # two numbers a document: a task's share is looked up without sorting the postings
+    of_each = lengths.select("doc_id", "length")
     if hot.isEmpty():
         joined = flat.join(of_each, "doc_id")
     else:
