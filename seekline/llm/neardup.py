@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ SKETCH_CHUNK = 1 << 17
 WIDE = 5
 #: Records of a node that are compared in one place.
 NODE = 256
-#: Members of a class of equal sets whose pairs are written out; beyond it they are linked to the class's first record.
+#: Members of a class of equal sets whose pairs are written out; beyond it copies to the letter are linked to the first of them.
 EXPAND = 64
 
 
@@ -64,20 +65,20 @@ def _unpack(raw) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _sets(batch: pa.RecordBatch, n: int, hasher: WordHashes) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, n: int, hasher: WordHashes) -> Iterator[tuple[int, np.ndarray, int]]:
     for doc, title, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
         if content is None or doc is None:
             continue
         g = np.unique(grams(hasher(words(f"{title or ''} {content}")), n) >> np.uint64(64 - 8 * WIDE))
         if len(g):
-            yield doc, g
+            yield doc, g, xxhash.xxh3_64_intdigest(f"{title or ''}\0{content}") >> 1
 
 
 def _sketcher(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts, some = WordHashes(), np.zeros(SKETCH, np.int32), False
         for batch in batches:
-            for _, g in _sets(batch, n, hasher):
+            for _, g, _ in _sets(batch, n, hasher):
                 some = True
                 np.add.at(counts, (g >> _SHIFT).astype(np.int64), 1)
         if some:
@@ -95,8 +96,8 @@ def _set_builder(n: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, df = WordHashes(), sketch.value
         for batch in batches:
-            ids, sizes, prints, seqs = [], [], [], []
-            for doc, g in _sets(batch, n, hasher):
+            ids, sizes, prints, seqs, texts = [], [], [], [], []
+            for doc, g, text in _sets(batch, n, hasher):
                 g = g[np.lexsort((g, df[(g >> _SHIFT).astype(np.int64)]))]
                 with np.errstate(over="ignore"):
                     mixed = (g ^ (g >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -104,7 +105,8 @@ def _set_builder(n: int, sketch):
                 ids.append(doc)
                 sizes.append(len(g))
                 seqs.append(_pack(g))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "print": pa.array(prints, pa.int64()), "size": pa.array(sizes, pa.int32()), "seqs": pa.array(seqs, pa.binary())})
+                texts.append(text)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "print": pa.array(prints, pa.int64()), "size": pa.array(sizes, pa.int32()), "seqs": pa.array(seqs, pa.binary()), "text": pa.array(texts, pa.int64())})
 
     return run
 
@@ -315,19 +317,19 @@ def _check(t: float):
 def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, max_depth: int = 3) -> tuple[DataFrame, DataFrame]:
     """Classes of equal sets, and the pairs of classes of similarity ``t`` or more.
 
-    ``docs`` has (doc_id, title, content).  Gives ``(doc_id, rep)`` for every
+    ``docs`` has (doc_id, title, content).  Gives ``(doc_id, rep, text)`` for every
     record with at least ``n`` words, ``rep`` being the smallest doc_id with an
-    equal set, and ``(a, b, similarity)`` of representatives, ``a < b``.
+    equal set and ``text`` a hash of title and content, and ``(a, b, similarity)`` of representatives, ``a < b``.
     Records with null content or fewer than ``n`` words are in neither.
     """
     spark = docs.sparkSession
     width = partitions(spark)
     docs = spread(docs.select("doc_id", "title", "content"))
     sketch = spark.sparkContext.broadcast(_frequency_sketch(docs, n))
-    every = materialize(docs.mapInArrow(_set_builder(n, sketch), "doc_id long, print long, size int, seqs binary"), "sets")
+    every = materialize(docs.mapInArrow(_set_builder(n, sketch), "doc_id long, print long, size int, seqs binary, text long"), "sets")
     classes = every.groupBy("print", "size").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
     copies = classes.where("members > 1")
-    member = every.select("doc_id", "print", "size").join(copies, ["print", "size"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    member = every.select("doc_id", "print", "size", "text").join(copies, ["print", "size"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "text")
     member = materialize(member, "classes")
     # One record of each class takes part; those left out are only the copies, so this side is small where copies are few.
     sets = every.join(member.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").select("doc_id", "size", "seqs")
@@ -371,10 +373,11 @@ def similar_sets(docs: DataFrame, n: int = 5, t: float = 0.8, max_depth: int = 3
 def duplicate_pairs(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
     """``doc_a, doc_b`` (doc_a < doc_b) of similarity ``t`` or more.
 
-    Classes of at most ``EXPAND`` equal records are written out as all pairs.
-    A larger class is given as its first record paired with each member, and a
-    link between two classes of which one is that large as the pair of their
-    first records; with the class's own rows every link is there.
+    Records of equal sets are written out as all pairs up to ``EXPAND`` of
+    them.  Of a larger class, records of the very same title and content are
+    given as the first of them paired with each other one; records whose texts
+    differ, though their sets don't, are written out as all pairs of these
+    firsts, in salted joins, and so are their links to other classes.
     """
     member, similar = similar_sets(docs, n, t)
     sizes = member.groupBy("rep").agg(F.count(F.lit(1)).alias("members"))
@@ -383,11 +386,19 @@ def duplicate_pairs(docs: DataFrame, n: int = 5, t: float = 0.8) -> DataFrame:
     small, large = inside.where(F.col("members") <= EXPAND), inside.where(F.col("members") > EXPAND)
     one = small.groupBy("rep").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))  # at most EXPAND identifiers
     own = one.select(F.explode("ids").alias("doc_a"), "ids").select("doc_a", F.explode("ids").alias("doc_b")).where("doc_a < doc_b")
-    star = large.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    firsts = materialize(large.groupBy("rep", "text").agg(F.min("doc_id").alias("first")), "texts")
+    star = large.join(firsts, ["rep", "text"]).where("doc_id <> first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    salts = 16
+    left = firsts.select("rep", F.pmod(F.xxhash64("first"), F.lit(salts)).cast("int").alias("salt"), F.col("first").alias("doc_a"))
+    right = firsts.select("rep", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("first").alias("doc_b"))
+    texts = left.join(right, ["rep", "salt"]).where("doc_a < doc_b").select("doc_a", "doc_b")
     ids = one.select("rep", "ids")
-    across = similar.join(ids.select(F.col("rep").alias("a"), F.col("ids").alias("ia")), "a", "left").join(ids.select(F.col("rep").alias("b"), F.col("ids").alias("ib")), "b", "left")
-    across = across.select(F.explode(F.coalesce("ia", F.array("a"))).alias("x"), F.coalesce("ib", F.array("b")).alias("ib")).select("x", F.explode("ib").alias("y"))
-    return own.unionByName(star).unionByName(across.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")))
+    across = similar.select("a", "b")
+    for side in ("a", "b"):
+        across = across.join(ids.select(F.col("rep").alias(side), F.col("ids").alias(f"i{side}")), side, "left").join(firsts.select(F.col("rep").alias(side), F.col("first").alias(f"f{side}")), side, "left")
+    every = lambda side: F.coalesce(f"i{side}", F.array(F.coalesce(f"f{side}", side)))
+    across = across.select(F.explode(every("a")).alias("x"), every("b").alias("ys")).select("x", F.explode("ys").alias("y"))
+    return own.unionByName(star).unionByName(texts).unionByName(across.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")))
 
 
 def duplicate_groups(docs: DataFrame, n: int = 5, t: float = 0.8, max_rounds: int = 40) -> DataFrame:

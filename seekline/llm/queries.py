@@ -112,6 +112,12 @@ counted as (select query_text, count(*) as exact_count from cleaned where query_
 kept as (select * from counted where exact_count >= 0.002 * (select sum(exact_count) from counted))
 """
 SQL = {
+    # Up to 64 records of equal sets every pair is a row, as here; the words are runs of letters and digits.
+    "p3_found": r"""with w as (select doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || content), '[\p{L}\p{N}]+') as w from documents where content is not null),
+g as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as gram from w where len(w) >= 3),
+n as (select doc_id, count(*) as n from g group by 1),
+s as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as shared from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2)
+select doc_a, doc_b from s join n x on x.doc_id = doc_a join n y on y.doc_id = doc_b where shared >= 0.7 * (x.n + y.n - shared)""",
     "p4_frequencies": _CLEAN + "select term, cast(total as bigint) as total_count, df as doc_count, case when df <= 2 then 'rare' when df >= 0.2 * docs then 'common' end as mark from t, n",
     "p4_found": _CLEAN + "select term, case when df <= 2 then 'rare' else 'common' end as mark from t, n where df <= 2 or df >= 0.2 * docs",
     "p6_found": _CLEAN

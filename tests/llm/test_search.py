@@ -107,6 +107,10 @@ def test_large_class_and_groups(spark):
     df = spark.createDataFrame(rows, "doc_id long, title string, content string")
     got = {tuple(r) for r in neardup.duplicate_pairs(df, 3, 0.7).collect()}
     assert got == {(0, i) for i in range(1, neardup.EXPAND + 6)} | {(0, 500)}
+    # Of a large class, texts that differ though their sets don't are all linked, with each other and outside.
+    mixed = [(1000 + i, "t", t) for i, t in enumerate(["THE very same text of several words in all"] * 3 + ["the very same text, of several words in all!"] * 2)]
+    both = {tuple(r) for r in neardup.duplicate_pairs(spark.createDataFrame(rows + mixed, df.schema), 3, 0.7).collect()}
+    assert both - got == {(0, 1000), (0, 1003), (1000, 1003), (1000, 1001), (1000, 1002), (1003, 1004), (500, 1000), (500, 1003)} and got <= both
     groups = neardup.duplicate_groups(df, 3, 0.7).collect()
     assert {r["group_id"] for r in groups} == {0} and len(groups) == len(rows) and {r["links"] for r in groups} == {1}
     assert neardup.duplicate_pairs(df.limit(0), 3, 0.7).count() == 0 and neardup.duplicate_groups(df.limit(0)).count() == 0
