@@ -106,6 +106,11 @@ p as (select term, cast(k as bigint) as doc_id, max(cast(json_extract_string(pos
 n as (select count(distinct doc_id) as docs from p),
 t as (select term, count(*) as df, sum(tf) as total from p group by 1)
 """
+_GRAMS = r"""w as (select doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || content), '[\p{L}\p{N}]+') as w from documents where content is not null),
+g as (select distinct doc_id, unnest(list_transform(range(1, len(w) - COUNT + 2), lambda i: array_to_string(w[i:i + COUNT - 1], ' '))) as gram from w where len(w) >= COUNT),
+n as (select doc_id, count(*) as n from g group by 1),
+s as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as shared from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2),
+pairs as (select doc_a, doc_b, shared = x.n and shared = y.n as equal from s join n x on x.doc_id = doc_a join n y on y.doc_id = doc_b where shared >= SHARE * (x.n + y.n - shared))"""
 _QUERY = r"""
 with cleaned as (select trim(regexp_replace(lower(query_text), '\s+', ' ', 'g')) as query_text from query_log),
 counted as (select query_text, count(*) as exact_count from cleaned where query_text <> '' group by 1),
@@ -113,11 +118,13 @@ kept as (select * from counted where exact_count >= 0.002 * (select sum(exact_co
 """
 SQL = {
     # Up to 64 records of equal sets every pair is a row, as here; the words are runs of letters and digits.
-    "p3_found": r"""with w as (select doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || content), '[\p{L}\p{N}]+') as w from documents where content is not null),
-g as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as gram from w where len(w) >= 3),
-n as (select doc_id, count(*) as n from g group by 1),
-s as (select a.doc_id as doc_a, b.doc_id as doc_b, count(*) as shared from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by 1, 2)
-select doc_a, doc_b from s join n x on x.doc_id = doc_a join n y on y.doc_id = doc_b where shared >= 0.7 * (x.n + y.n - shared)""",
+    "p3_found": "with " + _GRAMS.replace("COUNT", "3").replace("SHARE", "0.7") + " select doc_a, doc_b from pairs",
+    "p3_groups": "with recursive " + _GRAMS.replace("COUNT", "5").replace("SHARE", "0.8") + """, sided as (select doc_a as a, doc_b as b from pairs union all select doc_b, doc_a from pairs),
+reach(a, b) as (select doc_id, doc_id from n union select r.a, e.b from reach r join sided e on e.a = r.b),
+firsts as (select doc_id, coalesce(min(doc_a), doc_id) as rep from n left join pairs on doc_b = doc_id and equal group by n.doc_id),
+linked as (select x.rep as a, count(distinct y.rep) as links from sided join firsts x on x.doc_id = a join firsts y on y.doc_id = b where x.rep <> y.rep group by 1),
+grouped as (select a as doc_id, min(b) as group_id from reach group by 1)
+select g.doc_id, g.group_id, coalesce(l.links, 0) as links from grouped g join firsts f on f.doc_id = g.doc_id left join linked l on l.a = f.rep""",
     "p4_frequencies": _CLEAN + "select term, cast(total as bigint) as total_count, df as doc_count, case when df <= 2 then 'rare' when df >= 0.2 * docs then 'common' end as mark from t, n",
     "p4_found": _CLEAN + "select term, case when df <= 2 then 'rare' else 'common' end as mark from t, n where df <= 2 or df >= 0.2 * docs",
     "p6_found": _CLEAN
