@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seekline.config import DEFAULTS, INDEX_STOP_WORDS, NAMESPACES, NAVIGATIONAL_WORDS, TECHNICAL_WORDS
+from seekline.config import DEFAULTS, INDEX_STOP_WORDS, NAMESPACES, NAVIGATIONAL_WORDS, SPELL_STOP_WORDS, TECHNICAL_WORDS
 from seekline.functions import text as tx
 from seekline.functions.edit import osa_distance
 from seekline.functions.snippet import snippet as make_snippet
@@ -17,7 +17,7 @@ from seekline.plans.engine import Engine
 from seekline.plans.lineage import folder, materialize
 from seekline.sources import tables
 from seekline.sources.tables import table
-from seekline.streaming import live_index
+from seekline.streaming import live_index, query_log
 
 TERMS = ["harbour", "glacier", "treaty"]
 PREFIX = "ka"
@@ -42,18 +42,19 @@ _indexes: dict[tuple[str, str], tuple] = {}
 
 
 def stored_index(spark, base):
-    """Postings in the order of their terms, lengths and statistics of a folder's documents, written once a session as a service does when it starts."""
+    """Postings in the order of their terms, lengths, statistics and link scores of a folder's documents, written once a session as a service does when it starts."""
     key = spark.sparkContext.applicationId, base
     if key not in _indexes:
         docs = _docs(spark, base)
         posts = materialize(index.postings(docs).repartitionByRange("term").sortWithinPartitions("term"), "postings")
-        _indexes[key] = posts, materialize(index.doc_lengths(docs), "lengths"), materialize(index.corpus_stats(docs), "stats")
+        scores = materialize(graph.latest_scores(table(spark, base, "pagerank")), "scores")
+        _indexes[key] = posts, materialize(index.doc_lengths(docs), "lengths"), materialize(index.corpus_stats(docs), "stats"), scores
     return _indexes[key]
 
 
 def _bm25(spark, base, queries, terms=None):
     """``terms`` are those of all queries where they are a few: the scan then reads the files that hold them."""
-    posts, lengths, stats = stored_index(spark, base)
+    posts, lengths, stats, _ = stored_index(spark, base)
     return bm25.score(queries, posts if terms is None else posts.where(F.col("term").isin(terms)), lengths, stats)
 
 
@@ -167,8 +168,7 @@ def _document_vectors(spark, base):
 def _hybrid(spark, base, queries, asked, terms=None):
     scored = _bm25(spark, base, queries, terms)
     near = vectors.knn(asked, _document_vectors(spark, base), DEFAULTS.knn_depth).select("query_id", "doc_id", "similarity")
-    ranks = graph.latest_scores(table(spark, base, "pagerank"))
-    return hybrid.rank(scored, near, _docs(spark, base), ranks)
+    return hybrid.rank(scored, near, _docs(spark, base), stored_index(spark, base)[3])
 
 
 def hybrid_top10(spark, base):
@@ -413,6 +413,21 @@ def stream_index(spark, base):
     return live.postings().join(live.documents().select("doc_id", "url"), "doc_id").select("url", "term", "tf")
 
 
+def vector_literals(spark, base):
+    """Vectors in thousandths as text."""
+    return _embeddings(spark, base).select("doc_id", vectors.vector_literal(F.transform("vector", lambda x: F.round(x.cast("double") * 1000).cast("int"))).alias("literal"))
+
+
+def stream_trending(spark, base):
+    """The query log as a stream, counted over windows of seven days that begin each day."""
+    root = f"{folder(spark)}/trending-{uuid.uuid4().hex}"
+    log = table(spark, base, "query_log").select("query_text", "searched_at")
+    log.write.parquet(f"{root}/log")
+    rows = spark.readStream.schema(log.schema).parquet(f"{root}/log")
+    query_log.keep_windows(query_log.trending_windows(rows), f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/table").select(F.unix_seconds("begins").alias("begins"), "query_text", "hits", F.unix_micros("latest").alias("latest"))
+
+
 def ann_lsh(spark, base):
     """Approximate join of unit vectors: pairs at Euclidean distance below 1.2 found by shared buckets."""
     model, rows = vectors.lsh_index(_embeddings(spark, base))
@@ -480,7 +495,7 @@ def osa_pairs(spark, base):
 def spell_correct(spark, base):
     """Corrections of the distinct query texts against the stored index."""
     texts = table(spark, base, "query_log").where("trim(query_text) <> ''").select("query_text").distinct().withColumn("query_id", F.xxhash64("query_text"))
-    return spell.correct(texts, spell_dictionary(spark, base))
+    return spell.correct(texts, spell_dictionary(spark, base)).select("original", "corrected", "was_changed")
 
 
 def search(spark, base):
@@ -495,11 +510,12 @@ QUERIES = {f.__name__: f for f in (
     tokens, term_freq, doc_freq, corpus_stats, doc_length, idf, bm25_top10, bm25_multi_query, postings_json, stored_postings, postings_merge, postings_merge_replace, postings_merge_json, spell_dictionary,
     knn_top50, knn_top5, knn_multi, minmax_norm, hybrid_top10, hybrid_multi, links, link_nodes, out_degree, dangling, pagerank_links, pagerank_converged, scores_upsert, latest_pagerank, bfs_levels,
     unvisited_links, query_tokens, intent, expand_terms, highlight, snippet_prefix, snippets, strip_tags, parse_answer, summaries, summaries_plain, suggest_prefix, suggest_many, title_dedupe, top_queries,
-    zero_results, avg_top_score, score_buckets, bucket_share, hit_ratio, corpus_counts, trending_7d, history, crumb, zoom, pending_vectors, embed_text, embed_pending, pending_page, vectors_stored, doc_by_url, docs_page, stream_index, ann_lsh, ann_top5, ann_recall,
+    zero_results, avg_top_score, score_buckets, bucket_share, hit_ratio, corpus_counts, trending_7d, history, crumb, zoom, pending_vectors, embed_text, embed_pending, pending_page, vectors_stored, doc_by_url, docs_page, stream_index, stream_trending, vector_literals, ann_lsh, ann_top5, ann_recall,
     insert_if_absent, clean_text, clean_titles, page_text, page_links, osa_pairs, spell_correct, search,
 )}
 
 # ---- SQL ----
+_SPELL_STOP = ", ".join(f"'{w}'" for w in SPELL_STOP_WORDS)
 _STOP = ", ".join(f"'{w}'" for w in INDEX_STOP_WORDS)
 _TOKENS = f"""
 raw as (
@@ -658,6 +674,23 @@ select doc_id, cast(place as int) as place, round(cast(cast(x / sqrt(sum(x * x)
     "stream_index": f"""with d as (select doc_id, url, title, content, row_number() over (partition by url order by doc_id desc) as k from documents where length(url) > 0 and length(title) > 0 and length(content) > 0),
 raw as (select url, 2 as w, unnest(string_split_regex(title, '[^A-Za-z0-9]+')) as t from d where k = 1 union all select url, 1, unnest(string_split_regex(content, '[^A-Za-z0-9]+')) from d where k = 1)
 select url, lower(t) as term, cast(sum(w) as bigint) as tf from raw where length(t) >= 2 and lower(t) not in ({_STOP}) group by 1, 2""",
+    "vector_literals": "select vec_id as doc_id, replace(cast(list_transform(embedding, lambda x: cast(round(cast(x as double) * 1000) as int)) as varchar), ', ', ',') as literal from embeddings",
+    "stream_trending": """with w as (select query_text, searched_at, unnest(range(7)) as k from query_log where searched_at is not null)
+select cast(epoch(date_trunc('day', searched_at)) as bigint) - 86400 * k as begins, query_text, count(*) as hits, epoch_us(max(searched_at)) as latest from w group by 1, 2""",
+    "spell_correct": f"""with recursive {_STORED}, dict as (select term, cast(sum(tf) as bigint) as freq, length(term) as len from stored group by 1 having sum(tf) > 0),
+texts as (select distinct query_text from query_log where trim(query_text) <> ''),
+pieces as (select query_text, unnest(p) as piece, generate_subscripts(p, 1) as pos from (select query_text, regexp_extract_all(query_text, '[A-Za-z0-9]+|\\s+|[^A-Za-z0-9\\s]+') as p from texts)),
+words as (select distinct lower(piece) as word from pieces where regexp_matches(piece, '^[A-Za-z]+$') and length(piece) >= 4 and lower(piece) not in ({_SPELL_STOP})),
+near as (select word as a, term as b from words join dict on abs(length(word) - len) <= 2 and word <> term and levenshtein(word, term) <= 4),
+d(a, b, i, two, one) as (select a, b, 0, cast([] as bigint[]), range(0, length(b) + 1) from near union all
+  select a, b, i + 1, one, list_transform(range(0, length(b) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: case when k = 0 then i + 1 else least(
+    one[k + 1] + 1, one[k] + case when a[i + 1] = b[k] then 0 else 1 end,
+    case when i > 0 and k > 1 and a[i + 1] = b[k - 1] and a[i] = b[k] then two[k - 1] + 1 else 1000 end) end - k))) from d where i < length(a)),
+dist as (select a as word, b as term, one[length(b) + 1] as distance from d where i = length(a) and one[length(b) + 1] <= 2),
+best as (select word, term, freq from (select word, dist.term, freq, row_number() over (partition by word order by distance, freq desc, length(dist.term), dist.term) as k from dist join dict on dict.term = dist.term) where k = 1),
+fixes as (select b.word, b.term from best b left join dict o on o.term = b.word where o.term is null or b.freq >= 10 * o.freq),
+done as (select query_text, string_agg(coalesce(f.term, piece), '' order by pos) as corrected from pieces p left join fixes f on f.word = lower(p.piece) and regexp_matches(p.piece, '^[A-Za-z]+$') and length(p.piece) >= 4 and lower(p.piece) not in ({_SPELL_STOP}) group by 1)
+select query_text as original, corrected, corrected <> query_text as was_changed from done""",
     "pagerank_converged": _converged_sql(),
     "scores_upsert": f"""with {_EDGES}, fresh as (select source_url as url, count(*) / (select count(*) from edges) as score from edges group by 1)
 select url, round(score, 12) as score from pagerank where url is null or url not in (select url from fresh) union all select url, round(score, 12) from fresh""",

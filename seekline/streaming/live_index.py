@@ -27,6 +27,13 @@ def valid_events(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return complete_events(events).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["url"])
 
 
+def with_documents(events: DataFrame, docs: DataFrame) -> DataFrame:
+    """Events with title and text as the documents have them, joined by url as each batch comes; an event without a stored document keeps its own."""
+    stored = docs.select("url", F.col("title").alias("stored_title"), F.col("content").alias("stored_text")).dropDuplicates(["url"])
+    both = events.join(stored, "url", "left")
+    return both.select("url", F.coalesce("stored_title", "title").alias("title"), F.coalesce("stored_text", "text").alias("text"), "event_time")
+
+
 def corrupt_events(events: DataFrame) -> DataFrame:
     """The side table of lines that can't be read or lack a url."""
     return events.where("_corrupt is not null or url is null or url = ''")

@@ -50,7 +50,9 @@ def test_hybrid(spark, docs):
     assert (lone["bm25"], lone["vector"], lone["pagerank"], lone["final"]) == (0, 0, 0, 0)
 
 
-def test_pagerank(spark):
+@pytest.mark.parametrize("hub", [1 << 16, 1])
+def test_pagerank(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
     links = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "c"), ("d", "d"), ("a", "b"), ("a", None), (None, "b"), ("b", " ")], "source_url string, target_url string")
     docs = spark.createDataFrame([("e",)], "url string")
     got, rounds = graph.pagerank(links, docs)

@@ -1,6 +1,8 @@
 import datetime as dt
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from seekline.operators import analytics, answer, html
@@ -194,6 +196,22 @@ def test_publish(spark, tmp_path):
     seen.awaitTermination(120)
     r = spark.table("announced").first()
     assert (r["url"], r["title"], r["text"], r["_corrupt"]) == ("a", "T", "text", None)
+    docs = spark.createDataFrame([("a", "Stored", "as stored")], "url string, title string, content string")
+    joined = live_index.with_documents(live_index.complete_events(live_index.read_events(spark, str(tmp_path / "events"))), docs)
+    joined.writeStream.format("memory").queryName("joined").trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.table("joined").first()["text"] == "as stored"
+
+
+def test_jdbc(spark, tmp_path):
+    jars = [str(j) for j in spark.sparkContext._jsc.sc().listJars().mkString(",").split(",") if j]
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.range(100).selectExpr("id", "concat('u', id) as url")
+    try:
+        rows.write.jdbc(url, "docs", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    except Exception as e:  # the driver isn't part of every distribution
+        pytest.skip(f"no row store here: {str(e)[:80]} {jars}")
+    got = tables.jdbc_table(spark, url, "docs", "id", 0, 100, parts=4)
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 100
 
 
 def test_log_stream(spark, tmp_path):
