@@ -120,6 +120,11 @@ def bold_prefix(title: Column, prefix: Column) -> Column:
     return F.struct(title.substr(F.lit(1), n).alias("head"), title.substr(n + 1, F.length(title)).alias("tail"))
 
 
+def score_bars(scores: Column, names: tuple[str, ...] = ("bm25", "vector", "pagerank", "final")) -> Column:
+    """A struct of scores in 0..1 as whole percent, the lengths of their bars; a missing score has none."""
+    return F.struct(*[F.round(F.least(F.greatest(F.coalesce(scores[n], F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * 100).cast("int").alias(n) for n in names])
+
+
 def reason_message(reason: Column) -> Column:
     """A short note why there is no summary; null where none was to be expected (navigational queries, no results)."""
     quiet = reason.isin("skipped_navigational", "no_results")

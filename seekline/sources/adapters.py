@@ -40,6 +40,13 @@ def chain(*models: Model) -> Model:
     return ask
 
 
+def route(models: dict[str, Model], forced: str | None = None) -> Model:
+    """The provider that is forced by name, alone, or all in their order; a forced name that isn't there counts as ``no_key``."""
+    if forced is None:
+        return chain(*models.values())
+    return chain(models[forced]) if forced in models else no_model
+
+
 def within(seconds: float, work: Callable, otherwise):
     """``work()`` if it ends in time without failing, else ``otherwise``."""
     pool = ThreadPoolExecutor(1)

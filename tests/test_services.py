@@ -61,6 +61,8 @@ def test_fetch_and_save(spark):
 def test_adapters():
     ask = adapters.chain(lambda p: (None, "rate_limited"), lambda p: ("text", None))
     assert ask("x") == ("text", None) and adapters.chain(lambda p: 1 / 0)("x") == (None, "error")
+    both = {"local": lambda p: (None, "error"), "hosted": lambda p: ("text", None)}
+    assert adapters.route(both)("x") == ("text", None) and adapters.route(both, "local")("x") == (None, "error") and adapters.route(both, "none")("x") == (None, "no_key")
     assert adapters.within(0.05, lambda: time.sleep(0.5), "late") == "late" and adapters.within(1, lambda: 5, 0) == 5
     assert adapters.synonyms_of('x ["a", 1, "b"] y') == ["a", "b"] and adapters.synonyms_of("[") == []
     now = [dt.datetime(2024, 1, 1)]
@@ -190,6 +192,16 @@ def test_pages_and_upserts(spark):
     assert len(got) == 11 and got[3] == "changed" and got[77] == "added" and got[4] == "u4"
 
 
+def test_layout(spark, tmp_path):
+    from seekline.plans.layout import laid, lay_out
+
+    links = spark.range(200).selectExpr("concat('s', id) as source_url", "concat('t', id % 7) as target_url")
+    log = spark.createDataFrame([(1, "q", dt.datetime(2024, 1, 1)), (2, "q", dt.datetime(2024, 1, 9)), (3, "q", None)], "id long, query_text string, searched_at timestamp")
+    lay_out({"links": links, "query_log": log}, str(tmp_path))
+    assert laid(spark, str(tmp_path), "links_by_target").where("target_url = 't3'").count() == 29 and laid(spark, str(tmp_path), "links_by_source").count() == 200
+    assert laid(spark, str(tmp_path), "query_log").where("day = '2024-01-09'").first()["id"] == 2 and laid(spark, str(tmp_path), "query_log").count() == 3
+
+
 def test_publish(spark, tmp_path):
     tables.publish(spark.createDataFrame([("a", "T", "text", dt.datetime(2024, 1, 1))], "url string, title string, content string, created_at timestamp"), str(tmp_path / "events"))
     seen = live_index.read_events(spark, str(tmp_path / "events")).writeStream.format("memory").queryName("announced").trigger(availableNow=True).start()

@@ -77,3 +77,8 @@ def test_snippets():
     assert make_snippet("z" * 250, []) == "z" * 200 + "..."
     assert len(make_snippet("ab " * 100, ["q"])) == 203
     assert make_snippet("", ["a"]) == "" and make_snippet(None, ["a"]) == ""
+
+
+def test_score_bars(spark):
+    got = spark.createDataFrame([((0.5, None, 1.2, 0.126),)], "s struct<bm25:double,vector:double,pagerank:double,final:double>").select(tx.score_bars(F.col("s")).alias("b")).first()["b"]
+    assert tuple(got) == (50, 0, 100, 13)
