@@ -312,30 +312,20 @@ def _with_hits(pages: DataFrame, template: DataFrame) -> DataFrame:
     return _with_places(pages, "hits", _tokens(pages).select("doc_id", "at", "token").unionByName(nodes), template)
 
 
-def deduce_template(pages: DataFrame, rounds: int = 3, support: int = SUPPORT, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+def deduce_template(pages: DataFrame, rounds: int = 3, support: int = SUPPORT) -> tuple[DataFrame, DataFrame]:
     """Tokens of the template, and all that recur often enough to be judged, each as ``token``.
 
-    ``support`` is the least number of occurrences of any token that is judged,
-    ``share`` the share of a host's pages (and 20 pages at least) that makes a
-    line part of the template by itself.
+    ``support`` is the least number of occurrences of any token that is judged.
     """
     spark = pages.sparkSession
-    on_host = _tokens(pages).groupBy("host", "token", "kind").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("ends").cast("int")).alias("ended"),
-        F.min("full").alias("least"),
-        F.max("full").alias("most"),
-    )
-    on_host = materialize(on_host.where("n > 1 or kind = 1"), "tokens")
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    menus = equivalence_classes(pages)
-    common = on_host.where("kind = 0 and n >= 20").join(sizes, "host").where(F.col("n") >= F.lit(share) * F.col("pages")).select("token")
-    heads = on_host.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n"), F.sum("ended").alias("ended"), F.min("least").alias("least"), F.max("most").alias("most"))
-    slots = heads.where(f"n >= {2 * support} and ended < 0.2 * n and least <> most").select("token")
-    template = materialize(menus.unionByName(common).unionByName(slots).distinct(), "template")
+    on_host = _tokens(pages).groupBy("host", "token", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("ends").cast("int")).alias("ended"), F.min("full").alias("least"), F.max("full").alias("most"))
     # Over all hosts: a line that stands once on each of many is judged, too.
-    counts = _tokens(pages).groupBy("host", "token").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("on_one"))
-    judged = materialize(counts.where(f"n >= {support}").select("token", "on_one"), "judged")
+    pooled = on_host.groupBy("token", "kind").agg(F.sum("n").alias("n"), F.max("n").alias("on_one"), F.sum("ended").alias("ended"), F.min("least").alias("least"), F.max("most").alias("most"))
+    pooled = materialize(pooled.where(f"n >= {support}"), "tokens")
+    # First words of one host or of many that go on in ever other ways and hardly ever end as a sentence does stand before a slot.
+    slots = pooled.where(f"kind = 1 and n >= {2 * support} and ended < 0.2 * n and least <> most").select("token")
+    template = materialize(equivalence_classes(pages).unionByName(slots).distinct(), "template")
+    judged = pooled.select("token", "on_one")
     known = _sent(spark, judged)
     for _ in range(rounds):
         sent = _sent(spark, template)
