@@ -607,7 +607,35 @@ _BLANK = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 _CLEAN = lambda x: f"regexp_replace(regexp_replace(regexp_replace({x}, '[\\n\\t]+', ' ', 'g'), '{_BLANK}{{2,}}', ' ', 'g'), '^{_BLANK}+|{_BLANK}+$', '', 'g')"
 _TRIM = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
+def _snippet_sql(source: str) -> str:
+    """CTEs up to ``snips`` (id, snippet) of a relation (id, content, terms) whose terms are of letters and digits."""
+    space = _BLANK[1:-1]
+    return f"""src as (select id, coalesce(content, '') as c, case when len(terms) > 0 then '(?i)(' || array_to_string(terms, '|') || ')' end as pat from ({source})),
+cut as (select *, string_split_regex(c, pat) as p, regexp_extract_all(c, pat) as m from src where pat is not null and c <> ''),
+hit as (select *, list_transform(range(1, len(p)), lambda i: cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint)) as h from cut),
+win as (select *, list_transform(h, lambda x: greatest(0, x - 100)) as starts from hit),
+num as (select *, list_transform(starts, lambda s: len(list_filter(h, lambda x: x >= s and x < s + 200))) as counts from win),
+top as (select id, c, pat, coalesce(starts[list_position(counts, list_max(counts))], 0) as a from num),
+ends as (select *, least(length(c), a + 200) as z from top),
+snap as (select id, c, pat, a - length(regexp_extract(substr(c, 1, a), '[^{space}]*$')) as a, z + length(regexp_extract(substr(c, z + 1), '^[^{space}]*')) as z from ends),
+snips as (select id, case when a > 0 then '...' else '' end || regexp_replace(regexp_replace(substr(c, a + 1, z - a), '^{_BLANK}+|{_BLANK}+$', '', 'g'), pat, '<mark>\\1</mark>', 'g') || case when z < length(c) then '...' else '' end as snippet from snap
+  union all select id, case when length(c) > 200 then substr(c, 1, 200) || '...' else c end from src where pat is null or c = '')"""
+
+
+def _summaries_sql(snippets: str) -> str:
+    """The answers of documents with a title and content, by CTEs that end with ``snips``."""
+    return f"""with {snippets},
+i as (select id, title, snippet, case when {_ANY(NAVIGATIONAL_WORDS).replace("query_text", "title")} or regexp_matches(title, '\\b[A-Z][a-z]+\\s+[A-Z][a-z]+') then 'skipped_navigational' end as reason from snips join documents on doc_id = id)
+select id as query_id, reason, case when reason is null then {_TRIM("regexp_extract('[1] ' || title || ': ' || regexp_replace(snippet, '<[^>]+>', '', 'g'), '^\\[1\\] [^\\n]*?: ([^\\n]*)', 1)")} end as answer from i"""
+
+
+_TITLED = "select doc_id as id, content, {} as terms from documents where title is not null and length(content) > 0"
+_TITLE_WORDS = "list_filter(list_transform(range(1, len(t) + 1), lambda i: case when list_position(t, t[i]) = i then t[i] end), lambda x: x is not null)"
+
 SQL = {
+    "snippets": f"with {_snippet_sql(f'select doc_id as id, content, {TERMS} as terms from documents')} select id as doc_id, snippet from snips",
+    "summaries": _summaries_sql(_snippet_sql(f"select id, content, {_TITLE_WORDS} as terms from (" + _TITLED.format("1").replace("1 as terms", "regexp_extract_all(lower(title), '[a-z0-9]+') as t") + ")")),
+    "summaries_plain": _summaries_sql(_snippet_sql(_TITLED.format("cast([] as varchar[])"))),
     "tokens": f"with {_TOKENS} select doc_id, field, term, count(*) as n from toks group by 1, 2, 3",
     "term_freq": f"with {_TOKENS} select term, doc_id, tf from posts",
     "doc_freq": f"with {_TOKENS} select term, df from dfs",
@@ -702,9 +730,6 @@ select q.id, coalesce(j.terms, '') as terms from q left join j using (id)""",
     "page_text": "select url, md5(" + _CLEAN("translate(coalesce(content, ''), '<>&', '   ')") + ") as digest from documents",
     "page_links": f"""with {_EDGES}, h as (select distinct source_url, regexp_extract(target_url, '^https?://[^/]+(/[^?]*)$', 1) as href from edges)
 select source_url, 'https://h' || href as target_url from h where starts_with(href, '/wiki/') and not contains(href, 'disambiguation') and not (""" + " or ".join(f"starts_with(href, '{n}')" for n in NAMESPACES) + ")",
-    "summaries_plain": """with d as (select doc_id, title as query_text, title, case when length(content) > 200 then substr(content, 1, 200) || '...' else content end as snippet from documents where title is not null and length(content) > 0),
-i as (select *, case when """ + _ANY(NAVIGATIONAL_WORDS) + """ or regexp_matches(query_text, '\\b[A-Z][a-z]+\\s+[A-Z][a-z]+') then 'skipped_navigational' end as reason from d)
-select doc_id as query_id, reason, case when reason is null then """ + _TRIM("regexp_extract('[1] ' || title || ': ' || regexp_replace(snippet, '<[^>]+>', '', 'g'), '^\\[1\\] [^\\n]*?: ([^\\n]*)', 1)") + """ end as answer from i""",
     "osa_pairs": """with recursive q as (select distinct lower(query_text) as q from query_log), w as (select regexp_extract_all(q, '[a-z0-9]+') as t from q),
 p as (select distinct t[i] as a, t[i + 1] as b from (select t, unnest(range(1, len(t))) as i from w where len(t) > 1)),
 d(a, b, i, two, one) as (select a, b, 0, cast([] as bigint[]), range(0, length(b) + 1) from p union all
