@@ -78,6 +78,11 @@ def p9_found(spark, base):
     return p9_leaks(spark, base).select("doc_id", "item_id")
 
 
+def p9_runs(spark, base):
+    """Of the leaks, those by at least 15 words in a row."""
+    return p9_leaks(spark, base).where("longest >= 15").select("doc_id", "item_id").distinct()
+
+
 def p9_clean(spark, base):
     """The documents that are left when those with test material are taken out."""
     return leakage.without_leaks(table(spark, base, "documents"), table(spark, base, "eval_items")).select("doc_id")
@@ -137,6 +142,10 @@ s as (select doc_id, term, (log2(1 + rate) + tfn * log2((1 + rate) / rate)) / (t
 r as (select *, row_number() over (partition by doc_id order by round(dfr, 9) desc, term) as k from s) select doc_id, term, round(dfr, 6) as dfr from r where k <= 3""",
     # No text may be lost, repeated or split though it fits, and no container overfull, whatever the tokenizer.
     "p8_check": "select cast(budget_id as bigint) as budget_id, (select count(*) from documents where length(text) > 0) as texts, 0 as lost, 0 as repeated, 0 as split, 0 as overfull from token_budgets",
+    "p9_runs": r"""with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents), i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items),
+dg as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 13), lambda k: array_to_string(w[k:k + 14], ' '))) as gram from d where len(w) >= 15),
+ig as (select distinct item_id, unnest(list_transform(range(1, len(w) - 13), lambda k: array_to_string(w[k:k + 14], ' '))) as gram from i where len(w) >= 15)
+select distinct doc_id, item_id from dg join ig using (gram)""",
     "p7_found": _QUERY + "select query_text from kept",
     "p7_counts": _QUERY + "select query_text, exact_count from kept",
 }
