@@ -547,6 +547,10 @@ _LATEST = "latest as (select url, arg_max(score, (coalesce(updated_at, timestamp
 
 
 def _hybrid_sql(items: str, vectors_: str, columns: str) -> str:
+    return _hybrid_ctes(items, vectors_) + f" select {columns} from r where rank <= 10"
+
+
+def _hybrid_ctes(items: str, vectors_: str) -> str:
     return _scored(items) + f""", {_USABLE}, {_LATEST}, qv as ({vectors_}),
 sims as (select q.query_id, d.doc_id, round(list_cosine_similarity(q.v, d.v), 12) as similarity from qv q cross join docv d),
 near as (select * from (select *, row_number() over (partition by query_id order by similarity desc, doc_id) as k from sims) where k <= 50),
@@ -556,7 +560,7 @@ c as (select coalesce(t.query_id, v.query_id) as query_id, coalesce(t.doc_id, v.
 p as (select c.*, coalesce(l.score, 0) as pr from c join documents d on d.doc_id = c.doc_id left join latest l on l.url = d.url),
 s as (select query_id, doc_id, bm25, vector, case when max(pr) over w = min(pr) over w then 0 else (pr - min(pr) over w) / (max(pr) over w - min(pr) over w) end as pagerank from p window w as (partition by query_id)),
 f as (select query_id, doc_id, round(bm25, 4) as bm25, round(vector, 4) as vector, round(pagerank, 4) as pagerank, round(0.4 * bm25 + 0.4 * vector + 0.2 * pagerank, 4) as final from s),
-r as (select *, row_number() over (partition by query_id order by final desc, doc_id) as rank from f) select {columns} from r where rank <= 10"""
+r as (select *, row_number() over (partition by query_id order by final desc, doc_id) as rank from f)"""
 
 
 _EDGES = "edges as (select distinct source_url, target_url from links where trim(source_url) <> '' and trim(target_url) <> '')"
@@ -615,13 +619,40 @@ cut as (select *, string_split_regex(c, pat) as p, regexp_extract_all(c, pat) as
 hit as (select *, list_transform(range(1, len(p)), lambda i: cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint)) as h from cut),
 win as (select *, list_transform(h, lambda x: greatest(0, x - 100)) as starts from hit),
 num as (select *, list_transform(starts, lambda s: len(list_filter(h, lambda x: x >= s and x < s + 200))) as counts from win),
-top as (select id, c, pat, coalesce(starts[list_position(counts, list_max(counts))], 0) as a from num),
-ends as (select *, least(length(c), a + 200) as z from top),
+places as (select id, c, pat, coalesce(starts[list_position(counts, list_max(counts))], 0) as a from num),
+ends as (select *, least(length(c), a + 200) as z from places),
 snap as (select id, c, pat, a - length(regexp_extract(substr(c, 1, a), '[^{space}]*$')) as a, z + length(regexp_extract(substr(c, z + 1), '^[^{space}]*')) as z from ends),
 snips as (select id, case when a > 0 then '...' else '' end || regexp_replace(regexp_replace(substr(c, a + 1, z - a), '^{_BLANK}+|{_BLANK}+$', '', 'g'), pat, '<mark>\\1</mark>', 'g') || case when z < length(c) then '...' else '' end as snippet from snap
   union all select id, case when length(c) > 200 then substr(c, 1, 200) || '...' else c end from src where pat is null or c = '')"""
 
 
+# From texts (query_text) and dict (term, freq, len) to done (query_text, corrected).
+_SPELLED = f"""pieces as (select query_text, unnest(p) as piece, generate_subscripts(p, 1) as pos from (select query_text, regexp_extract_all(query_text, '[A-Za-z0-9]+|\\s+|[^A-Za-z0-9\\s]+') as p from texts)),
+words as (select distinct lower(piece) as word from pieces where regexp_matches(piece, '^[A-Za-z]+$') and length(piece) >= 4 and lower(piece) not in ({_SPELL_STOP})),
+like_words as (select word as a, term as b from words join dict on abs(length(word) - len) <= 2 and word <> term and levenshtein(word, term) <= 4),
+d(a, b, i, two, one) as (select a, b, 0, cast([] as bigint[]), range(0, length(b) + 1) from like_words union all
+  select a, b, i + 1, one, list_transform(range(0, length(b) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: case when k = 0 then i + 1 else least(
+    one[k + 1] + 1, one[k] + case when a[i + 1] = b[k] then 0 else 1 end,
+    case when i > 0 and k > 1 and a[i + 1] = b[k - 1] and a[i] = b[k] then two[k - 1] + 1 else 1000 end) end - k))) from d where i < length(a)),
+dist as (select a as word, b as term, one[length(b) + 1] as distance from d where i = length(a) and one[length(b) + 1] <= 2),
+best as (select word, term, freq from (select word, dist.term, freq, row_number() over (partition by word order by distance, freq desc, length(dist.term), dist.term) as k from dist join dict on dict.term = dist.term) where k = 1),
+fixes as (select b.word, b.term from best b left join dict o on o.term = b.word where o.term is null or b.freq >= 10 * o.freq),
+done as (select query_text, string_agg(coalesce(f.term, piece), '' order by pos) as corrected from pieces p left join fixes f on f.word = lower(p.piece) and regexp_matches(p.piece, '^[A-Za-z]+$') and length(p.piece) >= 4 and lower(p.piece) not in ({_SPELL_STOP}) group by 1)"""
+
+
+def _search_sql() -> str:
+    items = f"""dict as (select term, cast(sum(tf) as bigint) as freq, length(term) as len from posts group by 1 having sum(tf) > 0),
+texts as (select distinct text as query_text from eval_items where trim(text) <> ''), {_SPELLED},
+wanted as (select item_id as query_id, corrected, regexp_extract_all(lower(corrected), '[a-z0-9]+') as terms from eval_items join done on query_text = text),
+items as (select query_id, terms from wanted)"""
+    ranked = _hybrid_ctes(items, "select cast(0 as bigint) as query_id, v from docv where false").replace("with ", "with recursive ", 1)
+    distinct = "list_filter(list_transform(range(1, len(terms) + 1), lambda i: case when list_position(terms, terms[i]) = i then terms[i] end), lambda x: x is not null)"
+    shown = _snippet_sql(f"select query_id * 100 + rank as id, content, {distinct} as terms from hits join wanted using (query_id) join documents using (doc_id)")
+    intent = f"case when {_ANY(NAVIGATIONAL_WORDS).replace('query_text', 'corrected')} or regexp_matches(corrected, '\\b[A-Z][a-z]+\\s+[A-Z][a-z]+') then 'navigational' when {_ANY(TECHNICAL_WORDS).replace('query_text', 'corrected')} then 'technical' else 'informational' end"
+    return f"""{ranked}, hits as (select query_id, rank, doc_id, final from r where rank <= 10), {shown}
+select query_id, corrected, {intent} as intent, cast(rank as int) as rank, doc_id, snippet, final from hits join wanted using (query_id) join snips on id = query_id * 100 + rank"""
+
+
 def _summaries_sql(snippets: str) -> str:
     """The answers of documents with a title and content, by CTEs that end with ``snips``."""
     return f"""with {snippets},
@@ -705,20 +736,8 @@ select url, lower(t) as term, cast(sum(w) as bigint) as tf from raw where length
     "vector_literals": "select vec_id as doc_id, replace(cast(list_transform(embedding, lambda x: cast(round(cast(x as double) * 1000) as int)) as varchar), ', ', ',') as literal from embeddings",
     "stream_trending": """with w as (select query_text, searched_at, unnest(range(7)) as k from query_log where searched_at is not null)
 select cast(epoch(date_trunc('day', searched_at)) as bigint) - 86400 * k as begins, query_text, count(*) as hits, epoch_us(max(searched_at)) as latest from w group by 1, 2""",
-    "spell_correct": f"""with recursive {_STORED}, dict as (select term, cast(sum(tf) as bigint) as freq, length(term) as len from stored group by 1 having sum(tf) > 0),
-texts as (select distinct query_text from query_log where trim(query_text) <> ''),
-pieces as (select query_text, unnest(p) as piece, generate_subscripts(p, 1) as pos from (select query_text, regexp_extract_all(query_text, '[A-Za-z0-9]+|\\s+|[^A-Za-z0-9\\s]+') as p from texts)),
-words as (select distinct lower(piece) as word from pieces where regexp_matches(piece, '^[A-Za-z]+$') and length(piece) >= 4 and lower(piece) not in ({_SPELL_STOP})),
-near as (select word as a, term as b from words join dict on abs(length(word) - len) <= 2 and word <> term and levenshtein(word, term) <= 4),
-d(a, b, i, two, one) as (select a, b, 0, cast([] as bigint[]), range(0, length(b) + 1) from near union all
-  select a, b, i + 1, one, list_transform(range(0, length(b) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: case when k = 0 then i + 1 else least(
-    one[k + 1] + 1, one[k] + case when a[i + 1] = b[k] then 0 else 1 end,
-    case when i > 0 and k > 1 and a[i + 1] = b[k - 1] and a[i] = b[k] then two[k - 1] + 1 else 1000 end) end - k))) from d where i < length(a)),
-dist as (select a as word, b as term, one[length(b) + 1] as distance from d where i = length(a) and one[length(b) + 1] <= 2),
-best as (select word, term, freq from (select word, dist.term, freq, row_number() over (partition by word order by distance, freq desc, length(dist.term), dist.term) as k from dist join dict on dict.term = dist.term) where k = 1),
-fixes as (select b.word, b.term from best b left join dict o on o.term = b.word where o.term is null or b.freq >= 10 * o.freq),
-done as (select query_text, string_agg(coalesce(f.term, piece), '' order by pos) as corrected from pieces p left join fixes f on f.word = lower(p.piece) and regexp_matches(p.piece, '^[A-Za-z]+$') and length(p.piece) >= 4 and lower(p.piece) not in ({_SPELL_STOP}) group by 1)
-select query_text as original, corrected, corrected <> query_text as was_changed from done""",
+    "spell_correct": f"with recursive {_STORED}, dict as (select term, cast(sum(tf) as bigint) as freq, length(term) as len from stored group by 1 having sum(tf) > 0), texts as (select distinct query_text from query_log where trim(query_text) <> ''), {_SPELLED} select query_text as original, corrected, corrected <> query_text as was_changed from done",
+    "search": _search_sql(),
     "pagerank_converged": _converged_sql(),
     "scores_upsert": f"""with {_EDGES}, fresh as (select source_url as url, count(*) / (select count(*) from edges) as score from edges group by 1)
 select url, round(score, 12) as score from pagerank where url is null or url not in (select url from fresh) union all select url, round(score, 12) from fresh""",
