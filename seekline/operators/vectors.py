@@ -95,17 +95,12 @@ SENT_BYTES = 64_000_000
 TOGETHER = 256
 
 
-def _best(sims: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, name, similarity) of the ``k`` most similar columns of each row; on equal similarity the smaller name comes first."""
-    if sims.shape[1] > k:
-        least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k, None]
-        row, column = np.nonzero(sims >= least)  # k of each row, and those that tie with the last of them
-    else:
-        row, column = (x.ravel() for x in np.indices(sims.shape))
-    return _first(row, names[column], sims[row, column], k)
+#: More than 32-bit products of unit vectors can be off.
+SLACK = 1e-5
 
 
 def _first(row: np.ndarray, name: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` most similar entries of each row; on equal similarity the smaller name comes first."""
     order = np.lexsort((name, -sim, row))
     row, name, sim = row[order], name[order], sim[order]
     start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
@@ -113,25 +108,48 @@ def _first(row: np.ndarray, name: np.ndarray, sim: np.ndarray, k: int) -> tuple[
     return row[keep], name[keep], sim[keep]
 
 
+class _Kept:
+    """The best so far of up to TOGETHER queries, and the similarity that is needed to be among them."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.q, self.short, self.k = queries, queries.astype(np.float32), k
+        self.best = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(queries), -np.inf)
+
+    def add(self, x: np.ndarray, short: np.ndarray, names: np.ndarray) -> None:
+        """Compare with rows: roughly in 32 bits, and exactly where that may be enough."""
+        sims = self.short @ short.T
+        least = self.least
+        if sims.shape[1] > self.k and np.isinf(least).any():
+            least = np.maximum(least, np.partition(sims, sims.shape[1] - self.k, axis=1)[:, sims.shape[1] - self.k])
+        row, at = np.nonzero(sims >= (least - SLACK)[:, None])
+        if not len(row):
+            return
+        exact = np.concatenate([np.einsum("ij,ij->i", self.q[row[i : i + 16384]], x[at[i : i + 16384]]) for i in range(0, len(row), 16384)])
+        self.best = _first(*(np.concatenate(c) for c in zip(self.best, (row, names[at], np.round(exact, 12)))), self.k)
+        n = np.bincount(self.best[0], minlength=len(self.q))
+        last = np.cumsum(n) - 1
+        self.least = np.where(n >= self.k, self.best[2][np.maximum(last, 0)], -np.inf)
+
+
 def _scanner(sent, k: int):
     """Multiplies rows (id, vector) with all sent queries of the same dimension and keeps the best of each."""
 
     def run(batches):
-        kept = {dim: [(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(ids), TOGETHER)] for dim, (ids, _) in sent.value.items()}
+        kept = {dim: [_Kept(q[i : i + TOGETHER], k) for i in range(0, len(q), TOGETHER)] for dim, (_, q) in sent.value.items()}
         for batch in batches:
             sizes = pa.compute.list_value_length(batch.column(1))
-            for dim, (ids, q) in sent.value.items():
+            for dim in kept:
                 rows = batch.filter(pa.compute.equal(sizes, dim))
                 x = np.asarray(rows.column(1).flatten(), np.float64).reshape(-1, dim)
                 n = np.linalg.norm(x, axis=1)
                 x, mine = x[n > 0] / n[n > 0][:, None], rows.column(0).to_numpy(zero_copy_only=False)[n > 0]
-                if not len(x):
-                    continue
-                for b in range(len(kept[dim])):
-                    found = _best(np.round(q[b * TOGETHER : (b + 1) * TOGETHER] @ x.T, 12), mine, k)
-                    kept[dim][b] = _first(*(np.concatenate(c) for c in zip(kept[dim][b], found)), k)
+                short = x.astype(np.float32)
+                for block in kept[dim] if len(x) else []:
+                    block.add(x, short, mine)
         for dim, (ids, _) in sent.value.items():
-            for b, (row, name, sim) in enumerate(kept[dim]):
+            for b, block in enumerate(kept[dim]):
+                row, name, sim = block.best
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.array(ids, np.int64)[row + b * TOGETHER]), "id": pa.array(name), "similarity": pa.array(sim)})
 
     return run
