@@ -31,6 +31,22 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, pa.int64()))
 
 
+def _steps(docs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each list's documents as differences from the one before, which are small and so take little room in a shuffle."""
+    out = np.diff(docs, prepend=0)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    out[first] = docs[first]
+    return out
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The documents of lists of steps, and the lists' sizes."""
+    steps, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+    total, first = np.cumsum(steps), np.cumsum(sizes) - sizes
+    some = sizes > 0
+    return total - np.repeat(total[first[some]] - steps[first[some]], sizes[some]), sizes
+
+
 def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All runs of digits of the texts as numbers, and how many each text has."""
     column = pa.concat_arrays([column.cast(pa.large_string())])  # its buffers begin with its first text
@@ -65,15 +81,17 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, raw = batch.column(0), batch.column(1)
         plain = pc.match_substring_regex(raw, _PLAIN)
         values, sizes = _numbers(raw.filter(plain))
-        yield pa.RecordBatch.from_arrays([terms.filter(plain), _lists(values[0::2], sizes // 2), _lists(values[1::2], sizes // 2)], names=["term", "docs", "tfs"])
+        yield pa.RecordBatch.from_arrays([terms.filter(plain), _lists(_steps(values[0::2], sizes // 2), sizes // 2), _lists(values[1::2], sizes // 2)], names=["term", "steps", "tfs"])
         rest = pc.and_(pc.invert(plain), pc.match_substring_regex(raw, r"^\s*\{[\s\S]*\}\s*$"))
         read = [(t, e) for t, e in zip(terms.filter(rest).to_pylist(), map(_by_json, raw.filter(rest).to_pylist())) if e]
         if read:
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in read], pa.string()), *(pa.array([[x[i] for x in e] for _, e in read], pa.list_(pa.int64())) for i in (0, 1))], names=["term", "docs", "tfs"])
+            sizes = np.array([len(e) for _, e in read])
+            docs, tfs = (np.array([x[i] for _, e in read for x in e], np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in read], pa.string()), _lists(_steps(docs, sizes), sizes), _lists(tfs, sizes)], names=["term", "steps", "tfs"])
 
 
 def term_rows(index: DataFrame) -> DataFrame:
-    """Rows ``term, docs, tfs`` with the term trimmed and in lower case and its documents and counts as lists of one length, written once.
+    """Rows ``term, steps, tfs`` with the term trimmed and in lower case and its documents, as differences, and counts as lists of one length, written once.
 
     Rows with a null or blank term, null postings, or postings that are no
     complete JSON object (cut off, empty text) are skipped; whatever they lack
@@ -81,18 +99,28 @@ def term_rows(index: DataFrame) -> DataFrame:
     are skipped, and so are rows without an entry.
     """
     rows = spread(index.select("term", "postings")).select(F.trim(F.lower("term")).alias("term"), "postings").where("term <> '' and postings is not null")
-    return materialize(rows.mapInArrow(_parse, "term string, docs array<long>, tfs array<long>").where("size(docs) > 0"), "rows")
+    return materialize(rows.mapInArrow(_parse, "term string, steps array<long>, tfs array<long>").where("size(steps) > 0"), "rows")
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_pydict({"doc": pa.array(np.unique(_listed(batch.column(0))[0]), pa.int64())})
+
+
+def documents(rows: DataFrame) -> DataFrame:
+    """One row ``docs``: the number of documents in the lists of ``term_rows``."""
+    return rows.select("steps").mapInArrow(_documents, "doc long").agg(F.count_distinct("doc").alias("docs"))
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, docs, tfs) as up to SALTS rows (key, salt, docs, tfs), by document."""
+    """Rows (key, steps, tfs) as up to SALTS rows (key, salt, steps, tfs), by document."""
     for batch in batches:
-        docs, tfs = (batch.column(i).flatten().to_numpy() for i in (1, 2))
-        row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+        (docs, sizes), tfs = _listed(batch.column(1)), batch.column(2).flatten().to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), sizes)
         piece = row * SALTS + docs % SALTS
         order = np.argsort(piece, kind="stable")
         which, sizes = np.unique(piece, return_counts=True)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which // SALTS)), pa.array(which % SALTS, pa.int32()), _lists(docs[order], sizes), _lists(tfs[order], sizes)], names=["key", "salt", "docs", "tfs"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which // SALTS)), pa.array(which % SALTS, pa.int32()), _lists(_steps(docs[order], sizes), sizes), _lists(tfs[order], sizes)], names=["key", "salt", "steps", "tfs"])
 
 
 def hot_limit(spark, total: int) -> int:
@@ -101,12 +129,12 @@ def hot_limit(spark, total: int) -> int:
 
 
 def salted(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """``rows`` (key, docs, tfs) with a ``salt``: 0, or by document where the key is in ``hot`` (a table of bounded size)."""
+    """``rows`` (key, steps, tfs) with a ``salt``: 0, or by document where the key is in ``hot`` (a table of bounded size)."""
     cold = rows if hot is None else rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    out = cold.select(key, F.lit(0).alias("salt"), "docs", "tfs")
+    out = cold.select(key, F.lit(0).alias("salt"), "steps", "tfs")
     if hot is None:
         return out
-    split = rows.join(F.broadcast(hot.select(key)), key).select(key, "docs", "tfs").mapInArrow(_dealt, "key string, salt int, docs array<long>, tfs array<long>")
+    split = rows.join(F.broadcast(hot.select(key)), key).select(key, "steps", "tfs").mapInArrow(_dealt, "key string, salt int, steps array<long>, tfs array<long>")
     return out.unionByName(split.withColumnRenamed("key", key))
 
 
@@ -143,9 +171,10 @@ def united(batch_rows: Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _read(batches: Iterator[pa.RecordBatch]):
-    """Batches (term, salt, docs, tfs) as ``united`` takes them."""
+    """Batches (term, salt, steps, tfs) as ``united`` takes them."""
     for b in batches:
-        yield [*zip(b.column(0).to_pylist(), b.column(1).to_pylist())], np.diff(b.column(2).offsets.to_numpy()), b.column(2).flatten().to_numpy(), b.column(3).flatten().to_numpy()
+        docs, sizes = _listed(b.column(2))
+        yield [*zip(b.column(0).to_pylist(), b.column(1).to_pylist())], sizes, docs, b.column(3).flatten().to_numpy()
 
 
 def _clean(lists: bool):
@@ -164,7 +193,7 @@ def clean_rows(rows: DataFrame, lists: bool = True) -> tuple[DataFrame, DataFram
     One row a term; a hot term has a row for each salt, with that salt's counts.
     """
     spark = rows.sparkSession
-    sizes = materialize(rows.groupBy("term").agg(F.sum(F.size("docs")).alias("n")), "sizes")
+    sizes = materialize(rows.groupBy("term").agg(F.sum(F.size("steps")).alias("n")), "sizes")
     every = sizes.agg(F.sum("n")).first()[0] or 0
     hot = sizes.where(F.col("n") >= hot_limit(spark, every)).select("term")
     hot = None if hot.isEmpty() else hot

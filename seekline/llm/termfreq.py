@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekline.llm.postings import clean_rows, term_rows
+from seekline.llm.postings import clean_rows, documents, term_rows
 from seekline.plans.lineage import materialize
 from seekline.sources.tables import partitions
 
@@ -91,6 +91,6 @@ def term_frequencies(index: DataFrame, rare_docs: int = 2, common_share: float =
     laid = coded.repartition(partitions(index.sparkSession), "block").sortWithinPartitions("block").select("term_id", "total", "df")
     sums = laid.mapInArrow(_count_blocks, "block long, arrays binary").groupBy("block").applyInArrow(_sum_block, "term_id long, total_count long, doc_count long")
     # One row, so it may be broadcast.
-    docs = F.broadcast(rows.select(F.explode("docs").alias("doc")).agg(F.count_distinct("doc").alias("docs")))
+    docs = F.broadcast(documents(rows))
     mark = F.when(F.col("doc_count") <= rare_docs, "rare").when(F.col("doc_count") >= F.lit(common_share) * F.col("docs"), "common")
     return words.join(sums, "term_id").crossJoin(docs).select("term", "total_count", "doc_count", mark.alias("mark"))
