@@ -31,20 +31,61 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, pa.int64()))
 
 
-def _steps(docs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Each list's documents as differences from the one before, which are small and so take little room in a shuffle."""
-    out = np.diff(docs, prepend=0)
-    first = (np.cumsum(sizes) - sizes)[sizes > 0]
-    out[first] = docs[first]
+_WIDTHS = ((1, np.int8), (2, np.int16), (4, np.int32), (8, np.int64))
+
+
+def _within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of lists of these sizes its list and its place there."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _packed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Lists of numbers, none of them empty, as byte strings, each as wide as its largest number needs."""
+    first = np.cumsum(sizes) - sizes
+    top = np.maximum(np.maximum.reduceat(values, first), -1 - np.minimum.reduceat(values, first)) if len(sizes) else np.zeros(0, np.int64)
+    width = np.select([top < 1 << 7, top < 1 << 15, top < 1 << 31], [1, 2, 4], 8)
+    offsets = np.concatenate([[0], np.cumsum(sizes * width)])
+    out = np.zeros(offsets[-1], np.uint8)
+    row, k = _within(sizes)
+    for w, kind in _WIDTHS:
+        on = width[row] == w
+        if on.any():
+            out[(offsets[row[on]] + k[on] * w)[:, None] + np.arange(w)] = np.ascontiguousarray(values[on].astype(kind)).view(np.uint8).reshape(-1, w)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
+
+
+def _unpacked(column: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of packed lists, one list after the other."""
+    column = pa.concat_arrays([column])
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else np.zeros(0, np.uint8)
+    width = np.diff(offsets) // np.maximum(sizes, 1)
+    row, k = _within(sizes)
+    out = np.zeros(len(row), np.int64)
+    for w, kind in _WIDTHS:
+        on = width[row] == w
+        if on.any():
+            out[on] = np.ascontiguousarray(data[(offsets[row[on]] + k[on] * w)[:, None] + np.arange(w)]).view(kind).ravel()
     return out
 
 
-def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The documents of lists of steps, and the lists' sizes."""
-    steps, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
-    total, first = np.cumsum(steps), np.cumsum(sizes) - sizes
-    some = sizes > 0
-    return total - np.repeat(total[first[some]] - steps[first[some]], sizes[some]), sizes
+def _packed_docs(docs: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Lists of documents as differences from the one before, which are small."""
+    steps = np.diff(docs, prepend=0)
+    first = np.cumsum(sizes) - sizes
+    steps[first] = docs[first]
+    return _packed(steps, sizes)
+
+
+def _unpacked_docs(column: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    steps, first = _unpacked(column, sizes), np.cumsum(sizes) - sizes
+    total = np.cumsum(steps)
+    return total - np.repeat(total[first] - steps[first], sizes)
+
+
+def _sizes(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,22 +117,29 @@ def _by_json(text: str) -> list[tuple[int, int]] | None:
     return [(int(k), v) for k, v in got[1] if _WHOLE.fullmatch(k) and fits(int(k)) and isinstance(v, int) and not isinstance(v, bool) and fits(v)]
 
 
+def _rows(terms: pa.Array, docs: np.ndarray, tfs: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    some = sizes > 0
+    return pa.RecordBatch.from_arrays([terms.filter(pa.array(some)), pa.array(sizes[some], pa.int32()), _packed_docs(docs, sizes[some]), _packed(tfs, sizes[some])], names=["term", "n", "docs", "tfs"])
+
+
+ROWS = "term string, n int, docs binary, tfs binary"
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         terms, raw = batch.column(0), batch.column(1)
         plain = pc.match_substring_regex(raw, _PLAIN)
         values, sizes = _numbers(raw.filter(plain))
-        yield pa.RecordBatch.from_arrays([terms.filter(plain), _lists(_steps(values[0::2], sizes // 2), sizes // 2), _lists(values[1::2], sizes // 2)], names=["term", "steps", "tfs"])
+        yield _rows(terms.filter(plain), values[0::2], values[1::2], sizes // 2)
         rest = pc.and_(pc.invert(plain), pc.match_substring_regex(raw, r"^\s*\{[\s\S]*\}\s*$"))
         read = [(t, e) for t, e in zip(terms.filter(rest).to_pylist(), map(_by_json, raw.filter(rest).to_pylist())) if e]
         if read:
-            sizes = np.array([len(e) for _, e in read])
             docs, tfs = (np.array([x[i] for _, e in read for x in e], np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in read], pa.string()), _lists(_steps(docs, sizes), sizes), _lists(tfs, sizes)], names=["term", "steps", "tfs"])
+            yield _rows(pa.array([t for t, _ in read], pa.string()), docs, tfs, np.array([len(e) for _, e in read]))
 
 
 def term_rows(index: DataFrame) -> DataFrame:
-    """Rows ``term, steps, tfs`` with the term trimmed and in lower case and its documents, as differences, and counts as lists of one length, written once.
+    """Rows ``term, n, docs, tfs`` with the term trimmed and in lower case and its ``n`` documents and counts as packed lists, written once.
 
     Rows with a null or blank term, null postings, or postings that are no
     complete JSON object (cut off, empty text) are skipped; whatever they lack
@@ -99,28 +147,28 @@ def term_rows(index: DataFrame) -> DataFrame:
     are skipped, and so are rows without an entry.
     """
     rows = spread(index.select("term", "postings")).select(F.trim(F.lower("term")).alias("term"), "postings").where("term <> '' and postings is not null")
-    return materialize(rows.mapInArrow(_parse, "term string, steps array<long>, tfs array<long>").where("size(steps) > 0"), "rows")
+    return materialize(rows.mapInArrow(_parse, ROWS), "rows")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_pydict({"doc": pa.array(np.unique(_listed(batch.column(0))[0]), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"doc": pa.array(np.unique(_unpacked_docs(batch.column(1), _sizes(batch.column(0)))), pa.int64())})
 
 
 def documents(rows: DataFrame) -> DataFrame:
     """One row ``docs``: the number of documents in the lists of ``term_rows``."""
-    return rows.select("steps").mapInArrow(_documents, "doc long").agg(F.count_distinct("doc").alias("docs"))
+    return rows.select("n", "docs").mapInArrow(_documents, "doc long").agg(F.count_distinct("doc").alias("docs"))
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, steps, tfs) as up to SALTS rows (key, salt, steps, tfs), by document."""
+    """Rows of ``term_rows`` as up to SALTS rows (term, salt, n, docs, tfs), by document."""
     for batch in batches:
-        (docs, sizes), tfs = _listed(batch.column(1)), batch.column(2).flatten().to_numpy()
-        row = np.repeat(np.arange(batch.num_rows), sizes)
-        piece = row * SALTS + docs % SALTS
+        sizes = _sizes(batch.column(1))
+        docs, tfs = _unpacked_docs(batch.column(2), sizes), _unpacked(batch.column(3), sizes)
+        piece = np.repeat(np.arange(batch.num_rows), sizes) * SALTS + docs % SALTS
         order = np.argsort(piece, kind="stable")
-        which, sizes = np.unique(piece, return_counts=True)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which // SALTS)), pa.array(which % SALTS, pa.int32()), _lists(_steps(docs[order], sizes), sizes), _lists(tfs[order], sizes)], names=["key", "salt", "steps", "tfs"])
+        which, n = np.unique(piece, return_counts=True)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which // SALTS)), pa.array(which % SALTS, pa.int32()), pa.array(n, pa.int32()), _packed_docs(docs[order], n), _packed(tfs[order], n)], names=["term", "salt", "n", "docs", "tfs"])
 
 
 def hot_limit(spark, total: int) -> int:
@@ -128,14 +176,14 @@ def hot_limit(spark, total: int) -> int:
     return max(1, total // (8 * partitions(spark)))
 
 
-def salted(rows: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
-    """``rows`` (key, steps, tfs) with a ``salt``: 0, or by document where the key is in ``hot`` (a table of bounded size)."""
-    cold = rows if hot is None else rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    out = cold.select(key, F.lit(0).alias("salt"), "steps", "tfs")
+def salted(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``rows`` of ``term_rows`` with a ``salt``: 0, or by document where the term is in ``hot`` (a table of bounded size)."""
+    cold = rows if hot is None else rows.join(F.broadcast(hot.select("term")), "term", "left_anti")
+    out = cold.select("term", F.lit(0).alias("salt"), "n", "docs", "tfs")
     if hot is None:
         return out
-    split = rows.join(F.broadcast(hot.select(key)), key).select(key, "steps", "tfs").mapInArrow(_dealt, "key string, salt int, steps array<long>, tfs array<long>")
-    return out.unionByName(split.withColumnRenamed("key", key))
+    split = rows.join(F.broadcast(hot.select("term")), "term").select("term", "n", "docs", "tfs").mapInArrow(_dealt, "term string, salt int, n int, docs binary, tfs binary")
+    return out.unionByName(split)
 
 
 def united(batch_rows: Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
@@ -171,10 +219,10 @@ def united(batch_rows: Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _read(batches: Iterator[pa.RecordBatch]):
-    """Batches (term, salt, steps, tfs) as ``united`` takes them."""
+    """Batches (term, salt, n, docs, tfs) as ``united`` takes them."""
     for b in batches:
-        docs, sizes = _listed(b.column(2))
-        yield [*zip(b.column(0).to_pylist(), b.column(1).to_pylist())], sizes, docs, b.column(3).flatten().to_numpy()
+        sizes = _sizes(b.column(2))
+        yield [*zip(b.column(0).to_pylist(), b.column(1).to_pylist())], sizes, _unpacked_docs(b.column(3), sizes), _unpacked(b.column(4), sizes)
 
 
 def _clean(lists: bool):
@@ -193,11 +241,11 @@ def clean_rows(rows: DataFrame, lists: bool = True) -> tuple[DataFrame, DataFram
     One row a term; a hot term has a row for each salt, with that salt's counts.
     """
     spark = rows.sparkSession
-    sizes = materialize(rows.groupBy("term").agg(F.sum(F.size("steps")).alias("n")), "sizes")
+    sizes = materialize(rows.groupBy("term").agg(F.sum("n").alias("n")), "sizes")
     every = sizes.agg(F.sum("n")).first()[0] or 0
     hot = sizes.where(F.col("n") >= hot_limit(spark, every)).select("term")
     hot = None if hot.isEmpty() else hot
-    laid = salted(rows, "term", hot).repartition(partitions(spark), "term", "salt").sortWithinPartitions("term", "salt")
+    laid = salted(rows, hot).repartition(partitions(spark), "term", "salt").sortWithinPartitions("term", "salt")
     return materialize(laid.mapInArrow(_clean(lists), "term string, df long, total long" + ", docs array<long>, tfs array<long>" * lists), "postings"), hot
 
 

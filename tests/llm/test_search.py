@@ -2,9 +2,11 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from seekline.llm import dfr, heavy, leakage, neardup, neighbours, termfreq
+from seekline.llm import dfr, heavy, leakage, neardup, neighbours, postings, termfreq
 from seekline.llm.words import words
 
 S = neighbours.Settings(dim=8, k=3, per_list=40, probes=3, pieces=4, codes=16, rerank=24, block=50, query_block=90)
@@ -132,6 +134,17 @@ def test_frequencies(spark, stored):
     assert [(r["term"], r["term_id"]) for r in ids] == [("a", 0), ("b", 1), ("é", 2)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(-(2**63), 2**63 - 1) | st.integers(0, 300), st.integers(0, 10**18) | st.integers(1, 9)), min_size=1, max_size=6), max_size=6))
+def test_packed_lists(lists):
+    sizes = np.array([len(x) for x in lists], np.int64)
+    docs, tfs = (np.array([e[i] for x in lists for e in x], np.int64) for i in (0, 1))
+    column = postings._packed_docs(docs, sizes)
+    assert postings._unpacked_docs(column, sizes).tolist() == docs.tolist() and postings._unpacked(postings._packed(tfs, sizes), sizes).tolist() == tfs.tolist()
+    if len(lists) > 1:
+        assert postings._unpacked_docs(column.slice(1), sizes[1:]).tolist() == docs[sizes[0] :].tolist()
+
+
 def test_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(termfreq, "BLOCK", 8)
     rows = [(f"t{i:03d}", '{"%d": %d, "7": 1}' % (i, i + 1)) for i in range(100)]
