@@ -60,13 +60,13 @@ def pagerank(links: DataFrame, docs: DataFrame | None = None, s: Settings = DEFA
     numbered = e.join(named.select(F.col("url").alias("source_url"), F.col("id").alias("src")), "source_url").join(named.select(F.col("url").alias("target_url"), F.col("id").alias("dst")), "target_url").select("src", "dst")
     salts = F.ceil(F.col("out_degree") / F.lit(HUB)).cast("int")
     hubs = degree.where(F.col("out_degree") > HUB).select("src", salts.alias("salts"))
-    keys = ["src"] if hubs.isEmpty() else ["src", "salt"]
+    linking = degree.agg(F.count(F.lit(1)).alias("n"), F.max("out_degree").alias("most")).first()
+    keys = ["src", "salt"] if (linking["most"] or 0) > HUB else ["src"]
     if len(keys) > 1:
         numbered = numbered.join(hubs, "src", "left").select("src", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("salts"))).cast("int").alias("salt"), "dst")
     graph = laid_out(numbered, keys, parts, "edges")
     ranks = named.select("id").join(degree.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.lit(1.0 / n))
-    start = ranks.agg(F.coalesce(F.sum(F.when(F.col("out_degree").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")).first()
-    loose, held, written, done = start["loose"], [], [], 0
+    loose, held, written, done = (n - linking["n"]) / n, [], [], 0
     for i in range(fixed_rounds if fixed_rounds is not None else s.max_iterations):
         share = ranks.where("out_degree is not null").select(F.col("id").alias("src"), *([F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")] if len(keys) > 1 else []), (F.col("rank") / F.col("out_degree")).alias("share"))
         given = graph.join(share, keys).groupBy("dst").agg(F.sum("share").alias("given"))
