@@ -193,12 +193,13 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "doc_id",
 
 
 def lsh_index(vectors: DataFrame, id_col: str = "doc_id", column: str = "vector", tables: int = 6, width: float = 0.5):
-    """An approximate index by random projections over unit vectors, and the vectors in its form."""
+    """An approximate index by random projections over unit vectors, and the vectors in its form; no index (None) where there is no vector."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
     from pyspark.ml.functions import array_to_vector
 
     rows = Normalizer(inputCol="raw", outputCol="features").transform(vectors.where(F.col(column).isNotNull()).select(id_col, array_to_vector(F.col(column).cast("array<double>")).alias("raw")))
-    return BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=7).fit(rows), rows
+    index = None if rows.isEmpty() else BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=7).fit(rows)
+    return index, rows
 
 
 def vector_literal(column: Column) -> Column:

@@ -432,6 +432,8 @@ def ann_lsh(spark, base):
     """Approximate join of unit vectors: pairs at Euclidean distance below 1.2 found by shared buckets."""
     model, rows = vectors.lsh_index(_embeddings(spark, base))
     asked = rows.where("doc_id % 50 = 0")
+    if model is None:
+        return spark.createDataFrame([], "query_id long, vec_id long, similarity double")
     near = model.approxSimilarityJoin(asked, rows, 1.2, "distance")
     return near.select(F.col("datasetA.doc_id").alias("query_id"), F.col("datasetB.doc_id").alias("vec_id"), (1 - F.col("distance") ** 2 / 2).alias("similarity")).where("query_id <> vec_id")
 
@@ -444,7 +446,7 @@ def ann_top5(spark, base):
     """About the five nearest of the first document with a usable vector, from the folders of its nearest lists."""
     stored = _stored_vectors(spark, base)
     first = stored.table.orderBy("doc_id").first()
-    return stored.search_one(first["vector"], 5).select("doc_id", F.round("similarity", 5).alias("similarity"))
+    return stored.search_one(first["vector"] if first else [1.0] * 384, 5).select("doc_id", F.round("similarity", 5).alias("similarity"))
 
 
 def ann_recall(spark, base):
