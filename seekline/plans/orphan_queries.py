@@ -6,22 +6,24 @@ from seekline.operators.orphans import Relation, orphan_cascade, orphan_report
 from seekline.sources.tables import table
 
 
-def _direct(spark, base):
+def _orphans(spark, base):
+    """References to pages, by the cascade from documents over page scores to links; a page without a score row is looked up in documents itself."""
     links, ranks = table(spark, base, "links"), table(spark, base, "pagerank")
     relations = [
-        Relation("links", "source_url", links, "documents", "found_at"),
-        Relation("links", "target_url", links, "documents", "found_at"),
-        Relation("pagerank", "url", ranks, "documents", "updated_at"),
+        Relation("links", "source_url", links, "pagerank", "found_at", root="documents"),
+        Relation("links", "target_url", links, "pagerank", "found_at", root="documents"),
+        Relation("pagerank", "url", ranks, "documents", "updated_at", key="url"),
     ]
-    return orphan_cascade(relations, {"documents": (table(spark, base, "documents"), "url", "created_at")}, (table(spark, base, "deleted_pages"), "url"))
+    found = orphan_cascade(relations, {"documents": (table(spark, base, "documents"), "url", "created_at")}, (table(spark, base, "deleted_pages"), "url"))
+    return found.withColumn("state", found["origin"])
 
 
 def p5_found(spark, base):
-    return _direct(spark, base).select("ref_table", "ref_field", "url", "period", "state")
+    return _orphans(spark, base).select("ref_table", "ref_field", "url", "period", "state")
 
 
 def p5_report(spark, base):
-    return orphan_report(_direct(spark, base))
+    return orphan_report(_orphans(spark, base))
 
 
 def p5_cascade(spark, base):

@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from seekline.operators.orphans import Relation, normal_url, orphan_cascade, orphan_report
+from seekline.plans import orphan_queries
 
 T = dt.datetime
 
@@ -46,3 +47,34 @@ def test_cascade_and_cycle(spark):
     ring = spark.createDataFrame([("http://x", "http://y"), ("http://y", "http://x"), ("http://z", "http://q"), ("http://w", "http://z"), ("http://v", "http://w")], "id string, up string")
     got = {(r["url"], r["kind"], r["depth"]) for r in orphan_cascade([Relation("ring", "up", ring, "ring", key="id")], {}).collect()}
     assert got == {("http://q", "direct", 0), ("http://z", "inherited", 1), ("http://w", "inherited", 2)}
+
+
+def test_p5_found_comes_by_rounds(spark, tmp_path, monkeypatch):
+    """Links to pages with a score row are orphans by that row, others by documents; the state is that of the page."""
+    when = T(2024, 1, 5)
+    stored = {
+        "documents": ([("http://late", T(2024, 3, 1)), ("http://kept", T(2023, 1, 1)), ("http://unscored", T(2023, 1, 1))], "url string, created_at timestamp"),
+        "links": ([("http://kept", u, when) for u in ("HTTP://Gone#x", "http://lost", "http://late", "http://unscored", "http://gone2", "http://lost2", "mailto:x")] + [("http://lost", "http://gone", None)], "source_url string, target_url string, found_at timestamp"),
+        "pagerank": ([("http://gone", when), ("http://LOST", None), ("http://late", when), ("http://kept", when), (None, when)], "url string, updated_at timestamp"),
+        "deleted_pages": ([("http://gone",), ("http://gone2",), ("http://late",)], "url string"),
+    }
+    for name, (rows, schema) in stored.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    cascades = []
+    monkeypatch.setattr(orphan_queries, "orphan_cascade", lambda *a: cascades.append(orphan_cascade(*a)) or cascades[-1])
+    got = sorted(tuple(r) for r in orphan_queries.p5_found(spark, str(tmp_path)).collect())
+    assert got == [
+        ("links", "source_url", "http://lost", "unknown", "missing"),
+        ("links", "target_url", "http://gone", "2024-01", "deleted"),
+        ("links", "target_url", "http://gone", "unknown", "deleted"),
+        ("links", "target_url", "http://gone2", "2024-01", "deleted"),
+        ("links", "target_url", "http://late", "2024-01", "late"),
+        ("links", "target_url", "http://lost", "2024-01", "missing"),
+        ("links", "target_url", "http://lost2", "2024-01", "missing"),
+        ("pagerank", "url", "http://gone", "2024-01", "deleted"),
+        ("pagerank", "url", "http://late", "2024-01", "late"),
+        ("pagerank", "url", "http://lost", "unknown", "missing"),
+    ]
+    steps = {(r["ref_table"], r["url"], r["kind"], r["depth"]) for r in cascades[0].collect()}
+    assert {s for s in steps if s[3]} == {("links", "http://gone", "inherited", 1), ("links", "http://lost", "inherited", 1)}
+    assert {s[1] for s in steps if s[0] == "links" and not s[3]} == {"http://gone2", "http://lost2", "http://late"}
