@@ -496,8 +496,8 @@ def osa_pairs(spark, base):
 
 def spell_correct(spark, base):
     """Corrections of the distinct query texts against the stored index."""
-    texts = table(spark, base, "query_log").where("trim(query_text) <> ''").select("query_text").distinct().withColumn("query_id", F.xxhash64("query_text"))
-    return spell.correct(texts, spell_dictionary(spark, base)).select("original", "corrected", "was_changed")
+    texts = materialize(table(spark, base, "query_log").where("trim(query_text) <> ''").select("query_text").distinct(), "texts").withColumn("query_id", F.xxhash64("query_text"))
+    return spell.correct(texts, materialize(spell_dictionary(spark, base), "dictionary")).select("original", "corrected", "was_changed")
 
 
 def search(spark, base):

@@ -1,9 +1,11 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from seekline.functions.edit import osa
 from seekline.operators import bm25, graph, hybrid, index, spell, suggest, vectors
 
 CORPUS = [(1, "a", "Graph theory", "graph algorithms and graph search"), (2, "b", "Search engine", "a search engine ranks pages"), (3, "c", "", "cooking pasta at home")]
@@ -85,6 +87,49 @@ def test_spelling(spark):
     assert safe["corrected"] == "about THE Graph"
 
 
+
+@pytest.mark.parametrize("most", [0, 16_000_000])
+def test_spelling_against_all_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(spell, "FORM_BYTES", most, raising=False)
+    r = random.Random(5)
+    made = lambda n, letters: sorted({"".join(r.choice(letters) for _ in range(r.randint(1, 8))) for _ in range(n)})
+    words, terms = made(150, "abc") + made(150, "aoité"), {t: r.choice([1, 2, 5, 30, 900]) for t in made(60, "abc") + made(60, "aoité")}
+    want = set()
+    for w in set(words):
+        near = [(d, -f, len(t), t.encode(), t) for t, f in terms.items() if t != w and (d := osa(w, t)) <= 2]
+        if near and -min(near)[1] >= 10 * terms.get(w, 0):
+            want.add((w, min(near)[4], min(near)[0], -min(near)[1]))
+    got = spell.best_corrections(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(list(terms.items()), "term string, freq long"))
+    assert {d for *_, d, _ in want} == {1, 2} and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def executions(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    return store, [runs.apply(k).executionId() for k in range(runs.size())]
+
+
+def broadcast_rows(spark, known):
+    """Rows of the largest broadcast of all executions but the known ones."""
+    store, now = executions(spark)
+    most = 0
+    for run in set(now) - set(known):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())] if node.name().startswith("BroadcastExchange") else []
+            most = max([most, *(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))])
+    return most
+
+
+def test_spelling_broadcasts_no_forms(spark, tmp_path):
+    r = random.Random(7)
+    made = lambda n: sorted({"".join(r.choice("abcdefghij") for _ in range(10)) for _ in range(n)})
+    spark.createDataFrame([(t, 1) for t in made(2000)], "term string, freq long").write.parquet(f"{tmp_path}/terms")
+    asked = spark.createDataFrame(list(enumerate(made(8000))), "query_id long, query_text string")
+    known = executions(spark)[1]
+    assert len(spell.correct(asked, spark.read.parquet(f"{tmp_path}/terms")).collect()) == asked.count()
+    assert 0 < broadcast_rows(spark, known) < 10_000
+
 def test_merge(spark):
     old = spark.createDataFrame([("search", 1, 1), ("search", 2, 3), ("gone", 2, 1)], "term string, doc_id long, tf long")
     new = spark.createDataFrame([("search", 2, 5)], old.schema)
